@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import common
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.sentencepiece_bpe import encode_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,5 +24,22 @@ g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t
 SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, t.text_sha256 FROM t JOIN g USING (text_sha256)
 """
 
-QUERIES: dict[str, Query] = {"op9_exact_dedup": op9_exact_dedup}
+
+
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    """A vocabulary file that is installed on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.arrow_limits(spark)
+    return encode_documents(common.table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES: dict[str, Query] = {
+    "op5_sentencepiece": op5_sentencepiece,
+    "op9_exact_dedup": op9_exact_dedup,
+}
 ORACLES: dict[str, str] = {"op9_exact_dedup": OP9_SQL}

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import common
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.language_id import identify
+from tessera.llm.quality_classifier import quality_scores
 from tessera.llm.sentencepiece_bpe import encode_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,7 +40,19 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(common.table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.arrow_limits(spark)
+    return identify(common.table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.arrow_limits(spark)
+    return quality_scores(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
+    "op3_language_id": op3_language_id,
+    "op8_quality": op8_quality,
     "op5_sentencepiece": op5_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import common
+from tessera.llm import common, license_scan
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.language_id import identify
 from tessera.llm.quality_classifier import quality_scores
@@ -40,6 +40,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(common.table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(common.table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.arrow_limits(spark)
     return identify(common.table(spark, sf_dir, "documents"))
@@ -51,9 +55,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_license_scan": op1_license_scan,
     "op3_language_id": op3_language_id,
     "op8_quality": op8_quality,
     "op5_sentencepiece": op5_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
 }
-ORACLES: dict[str, str] = {"op9_exact_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {
+    "op1_license_scan": license_scan.oracle(),
+    "op9_exact_dedup": OP9_SQL,
+}

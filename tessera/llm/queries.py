@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import common, license_scan
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.language_id import identify
+from tessera.llm.minhash_dedup import near_duplicates
 from tessera.llm.quality_classifier import quality_scores
 from tessera.llm.sentencepiece_bpe import encode_documents
 
@@ -49,6 +50,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(common.table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.arrow_limits(spark)
+    return near_duplicates(common.table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.arrow_limits(spark)
     return quality_scores(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
@@ -57,6 +63,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op3_language_id": op3_language_id,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op8_quality": op8_quality,
     "op5_sentencepiece": op5_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,

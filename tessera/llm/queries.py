@@ -12,6 +12,7 @@ from tessera.llm.language_id import identify
 from tessera.llm.minhash_dedup import near_duplicates
 from tessera.llm.quality_classifier import quality_scores
 from tessera.llm.sentencepiece_bpe import encode_documents
+from tessera.llm.suffix_dedup import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +56,11 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.arrow_limits(spark)
+    return remove_repeats(common.table(spark, sf_dir, "documents"), span=400)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.arrow_limits(spark)
     return quality_scores(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
@@ -64,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op3_language_id": op3_language_id,
     "op6_minhash_dedup": op6_minhash_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality": op8_quality,
     "op5_sentencepiece": op5_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import common, license_scan
+from tessera.llm import common, embedding_dedup, license_scan
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.language_id import identify
 from tessera.llm.minhash_dedup import near_duplicates
@@ -37,6 +37,10 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(common.table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.arrow_limits(spark)
     return encode_documents(common.table(spark, sf_dir, "documents"), tokenizer_path())
@@ -72,10 +76,12 @@ QUERIES: dict[str, Query] = {
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality": op8_quality,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": license_scan.oracle(),
+    "op4_embedding_dedup": embedding_dedup.ORACLE,
     "op9_exact_dedup": OP9_SQL,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import common, embedding_dedup, license_scan
+from tessera.llm import common, embedding_dedup, license_scan, warc_audit
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.language_id import identify
 from tessera.llm.minhash_dedup import near_duplicates
@@ -22,6 +22,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(common.table(spark, sf_dir, "documents"))
 
 
+def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_audit.fixity_drill(common.table(spark, sf_dir, "pages"))
+
+
 OP9_SQL = r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
@@ -79,9 +83,11 @@ QUERIES: dict[str, Query] = {
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_warc_audit": op10_warc_audit,
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": license_scan.oracle(),
     "op4_embedding_dedup": embedding_dedup.ORACLE,
     "op9_exact_dedup": OP9_SQL,
+    "op10_warc_audit": warc_audit.ORACLE,
 }

@@ -2,10 +2,11 @@
 connected components by alternating large-star and small-star.
 
 Documents with the same set of shingles are one class, and only its smallest id goes on. A bucket of classes that
-share a band is searched in two rounds, neither of which writes out all pairs of a group of near copies. In the first,
-each class is compared with one other, the smallest class that it shares most buckets with. In the second, only pairs
-of a bucket that the links found so far leave in different components are compared; so a large group of near copies,
-which is one component after the first round, has none left.
+share a band is searched in two rounds, neither of which writes out all pairs of a group. In the first, each class is
+compared with one other, the smallest class that it shares most buckets with. In the second, classes of a bucket that
+the links found so far leave in different components are compared by their signatures, in blocks, and only pairs that
+agree are written. The largest component of a bucket isn't compared within itself; so a large group of near copies,
+which is one component after the first round, meets only the few that stand apart.
 """
 
 from __future__ import annotations
@@ -21,11 +22,15 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 from tessera.llm.components import components
 
-ROWS, BANDS = 5, 36
-#: A pair at the limit of 0.8 misses all bands once in over a million times.
+ROWS, BANDS = 6, 44
+#: A pair at the limit of 0.8 misses all bands less than twice in a million times.
 HASHES = ROWS * BANDS
-#: Signatures that agree in a smaller share than this aren't of a pair at 0.8 (over five standard deviations).
-LEAST_AGREEMENT = 0.62
+#: Bytes of a signature that is compared: the low byte of so many minima.
+SKETCH = 128
+#: Sketches that agree in a smaller share than this aren't of a pair at 0.8 (over five standard deviations).
+LEAST_AGREEMENT = 0.6
+#: Classes of a bucket that are compared at once.
+BLOCK = 512
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -94,10 +99,12 @@ def _signed(words: int):
             for a, b, texts in _groups(batch):
                 sets = shingle_sets(texts, words)
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                signs = [signature(s).tobytes() if len(s) else None for s in sets]
+                signs = [signature(s) if len(s) else None for s in sets]
+                bands = [_keys(x).tobytes() if x is not None else None for x in signs]
+                sketch = [x[:SKETCH].astype(np.uint8).tobytes() if x is not None else None for x in signs]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(signs, pa.binary())],
-                    ["doc_id", "n_shingles", "digest", "sign"],
+                    [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.binary()), pa.array(sketch, pa.binary())],
+                    ["doc_id", "n_shingles", "digest", "bands", "sketch"],
                 )
 
     return run
@@ -112,26 +119,80 @@ def _sets(words: int):
     return run
 
 
+def _keys(sign: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each band's rows."""
+    key = np.arange(BANDS, dtype=np.uint64)
+    rows = sign.reshape(BANDS, ROWS).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for r in range(ROWS):
+            key = common.mix64(key * _PRIME + rows[:, r])
+    return key
+
+
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band key, id): a 64-bit key of each band's rows."""
+    """(band key, id) rows of (id, bands)."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        signs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
-        with np.errstate(over="ignore"):
-            key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), signs.shape[:2])
-            for r in range(ROWS):
-                key = common.mix64(key * _PRIME + signs[:, :, r])
-        ids = np.repeat(batch.column(0).to_numpy(), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(ids)], ["key", "id"])
+        if batch.num_rows:
+            key = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "id"])
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), SKETCH)
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures agree well enough."""
+    """Of (u, v, sketch, sketch) the pairs whose sketches agree well enough."""
     for batch in batches:
         if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, HASHES) for k in (2, 3))
-            yield batch.filter(pa.array((x == y).mean(1) >= LEAST_AGREEMENT)).select([0, 1])
+            yield batch.filter(pa.array((_sketches(batch.column(2)) == _sketches(batch.column(3))).mean(1) >= LEAST_AGREEMENT)).select([0, 1])
+
+
+def _in_blocks(percent: int):
+    """(key, unit, left, id, part, n, sketch), sorted by key and unit, to pairs (u, v) of a unit, u > v, that lie in
+    different parts and agree by size and sketch. Rows of one side aren't compared, unless they have no side."""
+
+    def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        t = pa.Table.from_batches(rows)
+        key, unit, ids, part, n = (t.column(k).to_numpy() for k in (0, 1, 3, 4, 5))
+        left = t.column(2).combine_chunks().to_numpy(zero_copy_only=False)
+        sketch = _sketches(t.column(6).combine_chunks())
+        start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (unit[1:] != unit[:-1])))
+        end = np.repeat(np.append(start[1:], len(key)), np.diff(np.append(start, len(key))))
+        after = end - np.arange(len(key)) - 1
+        out = []
+        for a, b in common.blocks_of(after.tolist(), 400_000):
+            i = np.repeat(np.arange(a, b), after[a:b])
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after[a:b]) - after[a:b], after[a:b])
+            sided = np.array([x is not None for x in left[i]], bool) if left.dtype == object else np.ones(len(i), bool)
+            ok = (part[i] != part[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((left[i] != left[j]) | ~sided)
+            i, j = i[ok], j[ok]
+            ok = (sketch[i] == sketch[j]).mean(1) >= LEAST_AGREEMENT if len(i) else np.zeros(0, bool)
+            out.append(np.stack([np.maximum(ids[i[ok]], ids[j[ok]]), np.minimum(ids[i[ok]], ids[j[ok]])], 1))
+        found = np.unique(np.concatenate(out), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # all but the last unit of a batch are complete
+            key, unit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cut = np.flatnonzero((key != key[-1]) | (unit != unit[-1]))
+            cut = int(cut[-1]) + 1 if len(cut) else 0
+            last = held[-1] if held else None
+            if cut == 0 and last is not None and (last.column(0)[-1].as_py(), last.column(1)[-1].as_py()) != (key[-1], unit[-1]):
+                yield pairs(held)
+                held = []
+            elif cut:
+                yield pairs([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield pairs(held)
+
+    return run
 
 
 def _confirmed(percent: int):
@@ -147,17 +208,33 @@ def _confirmed(percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, signs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (u, v) those that are links: by size and signature first, then on the full sets."""
-    u = signs.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("sign").alias("su"))
-    v = signs.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("sign").alias("sv"))
-    near = pairs.join(u.hint("merge"), "u").join(v.hint("merge"), "v").where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
-    near = near.select("u", "v", "su", "sv").mapInArrow(_agreeing, "u long, v long")
-    near = near.join(sets.select(F.col("id").alias("u"), F.col("members").alias("mu")).hint("merge"), "u")
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (u, v) those that are links on their full sets."""
+    near = pairs.join(sets.select(F.col("id").alias("u"), F.col("members").alias("mu")).hint("merge"), "u")
     near = near.join(sets.select(F.col("id").alias("v"), F.col("members").alias("mv")).hint("merge"), "v")
     return near.select("u", "v", "mu", "mv").mapInArrow(_confirmed(percent), "u long, v long")
 
 
+def _apart(placed: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of a bucket's classes in different parts that agree by size and sketch. placed: (key, id, part)."""
+    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    rest = common.written(placed.join(mixed.hint("merge"), "key", "left_semi"), "mixed")
+    parts = rest.groupBy("key", "part").agg(F.count("*").alias("n"))
+    info = parts.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"))
+    info = info.select("key", "main", "n_all", F.ceil(F.col("n_main") / BLOCK).alias("b_main"), F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK).alias("b_rest"))
+    rows = rest.join(info.hint("merge"), "key")
+    is_main = F.col("part") == F.col("main")
+    mine = F.when(is_main, F.pmod(F.xxhash64("id"), "b_main")).otherwise(F.col("b_main") + F.pmod(F.xxhash64("id"), "b_rest"))
+    others = F.sequence(F.when(is_main, F.col("b_main")).otherwise(F.lit(0)), F.col("b_main") + F.col("b_rest") - 1)
+    none = F.lit(None).cast("boolean")
+    pick = lambda o: F.struct((F.least(o, F.col("mine")) * (1 << 24) + F.greatest(o, F.col("mine")) + 1).alias("unit"), F.when(o != F.col("mine"), o > F.col("mine")).alias("left"))
+    units = F.when(F.col("n_all") <= BLOCK, F.array(F.struct(F.lit(0).cast("long").alias("unit"), none.alias("left")))).otherwise(F.transform("others", pick))
+    rows = rows.select("key", "id", "part", "n_all", mine.cast("long").alias("mine"), others.alias("others")).select("key", "id", "part", F.inline(units))
+    rows = rows.join(signs.hint("merge"), "id").select("key", "unit", "left", "id", "part", "n", "sketch")
+    rows = rows.repartition("key", "unit").sortWithinPartitions("key", "unit")
+    return rows.mapInArrow(_in_blocks(percent), "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -168,34 +245,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     nothing: their component_id is null and they are kept. An empty table gives no rows; other columns aren't looked at.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = common.written(rows.mapInArrow(_signed(words), "doc_id long, n_shingles long, digest binary, sign binary"), "signatures")
+    signed = common.written(rows.mapInArrow(_signed(words), "doc_id long, n_shingles long, digest binary, bands binary, sketch binary"), "signatures")
     live = signed.where("doc_id is not null and digest is not null")
-    classes = common.written(live.groupBy("digest").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.first("sign").alias("sign")), "classes")
-    signs = classes.select("id", "n", "sign")
-    banded = classes.select("id", "sign").mapInArrow(_banded, "key long, id long")
+    classes = common.written(live.groupBy("digest").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    signs = classes.select("id", "n", "sketch")
+    banded = classes.select("id", "bands").mapInArrow(_banded, "key long, id long")
     shared = banded.groupBy("key").agg(F.count("*").alias("in_key")).where("in_key > 1").select("key")
     buckets = common.written(banded.join(shared.hint("merge"), "key", "left_semi"), "buckets")
     wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
     sets = rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, members binary")
     sets = common.written(sets, "sets")
+    common.released(sets.sparkSession)
     # first round: one comparison for each class
     heads = buckets.groupBy("key").agg(F.min("id").alias("head"))
     heads = buckets.join(heads.hint("merge"), "key").where("id > head").groupBy("id", "head").agg(F.count("*").alias("n"))
     first = heads.groupBy("id").agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("v")).select(F.col("id").alias("u"), "v")
-    first = common.written(first, "pairs")
-    links = common.written(_linked(first, signs, sets, percent), "links")
+    u, v = (signs.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "uv")
+    first = first.join(u.hint("merge"), "u").join(v.hint("merge"), "v").where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
+    first = common.written(first.select("u", "v", "su", "sv").mapInArrow(_agreeing, "u long, v long"), "pairs")
+    links = common.written(_linked(first, sets, percent), "links")
     # second round: what the first leaves in different components of a bucket
     parts = components(links).withColumnRenamed("node", "id")
-    placed = buckets.join(parts, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("part"))
-    placed = common.written(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    sizes = signs.select("id", "n")
-    rest = placed.join(mixed.hint("merge"), "key", "left_semi").join(sizes.hint("merge"), "id")
-    x = rest.select("key", F.col("id").alias("u"), F.col("part").alias("pu"), F.col("n").alias("nu"))
-    y = rest.select("key", F.col("id").alias("v"), F.col("part").alias("pv"), F.col("n").alias("nv"))
-    fit = (F.col("u") > F.col("v")) & (F.col("pu") != F.col("pv")) & (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
-    pairs = x.join(y.hint("merge"), "key").where(fit).select("u", "v").distinct().join(first.hint("merge"), ["u", "v"], "left_anti")
-    more = common.written(_linked(pairs, signs, sets, percent), "links")
+    placed = common.written(buckets.join(parts.hint("merge"), "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("part")), "placed")
+    common.dropped(buckets)
+    common.released(sets.sparkSession)
+    pairs = _apart(placed, signs, percent).join(first.hint("merge"), ["u", "v"], "left_anti")
+    more = common.written(_linked(pairs, sets, percent), "links")
+    common.dropped(placed)
+    common.dropped(sets)
     member = live.select("doc_id", "digest").join(classes.select("digest", "id").hint("merge"), "digest").select("doc_id", "id")
     twice = member.groupBy("doc_id").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     same = twice.select(F.col("high").alias("u"), F.col("low").alias("v"))  # an id of two rows holds their classes together

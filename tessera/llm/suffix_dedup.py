@@ -16,14 +16,13 @@ them by sort-merge semi joins, so no bucket has to fit in a task, however many d
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common
@@ -211,7 +210,7 @@ def _pass(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     busy = rows.groupBy("bucket", "digit").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "digit")
     live = common.written(rows.join(busy.hint("merge"), ["bucket", "digit"], "left_semi"), name)
     common.dropped(rows)
-    released(live.sparkSession)
+    common.released(live.sparkSession)
     first = [F.first(c).alias(c) for c in NAMES[3:]]
     groups = common.written(live.groupBy("bucket", "digit", "whole").agg(F.count("*").alias("n"), *first), name)
     many = groups.where("n > 1").select("bucket", "digit", "whole")
@@ -220,16 +219,10 @@ def _pass(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     several = groups.groupBy("bucket", "digit").agg(F.count("*").alias("k")).where("k > 1").select("bucket", "digit")
     rest = common.written(groups.join(several.hint("merge"), ["bucket", "digit"], "left_semi").select(*NAMES), name)
     common.dropped(groups)
-    released(rest.sparkSession)
+    common.released(rest.sparkSession)
     return repeated, rest
 
 
-def released(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_windows(texts: DataFrame, span: int = SPAN, piece: int = PIECE, step: int = STEP) -> DataFrame:
     """(doc_id, text_hash, lo, hi): ranges of window starts whose windows also start elsewhere.
 
@@ -242,7 +235,7 @@ def repeated_windows(texts: DataFrame, span: int = SPAN, piece: int = PIECE, ste
     held = texts.alias("t").join(wanted.hint("merge").alias("w"), mine).select("t.doc_id", "t.text_hash", "t.text", "w.wanted")
     contexts = common.written(held.mapInArrow(_cut(span), CONTEXT), "contexts")
     common.dropped(rest)
-    released(contexts.sparkSession)
+    common.released(contexts.sparkSession)
     ranges, rest = _pass(contexts.mapInArrow(_digit1(span, piece, step), ROW), "digit1")
     left = rest.groupBy("doc_id", "text_hash", "at").agg(F.collect_list(F.struct("lo", "hi")).alias("left"))
     mine = F.col("c.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("c.text_hash") == F.col("w.text_hash")) & (F.col("c.at") == F.col("w.at"))

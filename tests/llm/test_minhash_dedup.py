@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from tessera.llm import common
+from tessera.llm import common, minhash_dedup
 from tessera.llm.components import components
 from tessera.llm.minhash_dedup import near_duplicates
 
@@ -43,8 +43,9 @@ def test_components_of_random_graphs(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-@pytest.mark.parametrize("words", [2, 5])
-def test_against_brute_force(spark, words):
+@pytest.mark.parametrize(("words", "block"), [(2, 512), (2, 4), (5, 9)])
+def test_against_brute_force(spark, monkeypatch, words, block):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
     r = random.Random(words)
     docs, base = [], [" ".join(r.choice("abcdefghij") * r.randint(1, 3) + str(r.randrange(50)) for _ in range(r.randint(1, 120))) for _ in range(25)]
     for _ in range(160):

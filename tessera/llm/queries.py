@@ -12,6 +12,7 @@ from tessera.llm.language_id import identify
 from tessera.llm.minhash_dedup import near_duplicates
 from tessera.llm.quality_classifier import quality_scores
 from tessera.llm.sentencepiece_bpe import encode_documents
+from tessera.llm.source_mixing import mixed, source_labels
 from tessera.llm.suffix_dedup import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +55,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(common.table(spark, sf_dir, "documents"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.arrow_limits(spark)
+    docs = common.table(spark, sf_dir, "documents")
+    return mixed(docs, source_labels(docs, common.table(spark, sf_dir, "labels")))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.arrow_limits(spark)
     return identify(common.table(spark, sf_dir, "documents"))
@@ -76,6 +83,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
+    "op2_source_mixing": op2_source_mixing,
     "op3_language_id": op3_language_id,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,

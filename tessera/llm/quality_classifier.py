@@ -19,6 +19,7 @@ from tessera.llm import common
 
 BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
+LEAST_STEPS = 4000
 PIECE = 500_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 BLANKS = np.array([9, 10, 11, 12, 13, 32], np.uint32)
@@ -82,7 +83,9 @@ class Classifier:
         self.rng = rng
 
     def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = 6, rate: float = 0.6) -> Classifier:
-        """bags: distinct buckets and counts of each text. Plain stochastic descent with a linearly falling rate."""
+        """bags: distinct buckets and counts of each text. Plain stochastic descent with a linearly falling rate; few
+        texts are gone through more often, to LEAST_STEPS steps in all."""
+        epochs = max(epochs, -(-LEAST_STEPS // max(1, len(bags))))
         steps, done = epochs * len(bags), 0
         for _ in range(epochs):
             for i in self.rng.permutation(len(bags)):
@@ -184,3 +187,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_mod: int = 3, held_r
     weights, offset = train(docs, labels, learnable=rest != held_rest)
     out = score_documents(docs, weights, offset)
     return out.select("doc_id", F.coalesce(rest == held_rest, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5, held_mod: int = 3, held_rest: int = 1) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is least or more. Learns as quality_scores does."""
+    weights, offset = train(docs, labels, learnable=common.crc_mod("doc_id", held_mod) != held_rest)
+    held = docs.sparkSession.sparkContext.broadcast(weights)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = scores([t or "" for t in batch.column(at).to_pylist()], held.value, offset)
+            yield batch.filter(pa.array(s >= least, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

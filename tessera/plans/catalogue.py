@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tessera.plans import evaluation, graphs, joins, quality, records, relational, streams, texts, vectors  # noqa: F401
+from tessera.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

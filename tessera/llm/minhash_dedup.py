@@ -31,6 +31,9 @@ SKETCH = 128
 LEAST_AGREEMENT = 0.6
 #: Classes of a bucket that are compared at once.
 BLOCK = 512
+#: In buckets of more classes than this, the smallest LEAST shingle hashes of each are compared as well.
+CROWD = 24
+LEAST = 512
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -110,6 +113,13 @@ def _signed(words: int):
     return run
 
 
+def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, low): the upper halves of the smallest LEAST hashes of each set."""
+    for batch in batches:
+        lows = [(np.frombuffer(m, np.uint64)[:LEAST] >> np.uint64(32)).astype(np.uint32).tobytes() for m in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lows, pa.binary())], ["id", "low"])
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,9 +158,35 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.filter(pa.array((_sketches(batch.column(2)) == _sketches(batch.column(3))).mean(1) >= LEAST_AGREEMENT)).select([0, 1])
 
 
+def _common(lows: list[bytes], a: int, b: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many of the least hashes rows i and j have in common; all of them lie in the rows a to b, where many do."""
+    size = np.array([len(x) // 4 for x in lows[a:b]])
+    column, flat = np.unique(np.frombuffer(b"".join(lows[a:b]), np.uint32), return_inverse=True)
+    row = np.repeat(np.arange(b - a), size)
+    often = np.bincount(flat, minlength=len(column)) > 1
+    new = np.cumsum(often) - 1
+    row, flat = row[often[flat]], new[flat[often[flat]]]
+    total = np.zeros((b - a, b - a), np.float32)
+    for at in range(0, int(often.sum()), 4096):
+        some = (flat >= at) & (flat < at + 4096)
+        x = np.zeros((b - a, 4096), np.float32)
+        x[row[some], flat[some] - at] = 1
+        total += x @ x.T
+    return total[i - a, j - a]
+
+
+def _may_link(both: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m elements can link that have so many of their least hashes in common: for certain where
+    both sets are of LEAST at most, else but for six standard deviations."""
+    need = percent * (n + m) / (100 + percent)
+    share = LEAST * need / np.maximum(n, m)
+    return np.where(np.maximum(n, m) <= LEAST, both >= need - 1e-6, both >= share - 6 * np.sqrt(LEAST) / 2)
+
+
 def _in_blocks(percent: int):
-    """(key, unit, left, id, part, n, sketch), sorted by key and unit, to pairs (u, v) of a unit, u > v, that lie in
-    different parts and agree by size and sketch. Rows of one side aren't compared, unless they have no side."""
+    """(key, unit, left, id, part, n, sketch, low), sorted by key and unit, to pairs (u, v) of a unit, u > v, that lie
+    in different parts and agree by size, sketch and, where they are given, the least hashes. Rows of one side aren't
+    compared, unless they have no side."""
 
     def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(rows)
@@ -158,7 +194,9 @@ def _in_blocks(percent: int):
         left = t.column(2).combine_chunks().to_numpy(zero_copy_only=False)
         sketch = _sketches(t.column(6).combine_chunks())
         start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (unit[1:] != unit[:-1])))
-        end = np.repeat(np.append(start[1:], len(key)), np.diff(np.append(start, len(key))))
+        size = np.diff(np.append(start, len(key)))
+        first, end = np.repeat(start, size), np.repeat(np.append(start[1:], len(key)), size)
+        low = t.column(7).to_pylist()
         after = end - np.arange(len(key)) - 1
         out = []
         for a, b in common.blocks_of(after.tolist(), 400_000):
@@ -168,6 +206,12 @@ def _in_blocks(percent: int):
             ok = (part[i] != part[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((left[i] != left[j]) | ~sided)
             i, j = i[ok], j[ok]
             ok = (sketch[i] == sketch[j]).mean(1) >= LEAST_AGREEMENT if len(i) else np.zeros(0, bool)
+            i, j = i[ok], j[ok]
+            ok = np.ones(len(i), bool)
+            for x in np.unique(first[i]):  # crowded units, one after another
+                if low[x]:
+                    mine = first[i] == x
+                    ok[mine] = _may_link(_common(low, x, end[x], i[mine], j[mine]), n[i[mine]], n[j[mine]], percent)
             out.append(np.stack([np.maximum(ids[i[ok]], ids[j[ok]]), np.minimum(ids[i[ok]], ids[j[ok]])], 1))
         found = np.unique(np.concatenate(out), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
@@ -215,7 +259,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.select("u", "v", "mu", "mv").mapInArrow(_confirmed(percent), "u long, v long")
 
 
-def _apart(placed: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+def _apart(placed: DataFrame, signs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) of a bucket's classes in different parts that agree by size and sketch. placed: (key, id, part)."""
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
     rest = common.written(placed.join(mixed.hint("merge"), "key", "left_semi"), "mixed")
@@ -229,8 +273,12 @@ def _apart(placed: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     none = F.lit(None).cast("boolean")
     pick = lambda o: F.struct((F.least(o, F.col("mine")) * (1 << 24) + F.greatest(o, F.col("mine")) + 1).alias("unit"), F.when(o != F.col("mine"), o > F.col("mine")).alias("left"))
     units = F.when(F.col("n_all") <= BLOCK, F.array(F.struct(F.lit(0).cast("long").alias("unit"), none.alias("left")))).otherwise(F.transform("others", pick))
-    rows = rows.select("key", "id", "part", "n_all", mine.cast("long").alias("mine"), others.alias("others")).select("key", "id", "part", F.inline(units))
-    rows = rows.join(signs.hint("merge"), "id").select("key", "unit", "left", "id", "part", "n", "sketch")
+    rows = rows.select("key", "id", "part", "n_all", (F.col("n_all") > CROWD).alias("crowded"), mine.cast("long").alias("mine"), others.alias("others")).select("key", "id", "part", "crowded", F.inline(units))
+    rows = common.written(rows, "units")
+    in_crowd = common.written(rows.where("crowded").select("id").distinct(), "crowds")
+    low = sets.join(in_crowd.hint("merge"), "id", "left_semi").mapInArrow(_least, "id long, low binary")
+    signs = common.written(signs.join(low.hint("merge"), "id", "left"), "signs")
+    rows = rows.join(signs.hint("merge"), "id").select("key", "unit", "left", "id", "part", "n", "sketch", F.when(F.col("crowded"), F.col("low")).otherwise(F.lit(b"")).alias("low"))
     rows = rows.repartition("key", "unit").sortWithinPartitions("key", "unit")
     return rows.mapInArrow(_in_blocks(percent), "u long, v long").distinct()
 
@@ -256,10 +304,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sets = rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, members binary")
     sets = common.written(sets, "sets")
     common.released(sets.sparkSession)
-    # first round: one comparison for each class
-    heads = buckets.groupBy("key").agg(F.min("id").alias("head"))
-    heads = buckets.join(heads.hint("merge"), "key").where("id > head").groupBy("id", "head").agg(F.count("*").alias("n"))
-    first = heads.groupBy("id").agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("v")).select(F.col("id").alias("u"), "v")
+    # first round: one comparison for each class, with the head that it shares most buckets with; the head of a bucket
+    # is the class with most companions over all its buckets, which in a group of edited copies is their original
+    sized = buckets.groupBy("key").agg(F.count("*").alias("size"))
+    degree = buckets.join(common.written(sized, "sizes").hint("merge"), "key").groupBy("id").agg(F.sum("size").alias("degree"))
+    ranked = buckets.join(common.written(degree, "degrees").hint("merge"), "id").select("key", "id", F.struct("degree", -F.col("id")).alias("place"))
+    heads = common.written(ranked.groupBy("key").agg(F.max("place").alias("top")).select("key", (-F.col("top.col2")).alias("head"), "top"), "heads")
+    heads = ranked.join(heads.hint("merge"), "key").where("place < top").groupBy("id", "head").agg(F.count("*").alias("n"), F.max("top").alias("top"))
+    first = heads.groupBy("id").agg(F.max_by("head", F.struct("n", "top")).alias("v")).select(F.col("id").alias("u"), "v")
     u, v = (signs.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "uv")
     first = first.join(u.hint("merge"), "u").join(v.hint("merge"), "v").where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
     first = common.written(first.select("u", "v", "su", "sv").mapInArrow(_agreeing, "u long, v long"), "pairs")
@@ -269,7 +321,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     placed = common.written(buckets.join(parts.hint("merge"), "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("part")), "placed")
     common.dropped(buckets)
     common.released(sets.sparkSession)
-    pairs = _apart(placed, signs, percent).join(first.hint("merge"), ["u", "v"], "left_anti")
+    pairs = _apart(placed, signs, sets, percent).join(first.hint("merge"), ["u", "v"], "left_anti")
     more = common.written(_linked(pairs, sets, percent), "links")
     common.dropped(placed)
     common.dropped(sets)

@@ -46,6 +46,7 @@ def test_components_of_random_graphs(spark):
 @pytest.mark.parametrize(("words", "block"), [(2, 512), (2, 4), (5, 9)])
 def test_against_brute_force(spark, monkeypatch, words, block):
     monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    monkeypatch.setattr(minhash_dedup, "CROWD", 2 if block < 10 else 24)
     r = random.Random(words)
     docs, base = [], [" ".join(r.choice("abcdefghij") * r.randint(1, 3) + str(r.randrange(50)) for _ in range(r.randint(1, 120))) for _ in range(25)]
     for _ in range(160):

@@ -69,20 +69,29 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, record_offset long, record_id string, url string, body string")
 
 
-def filed(pages: DataFrame) -> DataFrame:
-    """(file, page_id, copies, record, digest): the records of pages and the file of each.
+def _records(pages: DataFrame) -> DataFrame:
+    text = record_text(F.col("page_id"), F.col("url").cast("string"), F.col("html").cast("string"))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), text.alias("record")).withColumn("digest", F.sha2("record", 256))
+
+
+def _in_files(rows: DataFrame, kept: list[str]) -> DataFrame:
+    """(file, page_id, digest, copies, and kept) of rows with page_id, digest and kept.
 
     A file has PER_FILE consecutive page ids; one with over FULL different records is divided by their digests. Equal
     rows are one record with a number of copies.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), record_text(F.col("page_id"), F.col("url").cast("string"), F.col("html").cast("string")).alias("record"))
-    rows = rows.withColumn("digest", F.sha2("record", 256)).groupBy("page_id", "digest").agg(F.count("*").alias("copies"), F.first("record").alias("record"))
+    rows = rows.groupBy("page_id", "digest").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in kept])
     base = F.coalesce(F.floor(F.col("page_id") / PER_FILE).cast("string"), F.lit("null"))
     rows = common.written(rows.withColumn("file", base), "records")
     large = rows.groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") > FULL).select("file", F.lit(True).alias("split"))
     rows = rows.join(large.hint("merge"), "file", "left")
     part = F.when(F.col("split"), F.concat("file", F.lit("-"), F.substring("digest", 1, 4))).otherwise(F.col("file"))
-    return rows.select(part.alias("file"), "page_id", "copies", "record", "digest")
+    return rows.select(part.alias("file"), "page_id", "copies", "digest", *kept)
+
+
+def filed(pages: DataFrame) -> DataFrame:
+    """(file, page_id, copies, digest, record): the records of pages and the file of each."""
+    return _in_files(_records(pages), ["record"])
 
 
 def leaves(records: DataFrame) -> DataFrame:
@@ -148,21 +157,27 @@ def audit(manifest: DataFrame, replica: DataFrame) -> DataFrame:
     return known.select(*cols, F.coalesce("status", F.lit("ok")).alias("status")).unionByName(told.where("status = 'extra'").select(*cols, "status"))
 
 
-def damaged(records: DataFrame) -> DataFrame:
-    """A copy of filed() records with known damage, for drills: by crc32 of the page id modulo 97, at 3 the last
+def _damage() -> tuple[Column, Column]:
+    """(lost, record) of a copy with known damage, for drills: by crc32 of the page id modulo 97, at 3 the last
     character changes, at 5 the record is lost, at 7 its last character is cut off."""
     rest = common.crc_mod("page_id", 97)
     head = F.expr("substring(record, 1, length(record) - 1)")
     record = F.when(rest == 3, F.concat(head, F.when(F.col("record").endswith(">"), "<").otherwise(">"))).when(rest == 7, head).otherwise(F.col("record"))
-    return records.where(F.coalesce(rest != 5, F.lit(True))).withColumn("record", record).withColumn("digest", F.sha2("record", 256))
+    return F.coalesce(rest == 5, F.lit(False)), record
 
 
 def fixity_drill(pages: DataFrame) -> DataFrame:
-    """Audits a damaged copy of the records of all pages against their manifest. Repeated rows are one record with its
-    copies; null urls and bodies count as empty; an empty table gives no rows; other columns aren't looked at."""
-    records = common.written(filed(pages), "records")
-    facts = ["file", "page_id", "digest", "copies", F.octet_length("record").cast("long").alias("n_bytes")]
-    return audit(records.select(*facts), damaged(records).select(*facts))
+    """Audits a damaged copy of the records of all pages against their manifest.
+
+    Digests and sizes of both are taken where the pages are read, so no text is shuffled. Repeated rows are one record
+    with its copies; null urls and bodies count as empty; an empty table gives no rows; other columns aren't looked at.
+    """
+    lost, copy = _damage()
+    size = lambda c: F.octet_length(c).cast("long")
+    rows = _records(pages).select("page_id", "digest", size("record").alias("n_bytes"), F.sha2(copy, 256).alias("copy_digest"), size(copy).alias("copy_bytes"), lost.alias("lost"))
+    rows = common.written(_in_files(rows, ["n_bytes", "copy_digest", "copy_bytes", "lost"]), "facts")
+    replica = rows.where("not lost").select("file", "page_id", F.col("copy_digest").alias("digest"), "copies", F.col("copy_bytes").alias("n_bytes"))
+    return audit(rows.select("file", "page_id", "digest", "copies", "n_bytes"), replica)
 
 
 ORACLE = r"""

@@ -239,7 +239,9 @@ def repeated_windows(texts: DataFrame, span: int = SPAN, piece: int = PIECE, ste
     ranges, rest = _pass(contexts.mapInArrow(_digit1(span, piece, step), ROW), "digit1")
     left = rest.groupBy("doc_id", "text_hash", "at").agg(F.collect_list(F.struct("lo", "hi")).alias("left"))
     mine = F.col("c.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("c.text_hash") == F.col("w.text_hash")) & (F.col("c.at") == F.col("w.at"))
-    held = contexts.alias("c").join(left.hint("merge").alias("w"), mine).select("c.*", "w.left")
+    # an anchor at the boundary of two chunks has a context in each, and a range is in the one that covers it
+    inside = F.filter("w.left", lambda r: (r["lo"] >= F.col("c.lo")) & (r["hi"] <= F.col("c.hi")))
+    held = contexts.alias("c").join(left.hint("merge").alias("w"), mine).select("c.*", inside.alias("left")).where(F.size("left") > 0)
     windows, _ = _pass(held.mapInArrow(_digit2(span), ROW), "digit2")
     common.dropped(contexts)
     return whole.unionByName(ranges).unionByName(windows)

@@ -54,6 +54,17 @@ def test_long_texts_in_chunks(spark, monkeypatch):
     check(spark, list(enumerate(texts)), 1)
 
 
+def test_texts_over_a_real_chunk(spark):
+    """Workers don't see a patched CHUNK: texts over 1 MiB, whose anchors have windows on both sides of the boundary."""
+    r = random.Random(5)
+    part = lambda n: "".join(r.choices("ab", k=n))
+    shared = part(900)
+    texts = [part(suffix_dedup.CHUNK + r.randint(2000, 5000)) for _ in range(3)]
+    at = suffix_dedup.CHUNK - 500
+    texts[2] = texts[2][:at] + shared + texts[2][at:]
+    check(spark, list(enumerate([*texts, part(50) + shared])), 1)
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)]])
 def test_nothing(spark, rows):
     check(spark, rows) if rows else None

@@ -12,11 +12,12 @@ posteriors that is written once, and nothing that grows with the documents comes
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common
@@ -26,6 +27,10 @@ BUCKETS = 1 << 15
 OTHER = "other"
 #: Weight of the source token against all words together.
 SOURCE_WEIGHT = 1.0
+#: Rows of each domain that are learned from in any case.
+LEAST = 8
+#: A target is missed when the expected tokens are off by more than this share of it.
+MISSED = 0.01
 
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -50,26 +55,29 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([domain]), pa.array([source], pa.string()), pa.array([at.astype("<i4").tobytes()]), pa.array([n.astype("<i4").tobytes()])], ["doc_id", "domain", "source", "buckets", "counts"])
 
 
-def train(docs: DataFrame, labelled: DataFrame, max_docs: int = 2000, max_domains: int = 64, epochs: int = 8, rate: float = 2.0) -> tuple[np.ndarray, list[str]]:
+def train(docs: DataFrame, labelled: DataFrame, max_docs: int = 2000, epochs: int = 8, rate: float = 2.0) -> tuple[np.ndarray, list[str]]:
     """(weights, domains) of a softmax over mean word vectors and a source token.
 
-    labelled: (doc_id, domain); of several domains of an id the smallest counts. The max_domains commonest are learned,
-    others are one domain more; at most max_docs rows, drawn by a hash of the id, are learned from. In half of the
-    steps the source token is left out, so that a document without a source is judged by its words.
+    labelled: (doc_id, domain); of several domains of an id the smallest counts. Every domain is learned: from max_docs
+    rows, drawn by a hash of the id, and from the first LEAST rows of each domain. In half of the steps the source token
+    is left out, so that a document without a source is judged by its words.
     """
     known = labelled.select("doc_id", "domain").where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    tops = [r["domain"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(max_domains + 1).collect()]
-    if not tops:
+    count = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    if not count:
         return np.zeros((2 * BUCKETS + 1, 1), np.float32), [OTHER]
-    domains = sorted(tops if len(tops) <= max_domains else [*tops[:max_domains], OTHER])
-    ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    domains = sorted(count)
+    drawn = [F.xxhash64("doc_id"), F.col("doc_id")]
+    least = known.withColumn("k", F.row_number().over(Window.partitionBy("domain").orderBy(*drawn))).where(F.col("k") <= LEAST).drop("k")
+    ids = known.orderBy(*drawn).limit(max_docs).unionByName(least).distinct()
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").join(F.broadcast(ids), "doc_id")
     found = rows.select("doc_id", "domain", "source", "text").mapInArrow(_bags, "doc_id long, domain string, source string, buckets binary, counts binary").toPandas()
     found = found.sort_values(["doc_id", "domain"], ignore_index=True)
     index = {d: k for k, d in enumerate(domains)}
-    y = [index.get(d, index.get(OTHER, 0)) for d in found["domain"]]
+    y = [index[d] for d in found["domain"]]
     w = np.zeros((2 * BUCKETS + 1, len(domains)), np.float32)
-    w[-1] = np.log((np.bincount(y, minlength=len(domains)) + 0.5) / (len(y) + 0.5))
+    n = np.array([count[d] for d in domains])
+    w[-1] = np.log((n + 0.5) / (n.sum() + 0.5))
     rng, steps, done = np.random.default_rng(3), epochs * len(found), 0
     bags = [(np.frombuffer(b, "<i4"), np.frombuffer(c, "<i4").astype(np.float32), _source_bucket(s)) for b, c, s in zip(found["buckets"], found["counts"], found["source"], strict=True)]
     for _ in range(epochs):
@@ -158,6 +166,7 @@ def _summed(table: DataFrame, pulls: np.ndarray, second: bool, size: int) -> np.
 
 def fit(table: DataFrame, domains: int, weights: np.ndarray, total: float | None = None, steps: int = 40, close: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(pulls, reached, targets): projected-gradient steps until every domain is within close of its target, or all done.
+    While a target is missed, steps go on as long as ten of them bring the worst domain nearer by a tenth.
 
     weights: the share of each domain; total: expected tokens of the mixture. Without it, the least total at which no
     domain has to give tokens up.
@@ -171,9 +180,11 @@ def fit(table: DataFrame, domains: int, weights: np.ndarray, total: float | None
     root = np.sqrt(scale)
     top = float(np.linalg.eigvalsh(root[:, None] * moments * root[None, :])[-1])
     pulls = np.zeros((0, domains))
-    for _ in range(steps if top > 0 else 0):
+    worst: list[float] = []
+    while top > 0:
         off = (now - targets) * scale
-        if np.abs(off).max() <= close:
+        worst.append(float(np.abs(off).max()))
+        if worst[-1] <= close or (len(pulls) >= steps and (worst[-1] <= MISSED or worst[-1] > 0.9 * worst[-11:][0])):
             break
         pulls = np.concatenate([pulls, (off / top)[None, :]])
         now = _summed(table, pulls, False, domains)
@@ -199,7 +210,8 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
     targets: weights of domains; without them the domains' expected tokens to the power temperature. copies is the rate
     rounded down or up by a hash of the id, so its expectation over ids is the rate; with keep_all it is 1 at least.
     Null texts are empty and have no tokens; a null source is no evidence. With no labelled row there is one domain,
-    and all rates are 1. Repeated rows each give a row; an empty table gives none.
+    and all rates are 1. Repeated rows each give a row; an empty table gives none. Targets that the fit misses, or that
+    are of domains without a labelled row, are told in a warning.
     """
     weights, domains = train(docs, labelled)
     table = common.written(posteriors(docs, weights, extra), "posteriors")
@@ -208,7 +220,14 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
         wanted = np.maximum(found, 0) ** temperature
     else:
         wanted = np.array([targets.get(d, 0.0) for d in domains])
-    pulls = fit(table, len(domains), wanted, total)[0] if wanted.sum() > 0 else np.zeros((0, len(domains)))
+    missed = [f"{d}: no labelled row" for d in sorted(set(targets or {}) - set(domains))]
+    pulls = np.zeros((0, len(domains)))
+    if wanted.sum() > 0:
+        pulls, reached, goals = fit(table, len(domains), wanted, total)
+        off = np.abs(reached - goals) > MISSED * np.maximum(goals, 1e-9 * max(goals.sum(), 1))
+        missed += [f"{domains[k]}: {reached[k]:.0f} of {goals[k]:.0f} tokens" for k in np.flatnonzero(off)]
+    if missed:
+        warnings.warn("mixing targets missed: " + "; ".join(missed), stacklevel=2)
     kept = extra or []
     types = dict(docs.dtypes)
     schema = "doc_id long, n_tokens long, domain string, posterior double, rate double" + "".join(f", `{c}` {types[c]}" for c in kept)

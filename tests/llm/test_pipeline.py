@@ -1,9 +1,11 @@
 import hashlib
 import re
+import warnings
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -85,3 +87,24 @@ def test_rates_meet_targets(spark, sf):
     assert abs(total / (reached.sum() / 3) - 1) < 0.02 and abs(sum(r.copies * r.n_tokens for r in rows) / total - 1) < 0.1
     none = mixed(docs.limit(5), labelled.limit(0)).collect()
     assert [(r.domain, r.rate, r.copies) for r in none] == [("other", 1.0, 1)] * 5
+
+
+def test_every_labelled_source_is_a_domain(spark):
+    """80 sources; the smallest has 9 of some 2,400 documents and the largest target, which takes over 40 steps."""
+    rng = np.random.default_rng(2)
+    sizes = {f"s{k:02d}": 30 for k in range(79)} | {"tiny": 9}
+    rows = [(s, " ".join(f"{s}w{rng.integers(30)}" if rng.random() < 0.5 else f"w{rng.integers(300)}" for _ in range(40))) for s, n in sizes.items() for _ in range(n)]
+    docs = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, source string").repartition(2)
+    labelled = docs.select("doc_id", F.col("source").alias("domain"))
+    weights, domains = train(docs, labelled, max_docs=300)
+    assert domains == sorted(sizes)
+    table = posteriors(docs, weights, ["source"]).collect()
+    assert np.mean([domains[int(np.argmax(r.p))] == r.source for r in table]) > 0.95
+    targets = dict.fromkeys(domains, 1.0) | {"tiny": 3.0}
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        out = mixed(docs, labelled, targets=targets, keep_all=False).collect()
+    tokens = {s: sum(r.rate * r.n_tokens for r in out if r.domain == s) for s in sizes}
+    assert 2.5 < tokens["tiny"] / np.mean([tokens[f"s{k:02d}"] for k in range(79)]) < 3.5
+    with pytest.warns(UserWarning, match="missed.*absent: no labelled row"):
+        mixed(docs, labelled, targets=targets | {"absent": 1.0})

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: White space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Folders that written() has made and nobody has deleted yet.
+_paths: list[str] = []
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -21,9 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or one of our own where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+
+    Where it is unset, a session with master local gets a folder of its own; on a cluster that is an error, as its
+    machines don't see each other's folders.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,23 +40,41 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one; clear() deletes it."""
+    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    _paths.append(path)
+    return path
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _paths[:] = [p for p in _paths if p != path]
+
+
+def dropped(*tables: DataFrame) -> None:
     """Deletes what written() stored, once no later step reads it."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if "/tessera/" in folder.toString():
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    for df in tables:
+        files = df.inputFiles()[:1]
+        for path in [p for p in _paths if files and p.rsplit("/", 1)[1] == files[0].rsplit("/", 2)[1]]:
+            deleted(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that operators of this process have left for the plans they returned, once these are consumed."""
+    for path in list(_paths):
+        deleted(spark, path)
 
 
 def released(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more: it does so when the driver's heap is
+    collected, which by itself happens too seldom to bound the disk of a job of many steps."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -1,11 +1,20 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
 
 from tessera.llm import common, suffix_dedup
-from tessera.llm.suffix_dedup import remove_repeats
+from tessera.llm.suffix_dedup import byte_tokens, remove_repeats
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute_words(texts, span=51):
+    words = [WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
+    seen = Counter(tuple(w[i : i + span]) for w in words for i in range(len(w) - span + 1))
+    return [len({k for i in range(len(w) - span + 1) if seen[tuple(w[i : i + span])] > 1 for k in range(i, i + span)}) for w in words]
 
 
 def brute(texts, span=400):
@@ -24,8 +33,9 @@ def brute(texts, span=400):
 
 def check(spark, rows, parts=3):
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, lo long").repartition(parts)
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df).collect())
-    assert got == Counter((i, *b) for (i, _), b in zip(rows, brute([t for _, t in rows]), strict=True))
+    got = Counter(tuple(r) for r in remove_repeats(df).collect())
+    texts = [t for _, t in rows]
+    assert got == Counter((i, *b, n) for (i, _), b, n in zip(rows, brute(texts), brute_words(texts), strict=True))
 
 
 def test_passages_and_copies(spark):
@@ -38,6 +48,7 @@ def test_passages_and_copies(spark):
         t = r.choice(texts)
         at = r.randrange(len(t))
         texts.append(t[:at] + r.choice(["x", "", "é"]) + t[at + r.randint(0, 2) :])
+    texts += ["a b " * 25 + "a", "A B " * 25 + "a", "the 51 words " * 17, "x\n" * 50, passages[1].upper() + " end", text(60)]
     texts += [None, "", "a" * 399, "a" * 400, "b" * 1300, "c" * 401, "ab" * 700, texts[0], texts[0], passages[3], passages[3][:399], " \n" * 900]
     rows = list(enumerate(texts)) + [(None, texts[1]), (None, texts[1]), (7, texts[7]), (7, texts[8])]
     check(spark, rows)
@@ -49,7 +60,7 @@ def test_long_texts_in_chunks(spark, monkeypatch):
     shared = part(1500)
     monkeypatch.setattr(suffix_dedup, "CHUNK", 2000)
     texts = [part(1700) + shared + part(3000) + shared[300:1200] + part(100), shared + part(900), part(5000)]
-    got = [x for b in (suffix_dedup.chunks([t.encode() for t in texts], 400)) for x in b[3][b[1]].tolist()]
+    got = [x for b in (suffix_dedup.chunks(byte_tokens([t.encode() for t in texts]), 400)) for x in b[3][b[1]].tolist()]
     assert sorted(got) == sorted(i for t in texts for i in range(len(t) - 399))
     check(spark, list(enumerate(texts)), 1)
 
@@ -76,4 +87,5 @@ def test_whole_table(spark, sf):
     docs = common.table(spark, sf, "documents")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = {r.doc_id: tuple(r)[1:] for r in remove_repeats(docs).collect()}
-    assert got == {i: b for (i, _), b in zip(rows, brute([t for _, t in rows]), strict=True)}
+    texts = [t for _, t in rows]
+    assert got == {i: (*b, n) for (i, _), b, n in zip(rows, brute(texts), brute_words(texts), strict=True)}

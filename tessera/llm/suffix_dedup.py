@@ -1,7 +1,7 @@
 """Suffix-array dedup (7): repeated windows of tokens by a depth-limited most-significant-digit radix sort.
 
 The suffixes to order are the starts of all windows of ``span`` tokens, and only their first span tokens count. A token
-is a byte (BYTES, windows of 400) or a word (WORDS, windows of 51). Passes go from a coarse digit to the whole window;
+is a byte (windows of 400) or a word (windows of 51). Passes go from a coarse digit to the whole window;
 what is alone in its bucket after a pass is in no repeated window and leaves.
 
 * Digit 0 is a window's anchor: the leftmost smallest hash among its pieces of ``piece`` tokens. Windows with equal
@@ -43,8 +43,9 @@ REGION = 1 << 13
 _U = np.uint64
 _PRIME = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-#: doc_id and the hash of the text: which text a row is of. lo, hi: first and last window start; at: the anchor.
-ROW = "bucket long, digit long, whole long, doc_id long, text_hash long, lo long, hi long, at long"
+#: doc_id and the hash of the text: which text a row is of. lo, hi: first and last window start; at: the anchor; unit:
+#: the place in the list of units. The bucket depends on the unit, so all units share the passes.
+ROW = "bucket long, digit long, whole long, doc_id long, text_hash long, lo long, hi long, at long, unit int"
 NAMES = [x.split()[0] for x in ROW.split(", ")]
 
 
@@ -76,8 +77,6 @@ class Unit:
             raise ValueError(f"a window has to have {2 * self.piece} tokens or more")
 
 
-BYTES = Unit(byte_tokens, "u1", SPAN, PIECE, STEP)
-WORDS = Unit(word_tokens, "<u8", WORD_SPAN, 8, 8)
 
 
 @cache
@@ -156,45 +155,55 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
 
 
-def _digit0(unit: Unit):
+def _rows(batch: pa.RecordBatch, ids: int, take: np.ndarray, unit: int, bucket: pa.Array, *columns: np.ndarray) -> pa.RecordBatch:
+    """Rows of ROW: doc_id and text_hash are the columns at ids of the batch, taken at the given rows."""
+    digit, whole, *places = map(_signed, columns)
+    at = pa.array(take)
+    return pa.RecordBatch.from_arrays([bucket, digit, whole, batch.column(ids).take(at), batch.column(ids + 1).take(at), *places, pa.array(np.full(len(take), unit, np.int32))], NAMES)
+
+
+def _digit0(units: list[Unit]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, valid, owner, offset in chunks(unit.tokens(_bytes(batch.column(2))), unit.span):
-                a, lo, hi, own, whole = anchors(data, valid, unit.span, unit.piece)
-                if len(a):
-                    take = pa.array(owner[a])
-                    shift = offset[a] - a
-                    none = np.zeros(len(a), np.int64)
-                    yield pa.RecordBatch.from_arrays([_signed(own), _signed(none), _signed(whole), batch.column(0).take(take), batch.column(1).take(take), _signed(lo + shift), _signed(hi + shift), _signed(a + shift)], NAMES)
+            texts = _bytes(batch.column(2))
+            for k, unit in enumerate(units):
+                for data, valid, owner, offset in chunks(unit.tokens(texts), unit.span):
+                    a, lo, hi, own, whole = anchors(data, valid, unit.span, unit.piece)
+                    if len(a):
+                        shift = offset[a] - a
+                        yield _rows(batch, 0, owner[a], k, _signed(_mixed(own, np.full(len(a), k))), np.zeros(len(a), np.int64), whole, lo + shift, hi + shift, a + shift)
 
     return run
 
 
-def _cut(unit: Unit):
+def _cut(units: list[Unit]):
     """The tokens that the windows of each wanted anchor cover, out of (doc_id, text_hash, text, wanted)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), unit.tokens(_bytes(batch.column(2))), batch.column(3).to_pylist(), strict=True)
-            for doc_id, text_hash, tokens, wanted in rows:
-                for w in wanted:
-                    out.append((w["bucket"], doc_id, text_hash, w["lo"], w["hi"], w["at"], tokens[w["lo"] : w["hi"] + unit.span].tobytes()))
-                if len(out) > 4000:
+            texts = _bytes(batch.column(2))
+            for k, unit in enumerate(units):
+                out: list[tuple] = []
+                rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), unit.tokens(texts), batch.column(3).to_pylist(), strict=True)
+                for doc_id, text_hash, tokens, wanted in rows:
+                    for w in wanted:
+                        if w["unit"] == k:
+                            out.append((w["bucket"], doc_id, text_hash, w["lo"], w["hi"], w["at"], tokens[w["lo"] : w["hi"] + unit.span].tobytes(), k))
+                    if len(out) > 4000:
+                        yield _context_batch(out)
+                        out = []
+                if out:
                     yield _context_batch(out)
-                    out = []
-            if out:
-                yield _context_batch(out)
 
     return run
 
 
-CONTEXT = "bucket long, doc_id long, text_hash long, lo long, hi long, at long, tokens binary"
+CONTEXT = "bucket long, doc_id long, text_hash long, lo long, hi long, at long, tokens binary, unit int"
 
 
 def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:6]] + [pa.array(columns[6], pa.binary())], [x.split()[0] for x in CONTEXT.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:6]] + [pa.array(columns[6], pa.binary()), pa.array(columns[7], pa.int32())], [x.split()[0] for x in CONTEXT.split(", ")])
 
 
 def _contexts(batch: pa.RecordBatch, kind: str) -> Iterator[tuple[int, int, Hashed, np.ndarray, np.ndarray]]:
@@ -206,13 +215,21 @@ def _contexts(batch: pa.RecordBatch, kind: str) -> Iterator[tuple[int, int, Hash
         yield a, b, Hashed(np.frombuffer(b"".join(parts[a:b]), kind)), np.cumsum(size) - size, np.arange(a, b)
 
 
-def _digit1(unit: Unit):
-    span, piece, step = unit.span, unit.piece, unit.step
+def _of_unit(batches: Iterator[pa.RecordBatch], units: list[Unit]) -> Iterator[tuple[pa.RecordBatch, int, Unit]]:
+    for batch in batches:
+        mine = batch.column(7).to_numpy()
+        for k, unit in enumerate(units):
+            some = batch.filter(pa.array(mine == k))
+            if some.num_rows:
+                yield some, k, unit
+
 
+def _digit1(units: list[Unit]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, k, unit in _of_unit(batches, units):
+            span, piece, step = unit.span, unit.piece, unit.step
             for a, b, hashed, base, row in _contexts(batch, unit.kind):
-                lo, hi, at = (batch.column(k).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 4, 5))
+                lo, hi, at = (batch.column(c).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64) for c in (3, 4, 5))
                 back = span - piece  # the earliest window of an anchor starts so far before it
                 first, last = (lo - at + back) // step, (hi - at + back) // step
                 n = last - first + 1
@@ -223,26 +240,24 @@ def _digit1(unit: Unit):
                 shared = hashed.part(zero + np.minimum(end, at[i]), zero + np.maximum(start + span, at[i] + piece))
                 from_, to = np.maximum(start, lo[i]), np.minimum(end, hi[i])
                 whole = _mixed(hashed.part(zero + from_, zero + to + span), node, from_ - start, to - from_)
-                take = pa.array(row[i])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), _signed(_mixed(shared, node)), _signed(whole), batch.column(1).take(take), batch.column(2).take(take), _signed(from_), _signed(to), _signed(at[i])], NAMES)
+                yield _rows(batch, 1, row[i], k, batch.column(0).take(pa.array(row[i])), _mixed(shared, node), whole, from_, to, at[i])
 
     return run
 
 
-def _digit2(unit: Unit):
+def _digit2(units: list[Unit]):
     """The windows of the ranges (lo, hi) that are left, out of contexts joined with a list of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wanted = batch.column(7).to_pylist()
+        for batch, k, unit in _of_unit(batches, units):
+            wanted = batch.column(8).to_pylist()
             for a, b, hashed, base, row in _contexts(batch, unit.kind):
-                lo, at = (batch.column(k).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 5))
+                lo, at = (batch.column(c).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64) for c in (3, 5))
                 i = np.repeat(np.arange(b - a), [sum(w["hi"] - w["lo"] + 1 for w in ws) for ws in wanted[a:b]])
                 p = np.concatenate([np.arange(w["lo"], w["hi"] + 1) for ws in wanted[a:b] for w in ws])
                 zero = base[i] - lo[i]
                 whole = _mixed(hashed.part(zero + p, zero + p + unit.span), at[i] - p)
-                take = pa.array(row[i])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), _signed(whole), _signed(whole), batch.column(1).take(take), batch.column(2).take(take), _signed(p), _signed(p), _signed(at[i])], NAMES)
+                yield _rows(batch, 1, row[i], k, batch.column(0).take(pa.array(row[i])), whole, whole, p, p, at[i])
 
     return run
 
@@ -260,7 +275,7 @@ def _pass(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     first = [F.first(c).alias(c) for c in NAMES[3:]]
     groups = common.written(live.groupBy("bucket", "digit", "whole").agg(F.count("*").alias("n"), *first), name)
     many = groups.where("n > 1").select("bucket", "digit", "whole")
-    repeated = common.written(live.join(many.hint("merge"), ["bucket", "digit", "whole"], "left_semi").select("doc_id", "text_hash", "lo", "hi"), name)
+    repeated = common.written(live.join(many.hint("merge"), ["bucket", "digit", "whole"], "left_semi").select("doc_id", "text_hash", "lo", "hi", "unit"), name)
     common.dropped(live)
     several = common.written(groups.groupBy("bucket", "digit").agg(F.count("*").alias("k")).where("k > 1").select("bucket", "digit"), name)
     rest = common.written(groups.join(several.hint("merge"), ["bucket", "digit"], "left_semi").select(*NAMES), name)
@@ -269,30 +284,31 @@ def _pass(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     return repeated, rest
 
 
-def repeated_windows(texts: DataFrame, unit: Unit = BYTES) -> DataFrame:
-    """(doc_id, text_hash, lo, hi): ranges of window starts whose windows also start elsewhere, as a written table.
+def repeated_windows(texts: DataFrame, units: list[Unit]) -> DataFrame:
+    """(doc_id, text_hash, lo, hi, unit): ranges of window starts whose windows also start elsewhere, as a written table.
 
     texts: (doc_id, text_hash, text); equal rows are texts of their own.
     """
-    whole, rest = _pass(texts.mapInArrow(_digit0(unit), ROW), "digit0")
-    wanted = rest.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("bucket", "lo", "hi", "at")).alias("wanted"))
+    whole, rest = _pass(texts.mapInArrow(_digit0(units), ROW), "digit0")
+    wanted = rest.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("bucket", "lo", "hi", "at", "unit")).alias("wanted"))
     # an equal text repeats as a whole, and one row of it is enough
     mine = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.text_hash") == F.col("w.text_hash"))
     held = texts.alias("t").join(wanted.hint("merge").alias("w"), mine).select("t.doc_id", "t.text_hash", "t.text", "w.wanted")
-    contexts = common.written(held.mapInArrow(_cut(unit), CONTEXT), "contexts")
+    contexts = common.written(held.mapInArrow(_cut(units), CONTEXT), "contexts")
     common.dropped(rest)
     common.released(contexts.sparkSession)
-    ranges, rest = _pass(contexts.mapInArrow(_digit1(unit), ROW), "digit1")
-    left = rest.groupBy("doc_id", "text_hash", "at").agg(F.collect_list(F.struct("lo", "hi")).alias("left"))
-    mine = F.col("c.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("c.text_hash") == F.col("w.text_hash")) & (F.col("c.at") == F.col("w.at"))
+    ranges, rest = _pass(contexts.mapInArrow(_digit1(units), ROW), "digit1")
+    left = rest.groupBy("doc_id", "text_hash", "unit", "at").agg(F.collect_list(F.struct("lo", "hi")).alias("left"))
+    mine = F.col("c.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("c.text_hash") == F.col("w.text_hash")) & (F.col("c.at") == F.col("w.at")) & (F.col("c.unit") == F.col("w.unit"))
     # an anchor at the boundary of two chunks has a context in each, and a range is in the one that covers it
     inside = F.filter("w.left", lambda r: (r["lo"] >= F.col("c.lo")) & (r["hi"] <= F.col("c.hi")))
     held = contexts.alias("c").join(left.hint("merge").alias("w"), mine).select("c.*", inside.alias("left")).where(F.size("left") > 0)
-    windows, last = _pass(held.mapInArrow(_digit2(unit), ROW), "digit2")
+    windows, last = _pass(held.mapInArrow(_digit2(units), ROW), "digit2")
     common.dropped(contexts, rest, last)
     found = whole.unionByName(ranges).unionByName(windows)
-    by_region = found.groupBy("doc_id", "text_hash", F.floor(F.col("lo") / REGION).alias("region")).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    merged = common.written(by_region.select("doc_id", "text_hash", "ranges").mapInArrow(_merged, "doc_id long, text_hash long, lo long, hi long"), "ranges")
+    by_region = found.groupBy("doc_id", "text_hash", "unit", F.floor(F.col("lo") / REGION).alias("region")).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    merged = by_region.select("doc_id", "text_hash", "ranges", "unit").mapInArrow(_merged, "doc_id long, text_hash long, lo long, hi long, unit int")
+    merged = common.written(merged, "ranges")
     common.dropped(whole, ranges, windows)
     common.released(merged.sparkSession)
     return merged
@@ -309,7 +325,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     row.append(k), lo.append(a), hi.append(b)
         take = pa.array(row, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["doc_id", "text_hash", "lo", "hi"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), batch.column(3).take(take)], ["doc_id", "text_hash", "lo", "hi", "unit"])
 
 
 def _covered(n: int, ranges: list[dict] | None, span: int) -> np.ndarray:
@@ -349,12 +365,11 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, word_span: int | None = WO
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    in_bytes = repeated_windows(texts, Unit(byte_tokens, "u1", span, PIECE, STEP)).withColumn("of_words", F.lit(False))
-    found = in_bytes
+    units = [Unit(byte_tokens, "u1", span, PIECE, STEP)]
     if word_span is not None:
-        found = in_bytes.unionByName(repeated_windows(texts, Unit(word_tokens, "<u8", word_span, min(8, word_span // 2), 8)).withColumn("of_words", F.lit(True)))
-    of = lambda words, name: F.collect_list(F.when(F.col("of_words") == words, F.struct("lo", "hi"))).alias(name)
-    found = found.groupBy("doc_id", "text_hash").agg(of(False, "ranges"), of(True, "words"))
+        units.append(Unit(word_tokens, "<u8", word_span, min(8, word_span // 2), 8))
+    of = lambda unit, name: F.collect_list(F.when(F.col("unit") == unit, F.struct("lo", "hi"))).alias(name)
+    found = repeated_windows(texts, units).groupBy("doc_id", "text_hash").agg(of(0, "ranges"), of(1, "words"))
     mine = F.col("t.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("t.text_hash") == F.col("r.text_hash"))
     held = texts.alias("t").join(found.hint("merge").alias("r"), mine, "left").select("t.doc_id", "t.text", "r.ranges", "r.words")
     return held.mapInArrow(_removed(span, word_span), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long")

@@ -2,8 +2,11 @@
 
 The distinct words of a batch lie one after another in a flat array of piece ids. In each round every word finds the
 best-ranked adjacent pair (a segmented minimum), all its occurrences merge from the left at once, and the array is
-compacted; words without a pair left drop out. A pair whose merged piece has a neighbour of an equal or better rank
-merges only at its leftmost place in a round, which is what a priority queue would do.
+compacted; words without a pair left drop out. A pair whose merged piece can open a pair of an equal or better rank
+merges from the left, each place with all that it opens before the next one, which is what a priority queue would do: in
+a short word only its leftmost place in a round, in a word with many such places all of them in one sweep, whose steps
+look at the two neighbours of the growing piece only. What is left of a very long word, once a round would merge next to
+nothing of it, goes to a priority queue. So time grows with the length of a word, not with its square.
 
 Only the model file is read; the library itself isn't needed. A batch of texts costs memory in proportion to its own
 size, and the cache of known words is bounded.
@@ -14,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,10 @@ CACHED_WORDS = 400_000
 FLAT = 100_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 NONE = np.int64(2**62)
+#: A word with more places than this for a pair that merges from the left is swept.
+SWEEP = 4
+#: A word of more symbols than this goes to a queue when a round merges less than one in THIN of them.
+LONG, THIN = 4096, 200
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -102,6 +110,7 @@ class Model:
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ids = np.array([pairs[k] for k in sorted(pairs)], np.int64)
         self.pair_ranks = rank[self.pair_ids]
+        self.pair_of = dict(zip(self.pair_keys.tolist(), zip(self.pair_ranks.tolist(), self.pair_ids.tolist(), strict=True), strict=True))
         self.alone = best_beside <= rank  # merging such a piece can open a pair that comes before its other occurrences
         self.cuts_blank = not any(b == MARK and a != MARK for a, b in inside)
         self.cuts_line = not any("\n" in x for x in inside)
@@ -201,6 +210,18 @@ class Model:
                 size, lowest = size[lowest < NONE], lowest[lowest < NONE]
                 first = np.append(0, np.cumsum(size)[:-1])
             chosen = np.flatnonzero(ranks == np.repeat(lowest, size))
+            if size.max() > LONG:
+                word = np.searchsorted(first, chosen, "right") - 1
+                thin = (size > LONG) & (np.bincount(word, minlength=len(size)) * THIN < size)
+                if thin.any():
+                    for k in np.flatnonzero(thin):
+                        a, b = int(first[k]), int(first[k] + size[k])
+                        found, place = self._queued(symbols[a:b], ranks[a:b], pieces[a:b])
+                        done_s.append(found)
+                        done_o.append(origin[a:b][place])
+                    rest = np.repeat(~thin, size)
+                    symbols, segment, origin, ranks, pieces = (x[rest] for x in (symbols, segment, origin, ranks, pieces))
+                    continue
             # of occurrences that overlap, every second one from the left; lone pieces only at their first place
             seg = segment[chosen]
             new_run = np.append(True, (np.diff(chosen) != 1) | (seg[1:] != seg[:-1]))
@@ -213,11 +234,17 @@ class Model:
             order = np.cumsum(leads) - 1
             odd = (pieces[chosen] != lead_piece) | self.alone[pieces[chosen]]
             mixed[: order[-1] + 1] = np.bincount(order, odd, order[-1] + 1) > 0
-            chosen = chosen[keep & (leads | ~mixed[order])]
-            symbols[chosen] = pieces[chosen]
             stay = np.ones(len(symbols), bool)
-            stay[chosen + 1] = False
             touched = np.zeros(len(symbols), bool)
+            many = np.bincount(order) > SWEEP
+            swept = (mixed[: len(many)] & many)[order]
+            for group in np.flatnonzero(mixed[: len(many)] & many):
+                places = chosen[order == group] if len(many) > 1 else chosen
+                a = first[np.searchsorted(first, places[0], "right") - 1]
+                self._sweep(symbols, stay, touched, int(a), int(a + size[np.searchsorted(first, a)]), places.tolist(), int(ranks[places[0]]))
+            chosen = chosen[keep & (leads | ~mixed[order]) & ~swept]
+            symbols[chosen] = pieces[chosen]
+            stay[chosen + 1] = False
             touched[chosen] = True
             symbols, segment, origin, ranks, pieces, touched = (x[stay] for x in (symbols, segment, origin, ranks, pieces, touched))
             fresh = np.flatnonzero(touched | np.append(touched[1:], False))
@@ -228,6 +255,92 @@ class Model:
         order = np.argsort(o, kind="stable")
         return s[order], o[order]
 
+    def _sweep(self, symbols: np.ndarray, stay: np.ndarray, touched: np.ndarray, a: int, b: int, places: list[int], rank: int) -> None:
+        """Merges all pairs of a word, the symbols a to b, that are of the given rank and all better ones that these open,
+        from the left. places: where the pairs of that rank are, the best in the word."""
+        pair_of, n = self.pair_of.get, self.size
+        sym = symbols[a:b].tolist()
+        end = b - a
+        # the symbols left of the growing piece that are still there, and the first one to the right of it
+        kept: list[int] = []
+        at, nothing = 0, (NONE, -1)
+        heads: list[int] = []
+        for place in places:
+            p = place - a
+            if p < at:
+                continue  # its left symbol is part of a piece by now
+            kept.extend(range(at, p))
+            right = p + 1
+            if right >= end:
+                at = p
+                continue
+            hit = pair_of(sym[p] * n + sym[right])
+            if hit is None or hit[0] != rank:
+                at = p
+                continue
+            g, sym[p] = p, hit[1]
+            right += 1
+            while True:
+                before = pair_of(sym[kept[-1]] * n + sym[g], nothing) if kept and sym[kept[-1]] >= 0 else nothing
+                after = pair_of(sym[g] * n + sym[right], nothing) if right < end and sym[right] >= 0 else nothing
+                if before[0] <= rank and before[0] <= after[0]:
+                    g = kept.pop()
+                    sym[g] = before[1]
+                elif after[0] <= rank:
+                    sym[g] = after[1]
+                    right += 1
+                else:
+                    break
+            heads.append(g)
+            kept.append(g)
+            at = right
+        kept.extend(range(at, end))
+        new = np.zeros(b - a, bool)
+        new[kept] = True
+        stay[a:b] = new
+        symbols[a:b] = sym
+        touched[a + np.array([h for h in heads if new[h]], np.int64)] = True
+
+    def _queued(self, symbols: np.ndarray, ranks: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The merged symbols of one word and the places of their first ones, by a queue of pairs in the order of rank and
+        place. A symbol that became part of the one before it has rank -1, and so has one without a pair."""
+        pair_of, n, end = self.pair_of.get, self.size, len(symbols)
+        live = np.flatnonzero(ranks < NONE)
+        queue = np.sort((ranks[live] << 40) | live).tolist()
+        rank, piece = np.where(ranks < NONE, ranks, -1).tolist(), pieces.tolist()
+        sym, after, before = symbols.tolist(), list(range(1, end + 1)), list(range(-1, end - 1))
+        here, gone = (1 << 40) - 1, -2
+        while queue:
+            x = heappop(queue)
+            at = x & here
+            if rank[at] != x >> 40:
+                continue
+            right = after[at]
+            sym[at], sym[right] = piece[at], gone
+            rank[right] = -1
+            right = after[at] = after[right]
+            if right < end:
+                before[right] = at
+                hit = pair_of(sym[at] * n + sym[right]) if sym[right] >= 0 else None
+            else:
+                hit = None
+            if hit:
+                rank[at], piece[at] = hit
+                heappush(queue, (hit[0] << 40) | at)
+            else:
+                rank[at] = -1
+            left = before[at]
+            if left >= 0:
+                hit = pair_of(sym[left] * n + sym[at]) if sym[left] >= 0 else None
+                if hit:
+                    rank[left], piece[left] = hit
+                    heappush(queue, (hit[0] << 40) | left)
+                else:
+                    rank[left] = -1
+        out = np.array(sym, np.int64)
+        place = np.flatnonzero(out != gone)
+        return out[place], place
+
     def decode(self, ids: np.ndarray, starts: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The decoded texts of a batch as bytes, and the bounds of each. starts: where each text's ids begin."""
         lengths = self.raw_length[ids]

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -27,6 +28,19 @@ def test_equals_library():
         assert ids.tolist() == want and said == ",".join(map(str, want)) and b == lib.decode(want)
 
 
+@pytest.mark.parametrize("make", [lambda r, n: "e" * n, lambda r, n: "the" * (n // 3), lambda r, n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n)), lambda r, n: "".join(r.choices("etaoin", k=n)), lambda r, n: "the " * (n // 4), lambda r, n: "-=" * (n // 2), lambda r, n: "ab" * (n // 4) + "执" + "0" * (n // 4) + "#" * (n // 4)])
+def test_long_runs(make):
+    """A megabyte without a blank takes seconds: time in proportion, and the ids of the library."""
+    path = tokenizer_path()
+    lib, own = spm.SentencePieceProcessor(model_file=path), load(path)
+    for n in (997, 1_000_000):
+        text = make(random.Random(n), n)
+        began = time.time()
+        ids, _ = own.encode([text])[0]
+        assert time.time() - began < 20
+        assert ids.tolist() == lib.encode(text)
+
+
 def test_documents(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "the end", None), (3, "the end", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")

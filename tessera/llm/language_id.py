@@ -22,11 +22,16 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 DIM = 8
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter is a character of a Unicode category L; this finds where one may be, and numerals such as ½ or Ⅷ besides.
+MAYBE = re.compile(r"[^\W\d_]")
 #: Windows that pass the network at once.
 BLOCK = 128
 
 
+def has_letter(text: str | None) -> bool:
+    return any(m.group().isalpha() for m in MAYBE.finditer(text or ""))
+
+
 class ByteCnn:
     """Embedding, convolutions of three widths, max pooling, softmax; Adam on the cross entropy."""
 
@@ -131,7 +136,7 @@ def windows_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def predict(texts: list[str | None], tables: dict[str, np.ndarray], classes: list[str]) -> tuple[list[str], list[float]]:
     langs, sure = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    todo = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if classes else []
+    todo = [i for i, t in enumerate(texts) if has_letter(t)] if classes else []
     data = [texts[i].encode("utf-8", "replace") for i in todo]
     total = np.zeros((len(todo), len(classes)))
     for a, b in common.blocks_of([len(d) for d in data], 1 << 22):
@@ -153,7 +158,7 @@ def _drawn(per_doc: int):
         for batch in batches:
             out = []
             for row_id, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if text and LETTER.search(text):
+                if has_letter(text):
                     x, _ = windows_of(text.encode("utf-8", "replace"))
                     for at in np.unique(np.linspace(0, len(x) - 1, per_doc).astype(int)):
                         out.append((row_id, int(at), lang, x[at].tobytes()))
@@ -164,18 +169,20 @@ def _drawn(per_doc: int):
     return run
 
 
-def train(docs: DataFrame, max_docs: int = 500, per_doc: int = 4, max_langs: int = 400, learnable=None) -> tuple[dict[str, np.ndarray], list[str]]:
-    """Tables and language names of a network fitted on about max_docs texts of each of the max_langs commonest languages.
+def train(docs: DataFrame, max_docs: int = 500, per_doc: int = 4, learnable=None) -> tuple[dict[str, np.ndarray], list[str]]:
+    """Tables and language names of a network fitted on about max_docs texts of each language, however many there are.
 
-    Texts are drawn by a hash of the id, with per_doc windows of each. learnable: a condition on the rows of docs.
+    Texts are drawn by a hash of the id, with per_doc windows of each; languages that the draw leaves out have their text
+    of the smallest hash. learnable: a condition on the rows of docs.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").where("lang is not null and text is not null and doc_id is not null")
     rows = rows.where(learnable) if learnable is not None else rows
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("low")).orderBy("lang").collect()
     if not counts:
         return ByteCnn([]).tables(), []
-    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, max_docs / r["n"])) for r in counts], "lang string, share double")
-    some = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    share = docs.sparkSession.createDataFrame([(r["lang"], max(min(1.0, max_docs / r["n"]) * (1 << 20), r["low"] + 1.0)) for r in counts], "lang string, share double")
+    some = rows.join(F.broadcast(share), "lang").where(place < F.col("share"))
     found = some.select("doc_id", "lang", "text").mapInArrow(_drawn(per_doc), "doc_id long, at int, lang string, x binary").toPandas()
     found = found.sort_values(["doc_id", "at", "lang"], ignore_index=True)
     classes = sorted(found["lang"].unique().tolist())

@@ -12,7 +12,7 @@ from tessera.llm.language_id import identify
 from tessera.llm.minhash_dedup import near_duplicates
 from tessera.llm.quality_classifier import quality_scores
 from tessera.llm.sentencepiece_bpe import encode_documents
-from tessera.llm.source_mixing import mixed, source_labels
+from tessera.llm.source_mixing import domain_labels, mixed
 from tessera.llm.suffix_dedup import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,7 +58,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.arrow_limits(spark)
     docs = common.table(spark, sf_dir, "documents")
-    return mixed(docs, source_labels(docs, common.table(spark, sf_dir, "labels")))
+    return mixed(docs, domain_labels(docs, common.table(spark, sf_dir, "labels")))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1 +1 @@
-"""tessera.functions"""
+"""Column functions: chunking, extraction from code and rules over text."""

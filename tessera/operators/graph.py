@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import stored
+
 
 def endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, kind): start nodes have no incoming edge, end nodes no outgoing one."""
+    """(id, kind): start nodes have no incoming edge, end nodes no outgoing one; without any, the smallest or the largest
+    id is taken."""
     start = nodes.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").select("id", F.lit("start").alias("kind"))
     end = nodes.join(edges.select(F.col("src").alias("id")), "id", "left_anti").select("id", F.lit("end").alias("kind"))
-    return start.unionByName(end)
+    bounds = nodes.agg(F.min("id").alias("start"), F.max("id").alias("end"))
+    n = start.unionByName(end).agg(F.count_if(F.col("kind") == "start").alias("starts"), F.count_if(F.col("kind") == "end").alias("ends"))
+    spare = bounds.crossJoin(n)  # one row each
+    spare = [spare.where(f"{k}s = 0 and {k} is not null").select(F.col(k).alias("id"), F.lit(k).alias("kind")) for k in ("start", "end")]
+    return start.unionByName(end).unionByName(spare[0]).unionByName(spare[1])
 
 
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -19,11 +26,78 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return lost[0].unionByName(lost[1], allowMissingColumns=True).distinct()
 
 
-def on_cycles(edges: DataFrame, depth: int) -> DataFrame:
-    """Nodes that reach themselves in at most depth steps: paths double in length with every self join."""
-    step = edges.select("src", "dst").distinct()
-    reach, length = step, 1
-    while length < depth:
-        longer = reach.join(reach.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
-        reach, length = reach.unionByName(longer).distinct(), length * 2
-    return reach.where("src = dst").select(F.col("src").alias("id")).distinct()
+def trimmed(edges: DataFrame) -> DataFrame:
+    """The edges between nodes that have both a way in and a way out, taken to the point where that holds for all left:
+    cycles of any length and what lies between them."""
+    now = stored(edges.select("src", "dst").distinct(), "edges")
+    n = now.count()
+    while n:
+        both = now.select(F.col("src").alias("id")).intersect(now.select(F.col("dst").alias("id")))
+        now = stored(now.join(both.withColumnRenamed("id", "src"), "src", "left_semi").join(both.withColumnRenamed("id", "dst"), "dst", "left_semi"), "edges")
+        before, n = n, now.count()
+        if n == before:
+            break
+    return now
+
+
+def _spread(edges: DataFrame, marks: DataFrame, within: str | None = None) -> DataFrame:
+    """(id, mark) after the largest marks have gone along the edges as far as they do; with ``within``, a column of marks,
+    only to nodes of an equal value of it."""
+    now = stored(marks, "marks")
+    state = now.agg(F.sum(F.xxhash64("id", "mark").cast("decimal(38,0)"))).first()[0]
+    while state is not None:
+        held = now.select(F.col("id").alias("src"), "mark", *([F.col(within).alias("from_color")] if within else []))
+        sent = edges.join(held, "src").where("mark is not null")
+        keep = [within] if within else []
+        to = now.select("id", *keep)
+        arrived = sent.join(to, sent["dst"] == to["id"])
+        if within:
+            arrived = arrived.where(F.col("from_color") == F.col(within))
+        arrived = arrived.groupBy("id").agg(F.max("mark").alias("new"))
+        after = stored(now.join(arrived, "id", "left").select("id", F.greatest("mark", "new").alias("mark"), *keep), "marks")
+        changed = after.agg(F.sum(F.xxhash64("id", "mark").cast("decimal(38,0)"))).first()[0]
+        now = after
+        if changed == state:
+            break
+        state = changed
+    return now
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """(id, cycle) of the nodes that reach themselves, whatever the length; cycle is the largest id of the strongly
+    connected component.
+
+    Ends are trimmed away; then colours go forward (each node's largest ancestor) and, within a colour, backward from the
+    node that gave it: what is reached is one component. The rest goes another round. Every round is a written table.
+    """
+    found = None
+    left = trimmed(edges)
+    while not left.isEmpty():
+        nodes = left.select(F.col("src").alias("id")).union(left.select("dst")).distinct()
+        color = _spread(left, nodes.select("id", F.col("id").alias("mark"))).select("id", F.col("mark").alias("color"))
+        back = left.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        reached = _spread(back, color.select("id", F.when(F.col("id") == F.col("color"), F.col("color")).alias("mark"), "color"), "color")
+        part = stored(reached.where("mark is not null").select("id", F.col("color").alias("cycle")), "parts")
+        inner = left.join(part.select(F.col("id").alias("src"), F.col("cycle").alias("a")), "src").join(part.select(F.col("id").alias("dst"), F.col("cycle").alias("b")), "dst").where("a = b")
+        real = stored(part.join(inner.select(F.col("a").alias("cycle")).distinct(), "cycle", "left_semi").select("id", "cycle"), "cycles")
+        found = real if found is None else found.unionByName(real)
+        done = part.select("id")
+        left = trimmed(left.join(done.withColumnRenamed("id", "src"), "src", "left_anti").join(done.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+    return edges.sparkSession.createDataFrame([], edges.select(F.col("src").alias("id"), F.col("src").alias("cycle")).schema) if found is None else found
+
+
+def illegal_cycles(edges: DataFrame) -> DataFrame:
+    """The nodes on cycles where no edge of the whole table is a feedback one; with any such edge all cycles are legal.
+    edges: (src, dst, type)."""
+    if not edges.where(F.col("type").isin("feedback", "feedback_flow")).isEmpty():
+        return on_cycles(edges.limit(0))
+    return on_cycles(edges)
+
+
+def neighbours(refs: DataFrame) -> DataFrame:
+    """(id, uses, used_by): sorted distinct references of each node and, reversed, the nodes that refer to it."""
+    pairs = refs.where("dst is not null").select("src", "dst").distinct()
+    uses = pairs.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("uses"))
+    used = pairs.groupBy(F.col("dst").alias("id")).agg(F.array_sort(F.collect_list("src")).alias("used_by"))
+    none = F.array().cast("array<string>")
+    return uses.join(used, "id", "full_outer").select("id", F.coalesce(F.col("uses").cast("array<string>"), none).alias("uses"), F.coalesce(F.col("used_by").cast("array<string>"), none).alias("used_by"))

@@ -36,10 +36,6 @@ def occurrences(text: Column, part: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
 
 
-def has_formula(text: Column) -> Column:
-    return text.rlike(r"(?s)\$\$.+?\$\$|\$[^$\n]+\$|\\\[.+?\\\]|\\\(.+?\\\)|\\begin\{(equation|align|math)")
-
-
 def has_table(text: Column) -> Column:
     return occurrences(text, "|") >= 6
 
@@ -48,25 +44,11 @@ def has_code(text: Column) -> Column:
     return F.contains(text, F.lit("```")) | (occurrences(text, "`") >= 4)
 
 
-def chunk_type(text: Column) -> Column:
-    """Code before formula before table before text."""
-    return F.when(has_code(text), "code").when(has_formula(text), "formula").when(has_table(text), "table").otherwise("text")
-
-
 def dropped_lines(text: Column, prefixes: list[str]) -> Column:
     bad = lambda line: reduce(lambda a, b: a | b, [F.startswith(line, F.lit(p)) for p in prefixes])
     return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~bad(line)), "\n")
 
 
-def html_to_text(html: Column) -> Column:
-    """Line breaks for br and p, no tags, four entities in the order lt gt amp quot, single blanks."""
-    out = F.regexp_replace(html, r"(?i)<br\s*/?>|</p>", "\n")
-    out = F.regexp_replace(out, r"<[^>]*>", "")
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"')):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return stripped(F.regexp_replace(out, r"\s+", " "))
-
-
 def packed(parts: Column, limit: int, glue: str) -> Column:
     """Greedy packing of parts in their order: a chunk is closed when the next part would take it over the limit; a
     part over the limit stays whole."""
@@ -89,3 +71,16 @@ def bigrams(ws: Column) -> Column:
     return F.when(n < 2, F.array().cast("array<string>")).otherwise(
         F.array_distinct(F.zip_with(F.slice(ws, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(ws, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
     )
+
+
+def kept_apart(items: Column) -> Column:
+    """Of items with word pairs g, in their order, those that share less than half of their pairs (one at least) with
+    every item kept before; an item without pairs is kept."""
+    start = F.slice(items, 1, 0)
+
+    def step(kept: Column, x: Column) -> Column:
+        least = F.greatest(F.lit(1), F.floor(F.size(x["g"]) / 2).cast("int"))
+        near = (F.size(x["g"]) > 0) & F.exists(kept, lambda k: F.size(F.array_intersect(x["g"], k["g"])) >= least)
+        return F.when(near, kept).otherwise(F.concat(kept, F.array(x)))
+
+    return F.aggregate(items, start, step)

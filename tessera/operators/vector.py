@@ -16,12 +16,28 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms)
 
 
-def scored(points: DataFrame, queries: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """Every point against a stated, small set of queries (query_id, query_vec): score at or above the threshold.
+#: Queries of a block, and the rows that a table of queries may have to be broadcast in one.
+BLOCK, SMALL = 512, 2000
+
 
-    The query side is broadcast; it is a parameter of a search, not a table.
+def in_blocks(points: DataFrame, queries: DataFrame, key: str) -> DataFrame:
+    """All rows beside all of a stated set of queries.
+
+    Up to SMALL queries, which are counted, are broadcast. More go in blocks: each block of queries meets the points in
+    tasks of its own, so neither side has to fit in one.
     """
-    pairs = points.crossJoin(F.broadcast(queries))
+    n = len(queries.select(key).take(SMALL + 1))
+    if n <= SMALL:
+        return points.crossJoin(F.broadcast(queries))
+    blocks = -(-queries.count() // BLOCK)
+    q = queries.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)))
+    p = points.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return p.join(q.hint("merge"), "_block").drop("_block")
+
+
+def scored(points: DataFrame, queries: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """Every point against every query (query_id, query_vec): score at or above the threshold."""
+    pairs = in_blocks(points, queries, "query_id")
     return pairs.withColumn("score", F.round(cosine(F.col("embedding"), F.col("query_vec")), 6)).where(F.col("score") >= max(0.0, threshold))
 
 
@@ -31,10 +47,11 @@ def top_k(hits: DataFrame, k: int, by: list[str], order: list[Column]) -> DataFr
 
 
 def minmax(hits: DataFrame, score: str, by: list[str], out: str) -> DataFrame:
-    """Min-max normalised score in each group; 0 where all scores are equal."""
-    w = Window.partitionBy(*by)
-    low, high = F.min(score).over(w), F.max(score).over(w)
-    return hits.withColumn(out, F.when(high > low, (F.col(score) - low) / (high - low)).otherwise(0.0))
+    """Min-max normalised score in each group; 0 where all scores are equal. The bounds are summed map-side and joined,
+    so a group of many hits isn't one task."""
+    bounds = hits.groupBy(*by).agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
+    both = hits.join(bounds, by)
+    return both.withColumn(out, F.when(F.col("_high") > F.col("_low"), (F.col(score) - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(0.0)).drop("_low", "_high")
 
 
 def mix(alpha: float, first: str, second: str) -> Column:
@@ -42,9 +59,15 @@ def mix(alpha: float, first: str, second: str) -> Column:
 
 
 def first_by_key(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """The first row of each key; rows with a null key all stay."""
+    """The first row of each key; rows with a null key all stay, and aren't brought together."""
     n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return rows.withColumn("_n", n).where(F.col(key).isNull() | (F.col("_n") == 1)).drop("_n")
+    return rows.where(F.col(key).isNotNull()).withColumn("_n", n).where(F.col("_n") == 1).drop("_n").unionByName(rows.where(F.col(key).isNull()))
+
+
+def two_stage(hits: DataFrame, reranked: Column, by: list[str], initial: int, final: int) -> DataFrame:
+    """The best ``max(initial, final)`` candidates of each group by score, of these the best ``final`` by the second score."""
+    first = top_k(hits, max(initial, final), by, [F.desc("score"), F.asc("vec_id")]).withColumnRenamed("rank", "first_rank")
+    return top_k(first.withColumn("rerank_score", reranked), final, by, [F.desc("rerank_score"), F.asc("first_rank")])
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -47,26 +45,53 @@ def count_by_filename_key(t):
     return t.orders.select(k.alias("k")).where("k <> ''").groupBy("k").agg(F.count("*").alias("n"))
 
 
-CLASSES = [("shouting", "[A-Z]{4,}!!"), ("symbols", "[#$&%*]{3}"), ("piped", " \\| "), ("licence", "(?i)licen[sc]e"), ("secret", "(?i)token|password")]
-
-
-@query("SELECT kind, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN regexp_matches(text, '{r}') THEN '{k}'" for k, r in CLASSES) + " ELSE 'plain' END AS kind FROM documents) GROUP BY 1")
-def classify_histogram(t):
-    kind = reduce(lambda acc, x: acc.when(F.col("text").rlike(x[1]), x[0]), CLASSES[1:], F.when(F.col("text").rlike(CLASSES[0][1]), CLASSES[0][0]))
-    return t.documents.groupBy(kind.otherwise("plain").alias("kind")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 200 > 84 THEN '3.2.3' WHEN o_orderkey % 2 = 1 AND o_orderkey % 200 > 109 THEN '3.2.3' ELSE '4.0.0' END AS version FROM orders")
 def version_bucket(t):
     n, even = F.col("o_orderkey") % 200, F.col("o_orderkey") % 2 == 0
     return t.orders.select("o_orderkey", F.when((even & (n > 84)) | (~even & (n > 109)), "3.2.3").otherwise("4.0.0").alias("version"))
 
 
-@query("SELECT c_name, row_number() OVER (ORDER BY CAST(regexp_extract(c_name, '(\\d+)', 1) AS BIGINT), c_name) AS pos FROM customer QUALIFY pos <= 50")
+@query("SELECT c_name, row_number() OVER (ORDER BY CAST(regexp_extract(c_name, '(\\d+)', 1) AS BIGINT), c_name) AS pos FROM customer")
 def natural_sort(t):
-    n = F.regexp_extract("c_name", r"(\d+)", 1).cast("long")
-    top = t.customer.select("c_name", n.alias("n")).orderBy("n", "c_name").limit(50)
-    return top.select("c_name", F.row_number().over(Window.orderBy("n", "c_name")).cast("long").alias("pos"))
+    """Every name with its place in the order of the number in it."""
+    rows = t.customer.select("c_name", F.regexp_extract("c_name", r"(\d+)", 1).cast("long").alias("n"))
+    return A.positions(rows, ["n", "c_name"], "pos").select("c_name", "pos")
+
+
+@query("""WITH p AS (SELECT o_orderpriority, o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS c FROM orders GROUP BY 1, 2),
+v AS (SELECT o_orderpriority, CASE WHEN c = 0 THEN 0 WHEN n - c < 1 THEN 1 ELSE 1 - list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(n - c + 1, n + 1), lambda i: 1 - 1.0::DOUBLE / i)), lambda a, b: a * b) END AS x FROM p)
+SELECT o_orderpriority, round(avg(x), 6)::DOUBLE AS mean_pass1, count(*) AS problems FROM v GROUP BY 1""")
+def pass_at_k_mean(t):
+    """The mean over all problems of a mode."""
+    p = t.orders.groupBy("o_orderpriority", "o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("c"))
+    return p.groupBy("o_orderpriority").agg(F.round(F.avg(A.pass_at_k(F.col("n"), F.col("c"), 1)), 6).alias("mean_pass1"), F.count("*").alias("problems"))
+
+
+@query("""WITH b AS (SELECT 'model_' || (o_custkey % 50) AS k, count(*) AS simulated FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), x AS (SELECT 'model_' || (c_custkey % 60) AS k, count(*) AS txt_files FROM customer WHERE c_acctbal > 0 GROUP BY 1)
+SELECT b.k, simulated, txt_files FROM b LEFT JOIN x USING (k)""")
+def counts_into_summary(t):
+    """Response counts beside the results of each model; a model without responses keeps its results only."""
+    key = lambda c, n: F.concat(F.lit("model_"), (F.col(c) % n).cast("string"))
+    b = t.orders.where("o_orderstatus = 'F'").groupBy(key("o_custkey", 50).alias("k")).agg(F.count("*").alias("simulated"))
+    x = t.customer.where("c_acctbal > 0").groupBy(key("c_custkey", 60).alias("k")).agg(F.count("*").alias("txt_files"))
+    return b.join(x, "k", "left")
+
+
+@query("SELECT o_orderkey, coalesce(p_name, '') AS instruction FROM orders LEFT JOIN part ON p_partkey = CAST(regexp_extract('model_' || o_custkey % 3000 || '_response_' || o_orderkey, '\\d+') AS BIGINT)")
+def prompt_by_number(t):
+    """The instruction whose id is the first number of a file's name; none is the empty text."""
+    name = F.concat(F.lit("model_"), (F.col("o_custkey") % 3000).cast("string"), F.lit("_response_"), F.col("o_orderkey").cast("string"))
+    return A.by_first_number(t.orders.select("o_orderkey", name.alias("name")), "name", t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("instruction")), "id").select("o_orderkey", F.coalesce("instruction", F.lit("")).alias("instruction"))
+
+
+@query("""WITH r AS (SELECT p_partkey % 97 AS n, min(p_partkey % 97 || '_' || p_brand || '.csv') AS csv FROM part WHERE p_partkey % 97 > 0 GROUP BY 1), f AS (SELECT l_orderkey, l_linenumber, l_partkey % 130 AS n FROM lineitem)
+SELECT l_orderkey, l_linenumber, csv FROM f LEFT JOIN r USING (n)""")
+def reference_by_prefix(t):
+    """The reference series of a model's number: the first file name that begins with the number and an underscore."""
+    csv = F.concat((F.col("p_partkey") % 97).cast("string"), F.lit("_"), "p_brand", F.lit(".csv"))
+    files = t.part.where("p_partkey % 97 > 0").select(csv.alias("csv"))
+    models = t.lineitem.select("l_orderkey", "l_linenumber", F.concat(F.lit("model_"), (F.col("l_partkey") % 130).cast("string"), F.lit("_")).alias("folder"))
+    return A.by_number_prefix(models, "folder", r"^model_(\d+)_", files, "csv").select("l_orderkey", "l_linenumber", "csv")
 
 
 @query("""WITH s AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) - 1 AS i, l_quantity AS y, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem), g AS (SELECT DISTINCT l_orderkey, n, unnest([0, 1, 2, 3, 4]) AS j FROM s WHERE n > 1),

@@ -5,74 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import graph as G
 from tessera.plans.registry import query
 
-#: A small agent workflow: nodes with types, and edges.
-NODES = [(1, "analyzer"), (2, "retriever"), (3, "expert"), (4, "validator"), (5, "router"), (6, "refiner")]
-EDGES = [(1, 2, "data"), (2, 3, "data"), (3, 4, "data"), (4, 5, "data"), (5, 2, "feedback_flow"), (5, 6, "data"), (6, 9, "data")]
-ALLOWED = [("analyzer", ["data"]), ("retriever", ["data", "context"]), ("expert", ["data"]), ("validator", ["data", "report"]), ("router", ["feedback_flow", "data"]), ("refiner", ["text"])]
-NODE_SQL = "n(id, type) AS (VALUES " + ", ".join(f"({i}, '{k}')" for i, k in NODES) + ")"
-EDGE_SQL = "e(src, dst, kind) AS (VALUES " + ", ".join(f"({a}, {b}, '{k}')" for a, b, k in EDGES) + ")"
-ALLOWED_SQL = "w(type, outs) AS (VALUES " + ", ".join(f"('{k}', {v})" for k, v in ALLOWED) + ")"
-
-
-def nodes(t):
-    return t.spark.createDataFrame(NODES, "id int, type string")
-
-
-def edges(t):
-    return t.spark.createDataFrame(EDGES, "src int, dst int, kind string")
-
-
-@query(f"WITH RECURSIVE {EDGE_SQL}, r(a, b, d) AS (SELECT src, dst, 1 FROM e UNION SELECT r.a, e.dst, d + 1 FROM r JOIN e ON e.src = r.b WHERE d < 8) SELECT DISTINCT a AS id FROM r WHERE a = b")
-def cycle_detect(t):
-    return G.on_cycles(edges(t), 8)
-
-
-@query(f"""WITH {NODE_SQL}, {EDGE_SQL}, {ALLOWED_SQL} SELECT src, dst, CASE WHEN a.id IS NULL OR b.id IS NULL THEN 'unknown_agent' WHEN src = dst THEN 'self_loop' WHEN NOT list_contains(w.outs, kind) THEN 'not_allowed' ELSE 'ok' END AS verdict
-FROM e LEFT JOIN n a ON a.id = src LEFT JOIN n b ON b.id = dst LEFT JOIN w ON w.type = a.type""")
-def connection_rules(t):
-    n, w = nodes(t), t.spark.createDataFrame(ALLOWED, "type string, outs array<string>")
-    j = edges(t).join(n.select(F.col("id").alias("src"), "type"), "src", "left").join(n.select(F.col("id").alias("dst"), F.col("type").alias("to_type")), "dst", "left").join(w, "type", "left")
-    verdict = F.when(F.col("type").isNull() | F.col("to_type").isNull(), "unknown_agent").when(F.col("src") == F.col("dst"), "self_loop").when(~F.array_contains("outs", F.col("kind")), "not_allowed").otherwise("ok")
-    return j.select("src", "dst", verdict.alias("verdict"))
-
-
-@query(f"WITH {NODE_SQL}, {EDGE_SQL} SELECT src, dst, kind FROM e WHERE src NOT IN (SELECT id FROM n) OR dst NOT IN (SELECT id FROM n)")
-def dangling_edges(t):
-    return G.dangling(edges(t), nodes(t)).select("src", "dst", "kind")
-
-
-@query(f"WITH {NODE_SQL}, {EDGE_SQL} SELECT id, 'start' AS kind FROM n WHERE id NOT IN (SELECT dst FROM e) UNION ALL SELECT id, 'end' FROM n WHERE id NOT IN (SELECT src FROM e)")
-def graph_endpoints(t):
-    return G.endpoints(nodes(t), edges(t))
-
-
-@query("SELECT n_nationkey AS router, 'node_' || n_regionkey AS target, n_regionkey::BIGINT AS target_id, seq::BIGINT AS seq FROM (SELECT n_nationkey, n_regionkey, unnest([0, 1]) AS seq FROM nation) WHERE seq = 0 OR n_nationkey % 2 = 0")
-def expand_router_edges(t):
-    routes = F.filter(F.sequence(F.lit(0), F.lit(1)), lambda s: (s == 0) | (F.col("n_nationkey") % 2 == 0))
-    e = t.nation.select(F.col("n_nationkey").alias("router"), F.concat(F.lit("node_"), F.col("n_regionkey").cast("string")).alias("target"), F.explode(routes).alias("seq"))
-    return e.select("router", "target", F.regexp_replace("target", "^node_", "").cast("long").alias("target_id"), F.col("seq").cast("long"))
-
-
-@query("SELECT event_id, CASE WHEN event_type = 'error' AND value > 50 THEN 'escalate' WHEN value > 70 THEN 'accept' WHEN event_type = 'view' THEN 'retry' ELSE 'default' END AS route FROM events")
-def first_match_route(t):
-    """Routes in their order; the first that matches wins, an empty check list always matches."""
-    v, k = F.col("value"), F.col("event_type")
-    rules = [(0, "escalate", (k == "error") & (v > 50)), (1, "accept", v > 70), (2, "retry", k == "view"), (3, "default", F.lit(True))]
-    hit = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(s).alias("s"), F.lit(r).alias("r"))) for s, r, c in rules]))
-    return t.events.select("event_id", F.array_min(hit)["r"].alias("route"))
-
-
-@query("""WITH d AS (SELECT p_partkey, list_sort(list_distinct(list_filter([lower(p_brand), split_part(lower(p_type), ' ', 1), 'Lib.' || p_size, '9bad'], lambda x: regexp_matches(x, '^[A-Za-z_][A-Za-z0-9_.]*$')))) AS deps FROM part)
-SELECT dep, count(*) AS used_by FROM (SELECT unnest(deps) AS dep FROM d) GROUP BY 1""")
-def dependency_edges(t):
-    names = F.array(F.lower("p_brand"), F.split_part(F.lower("p_type"), F.lit(" "), F.lit(1)), F.concat(F.lit("Lib."), F.col("p_size").cast("string")), F.lit("9bad"))
-    deps = F.array_sort(F.array_distinct(F.filter(names, lambda x: x.rlike("^[A-Za-z_][A-Za-z0-9_.]*$"))))
-    return t.part.select(F.explode(deps).alias("dep")).groupBy("dep").agg(F.count("*").alias("used_by"))
-
-
 @query("""WITH p AS (SELECT p_partkey, string_split('Root.' || replace(p_type, ' ', '.'), '.') AS ps FROM part) SELECT prefix, count(*) AS n FROM (SELECT array_to_string(ps[1 : i], '.') AS prefix FROM (SELECT ps, unnest(range(1, len(ps) + 1)) AS i FROM p)) GROUP BY 1""")
 def ancestor_prefixes(t):
     p = t.part.select(F.split(F.concat(F.lit("Root."), F.replace("p_type", F.lit(" "), F.lit("."))), r"\.").alias("ps"))
@@ -111,14 +45,12 @@ def cascaded_confidence(t):
     return a.select("user_id", F.round(clamp(F.expr("0.15D * q + 0.5D * cover + 0.25D * rule + 0.1D * kinds")), 5).alias("confidence"), ((F.col("issues") == 0) & (F.col("rule") >= 0.5)).alias("passed"))
 
 
-@query("SELECT user_id, max_by(event_type, event_id) AS last_type, max_by(props, event_id) FILTER (props <> '') AS last_text, max(value) AS top, (list(event_id ORDER BY event_id DESC)[1:3]) AS recent FROM events GROUP BY 1")
+@query("SELECT user_id, max_by(event_type, event_id) AS last_type, max_by(props, event_id) FILTER (props <> '') AS last_text, max(value) AS top, list(event_id ORDER BY event_id DESC) AS recent, count(*) AS n FROM events GROUP BY 1")
 def state_merge(t):
     """Reducers of parallel branches: last wins, last non-empty text, maximum, concatenated lists."""
-    e = t.events
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id")))
-    recent = e.withColumn("n", rank).where("n <= 3").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "event_id"))), lambda x: x["event_id"]).alias("recent"))
-    one = e.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_type"), F.max_by("props", F.when(F.col("props") != "", F.col("event_id"))).alias("last_text"), F.max("value").alias("top"))
-    return one.join(recent, "user_id")
+    lists = F.sort_array(F.collect_list("event_id"), asc=False).alias("recent")
+    last_text = F.max_by("props", F.when(F.col("props") != "", F.col("event_id")))
+    return t.events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_type"), last_text.alias("last_text"), F.max("value").alias("top"), lists, F.count("*").alias("n"))
 
 
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 10")
@@ -141,25 +73,6 @@ def map_prefix_collect(t):
     return m.select("user_id", F.array_sort(F.transform(F.map_entries(hit), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))).alias("found")).where(F.size("found") > 0)
 
 
-RULES = [("value", ">", "40"), ("value", "<=", "abc"), ("event_type", "in", "view,click"), ("missing", "==", "1")]
-
-
-@query("""SELECT event_id, coalesce(value > 40, false) AS r0, false AS r1, event_type IN ('view', 'click') AS r2, false AS r3 FROM events""")
-def rule_predicates(t):
-    """Comparisons by name; a cast that fails or a field that is missing is false."""
-    ops = {">": lambda a, b: a > b, "<=": lambda a, b: a <= b, "==": lambda a, b: a == b}
-    known = set(t.events.columns)
-
-    def check(field, op, value):
-        if field not in known:
-            return F.lit(False)
-        if op == "in":
-            return F.coalesce(F.col(field).isin(*value.split(",")), F.lit(False))
-        return F.coalesce(ops[op](F.col(field).cast("double"), F.lit(value).try_cast("double")), F.lit(False))
-
-    return t.events.select("event_id", *[check(*r).alias(f"r{k}") for k, r in enumerate(RULES)])
-
-
 @query("SELECT event_id, (value > 40) OR ((event_type = 'view') AND NOT (user_id > 20)) AS ok FROM events")
 def rule_logic_expr(t):
     """An expression over numbered checks, compiled to Catalyst."""
@@ -182,12 +95,6 @@ def param_overlay(t):
     return t.nation.select("n_nationkey", *[F.try_element_at(merged, F.lit(x)).alias(x) for x in ("temperature", "top_k", "extra")])
 
 
-@query("SELECT n_name, coalesce(CASE WHEN n_nationkey % 4 = 0 THEN 'env' END, CASE WHEN n_nationkey % 3 = 0 THEN 'file' END, 'default') AS origin FROM nation")
-def config_precedence(t):
-    k = F.col("n_nationkey")
-    return t.nation.select("n_name", F.coalesce(F.when(k % 4 == 0, "env"), F.when(k % 3 == 0, "file"), F.lit("default")).alias("origin"))
-
-
 @query("SELECT DISTINCT n_regionkey AS k FROM nation WHERE n_nationkey < 8 UNION SELECT r_regionkey FROM region WHERE r_regionkey > 3")
 def set_union(t):
     return t.nation.where("n_nationkey < 8").select(F.col("n_regionkey").alias("k")).union(t.region.where("r_regionkey > 3").select("r_regionkey")).distinct()

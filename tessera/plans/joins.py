@@ -20,12 +20,12 @@ def left_join_count_default(t):
     return t.customer.join(n, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-SPANS = """WITH a AS (SELECT p_partkey AS id, p_size * 40 AS s, p_size * 40 + 25 AS e FROM part WHERE p_partkey <= 200),
+SPANS = """WITH a AS (SELECT p_partkey AS id, p_size * 40 AS s, p_size * 40 + 25 AS e FROM part),
 b AS (SELECT s_suppkey AS child, s_suppkey * 17 AS cs, s_suppkey * 17 + 9 AS ce FROM supplier)"""
 
 
 def spans(t):
-    a = t.part.where("p_partkey <= 200").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 40).alias("s"), (F.col("p_size") * 40 + 25).alias("e"))
+    a = t.part.select(F.col("p_partkey").alias("id"), (F.col("p_size") * 40).alias("s"), (F.col("p_size") * 40 + 25).alias("e"))
     b = t.supplier.select(F.col("s_suppkey").alias("child"), (F.col("s_suppkey") * 17).alias("cs"), (F.col("s_suppkey") * 17 + 9).alias("ce"))
     return a, b
 
@@ -86,12 +86,22 @@ def feedback_merge(t):
     return b.join(f, "o_custkey", "left").select("o_custkey", "n", (F.col("ok") + F.coalesce("fixed", F.lit(0))).alias("ok"))
 
 
-@query("""SELECT p_partkey, w FROM part, (SELECT unnest(['green', 'red', 'blue', 'steel']) AS w) WHERE contains(lower(p_name || ' ' || p_type), w)""")
+@query("""WITH c AS (SELECT item_id, text AS code FROM benchmark WHERE text <> ''), d AS (SELECT doc_id, text FROM documents) SELECT doc_id, item_id FROM d JOIN c ON contains(text, code)""")
 def containment_join(t):
-    """Parts that contain a stated word."""
-    words = F.array(*[F.lit(w) for w in ("green", "red", "blue", "steel")])
-    hay = F.lower(F.concat_ws(" ", "p_name", "p_type"))
-    return t.part.select("p_partkey", F.explode(F.filter(words, lambda w: F.contains(hay, w))).alias("w"))
+    """Documents that hold a benchmark item's text as it is; the items are few and counted before they are broadcast."""
+    items = t.benchmark.where("text <> ''").select("item_id", F.col("text").alias("code"))
+    return A.contained(t.documents.select("doc_id", "text"), "text", items, "code").select("doc_id", "item_id")
+
+
+@query()
+def replace_contained(t):
+    """Every document with the benchmark items that stand in it cut out once, the longest first."""
+    from tessera.operators.splitting import without_parts
+
+    items = t.benchmark.where("text <> ''").select("item_id", F.col("text").alias("code"))
+    found = A.contained(t.documents.select("doc_id", "text"), "text", items, "code").groupBy("doc_id").agg(F.collect_list(F.struct("code", F.col("item_id").cast("string").alias("fqn"))).alias("children"))
+    rows = t.documents.select("doc_id", "text").join(found, "doc_id")
+    return rows.select("doc_id", without_parts(F.col("text"), F.col("children")).alias("r")).select("doc_id", "r.text", "r.removed")
 
 
 @query("SELECT count(*) AS orders, sum(CASE WHEN l_orderkey IS NULL THEN 1 ELSE 0 END)::BIGINT AS dangling FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R') ON l_orderkey = o_orderkey")
@@ -106,14 +116,14 @@ def exists_by_hash(t):
     return t.benchmark.withColumn("h", F.sha2("text", 256)).join(known, "h", "left").select("item_id", F.coalesce("present", F.lit(False)).alias("present"))
 
 
-@query("""WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS ref FROM pages), n AS (SELECT page_id, lower(replace(ref, '\\', '/')) AS ref FROM r),
-c AS (SELECT '/' || lower(n_name) AS k, 'nation ' || n_nationkey AS caption FROM nation UNION ALL SELECT '/the', 'article') SELECT page_id, ref, count(*) AS n, coalesce(max(caption), ref) AS shown FROM n LEFT JOIN c ON k = ref GROUP BY 1, 2""")
+@query(r"""SELECT c_custkey, '# ' || c_name || ' ' || CASE WHEN c_nationkey < 20 THEN 'nation ' || c_nationkey ELSE '![a](IMG\N' || c_nationkey || '.png)' END || ' and ' || CASE WHEN c_nationkey < 20 THEN 'nation ' || c_nationkey ELSE '<img class="x" src="img/n' || c_nationkey || '.PNG"/>' END || ' end ![none](other.png)' AS said FROM customer""")
 def replace_refs(t):
-    """Links with the caption of their normalised path; unknown ones stay as they are."""
-    refs = t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("ref")).withColumn("ref", F.lower(F.translate("ref", "\\", "/")))
-    caps = t.nation.select(F.concat(F.lit("/"), F.lower("n_name")).alias("ref"), F.concat(F.lit("nation "), F.col("n_nationkey").cast("string")).alias("caption"))
-    caps = caps.unionByName(t.spark.createDataFrame([("/the", "article")], "ref string, caption string"))
-    return refs.join(F.broadcast(caps), "ref", "left").groupBy("page_id", "ref").agg(F.count("*").alias("n"), F.coalesce(F.max("caption"), F.col("ref")).alias("shown"))
+    """Texts whose image references, in Markdown or HTML, are replaced by the caption of their normalised path; unknown
+    ones stay as they are."""
+    k = F.col("c_nationkey").cast("string")
+    said = F.concat(F.lit("# "), "c_name", F.lit(" ![a](IMG\\N"), k, F.lit('.png) and <img class="x" src="img/n'), k, F.lit('.PNG"/> end ![none](other.png)'))
+    captions = t.nation.where("n_nationkey < 20").select(F.concat(F.lit("img/n"), F.col("n_nationkey").cast("string"), F.lit(".png")).alias("path"), F.concat(F.lit("nation "), F.col("n_nationkey").cast("string")).alias("caption"))
+    return A.with_captions(t.customer.select("c_custkey", said.alias("said")), "c_custkey", "said", captions)
 
 
 RETRIEVERS = """WITH v AS (SELECT vec_id AS node, round(embedding[1]::DOUBLE, 5) AS score FROM embeddings WHERE label < 6), s AS (SELECT vec_id AS node, round(embedding[2]::DOUBLE, 5) AS score FROM embeddings WHERE label > 3)"""

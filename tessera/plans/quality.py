@@ -49,7 +49,7 @@ def audit_missing_rate(t):
 
 @query(UNPIVOT + ", g AS (SELECT k, v, count(*) AS n FROM a WHERE v <> '' GROUP BY 1, 2) SELECT k, count(*) AS distinct_values, count(*) FILTER (n > 1) AS repeated FROM g GROUP BY 1")
 def audit_dup_counts(t):
-    g = fields(t).where(~missing()).groupBy("k", "v").agg(F.count("*").alias("n"))
+    g = fields(t).where(~missing()).groupBy("k", F.xxhash64("v").alias("h"), F.sha2("v", 256).alias("s")).agg(F.count("*").alias("n"))
     return g.groupBy("k").agg(F.count("*").alias("distinct_values"), F.count_if(F.col("n") > 1).alias("repeated"))
 
 
@@ -62,7 +62,9 @@ def audit_primary_text(t):
 @query(UNPIVOT + """, g AS (SELECT k, avg(length(v)) AS mean, avg(CASE WHEN v IS NULL OR v = '' THEN 1.0 ELSE 0 END) AS miss, count(v) - count(DISTINCT v) AS dup FROM a GROUP BY 1)
 SELECT k, unnest(list_filter([CASE WHEN mean > 2000 THEN 'long_text' END, CASE WHEN dup > 0 THEN 'duplicates' END, CASE WHEN miss > 0.3 THEN 'missing' END], lambda x: x IS NOT NULL)) AS gap FROM g""")
 def audit_gaps(t):
-    g = fields(t).groupBy("k").agg(F.avg(F.length("v")).alias("mean"), F.avg(F.when(missing(), 1.0).otherwise(0.0)).alias("miss"), (F.count("v") - F.count_distinct("v")).alias("dup"))
+    hashed = fields(t).select("k", F.sha2("v", 256).alias("s"), F.length("v").alias("n"), missing().alias("gone"))
+    same = hashed.groupBy("k", "s").agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.count_if("gone").alias("gone"))  # texts by their hash, so none is shuffled
+    g = same.groupBy("k").agg((F.sum("n") / F.sum(F.when(F.col("s").isNotNull(), F.col("c")))).alias("mean"), (F.sum("gone") / F.sum("c")).alias("miss"), (F.sum(F.when(F.col("s").isNotNull(), F.col("c"))) - F.count("s")).alias("dup"))
     rules = [("long_text", F.col("mean") > 2000), ("duplicates", F.col("dup") > 0), ("missing", F.col("miss") > 0.3)]
     return g.select("k", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules]))).alias("gap"))
 
@@ -87,24 +89,12 @@ def distinct_counts(t):
     return t.events.agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), (F.count("*") - F.count_distinct("user_id", "event_type")).alias("repeats"))
 
 
-@query("""SELECT event_id, unnest(list_filter([CASE WHEN event_type NOT IN ('view', 'click', 'purchase') THEN 'enum:event_type' END, CASE WHEN value < 5 THEN 'minimum:value' END, CASE WHEN NOT regexp_matches(props, '^\\{"k": [0-9]+\\}$') THEN 'pattern:props' END, CASE WHEN user_id IS NULL THEN 'required:user_id' END], lambda x: x IS NOT NULL)) AS rule FROM events""")
-def schema_violations(t):
-    """A rule table compiled to predicates; rows are reported, not rejected."""
-    rules = {"enum:event_type": ~F.col("event_type").isin("view", "click", "purchase"), "minimum:value": F.col("value") < 5, "pattern:props": ~F.col("props").rlike(r'^\{"k": [0-9]+\}$'), "required:user_id": F.col("user_id").isNull()}
-    return t.events.select("event_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))).alias("rule"))
-
-
-@query("SELECT sig, n FROM (SELECT sha1(concat_ws(chr(31), lang, source, substr(text, 1, 64))) AS sig, count(*) AS n FROM documents GROUP BY 1) WHERE n > 1")
+@query("SELECT sig, n FROM (SELECT sha1(concat_ws(chr(31), lang, source, substr(text, 1, 512))) AS sig, count(*) AS n FROM documents GROUP BY 1) WHERE n > 1")
 def signature_dups(t):
-    sig = F.sha1(F.concat_ws("\x1f", "lang", "source", F.substring("text", 1, 64)))
+    sig = F.sha1(F.concat_ws("\x1f", "lang", "source", F.substring("text", 1, 512)))
     return t.documents.groupBy(sig.alias("sig")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
-def duplicate_id_guard(t):
-    return t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n")).where("n > 1")
-
-
 @query("""SELECT p_partkey, unnest(list_filter([CASE WHEN p_size < 3 THEN 'min' END, CASE WHEN p_size > 45 THEN 'max' END, CASE WHEN p_brand NOT IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21') THEN 'options' END], lambda x: x IS NOT NULL)) AS violation FROM part""")
 def threshold_violations(t):
     rules = {"min": F.col("p_size") < 3, "max": F.col("p_size") > 45, "options": ~F.col("p_brand").isin("Brand#11", "Brand#12", "Brand#13", "Brand#21")}
@@ -140,14 +130,6 @@ def collection_stats(t):
     return t.embeddings.groupBy(F.col("label").alias("collection")).agg(F.count("*").alias("points"), F.min(F.size("embedding")).cast("long").alias("size"), (F.count("*") > 0).alias("has_data"))
 
 
-@query("""SELECT 'text' AS field, max(length(text))::BIGINT AS longest, count(*) AS entries, true AS is_text FROM documents UNION ALL SELECT 'lang', max(length(lang)), count(*), false FROM documents UNION ALL SELECT 'source', max(length(source)), count(*), false FROM documents""")
-def structure_probe(t):
-    """String fields with the longest value and whether it is over ten characters."""
-    names = [f.name for f in t.documents.schema.fields if f.dataType.typeName() == "string"]
-    one = t.documents.agg(F.count("*").alias("entries"), *[F.max(F.length(n)).cast("long").alias(n) for n in names])
-    return one.select("entries", F.inline(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("longest")) for n in names]))).select("field", "longest", "entries", (F.col("longest") > 10).alias("is_text"))
-
-
 @query("SELECT lang, round(avg(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))), 4) AS mean_words FROM documents GROUP BY 1")
 def word_stats(t):
     return t.documents.groupBy("lang").agg(F.round(F.avg(F.size(words(F.col("text")))), 4).alias("mean_words"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators.scanners import nested_split, symbols
 from tessera.plans.registry import query
 
 
@@ -70,20 +69,6 @@ def parse_kv(t):
     return m.select("p_partkey", *[F.try_element_at("m", F.lit(k)).alias(k) for k in ("start", "unit", "nominal")])
 
 
-@query("SELECT p_partkey, ['a(x=1,y=' || p_size || ')', 'b[2,3]', 'c=\"p,q\"'] AS parts FROM part")
-def nested_split_args(t):
-    src = F.concat(F.lit("a(x=1,y="), F.col("p_size").cast("string"), F.lit('), b[2,3] ,, c="p,q"'))
-    return t.part.select("p_partkey", nested_split(src).alias("parts"))
-
-
-@query("SELECT 'P.M' || n_nationkey AS fqn, 'model' AS kind, 3::BIGINT AS first_line, 5::BIGINT AS last_line FROM nation UNION ALL SELECT 'P', 'package', 2, 6 FROM nation")
-def extract_symbols(t):
-    name = F.concat(F.lit("M"), F.col("n_nationkey").cast("string"))
-    src = F.concat(F.lit("within ;\npackage P\n  model "), name, F.lit("\n  Real x;\n  end "), name, F.lit(";\nend P;"))
-    s = t.nation.select(F.explode(symbols(src)).alias("s"))
-    return s.select("s.fqn", "s.kind", F.col("s.first_line").cast("long").alias("first_line"), F.col("s.last_line").cast("long").alias("last_line"))
-
-
 @query("SELECT p_name || '|' || p_type || '|' || substr(sha1(p_brand), 1, 8) || '|' || p_size || '-' || (p_size + 2) || CASE WHEN p_size > 25 THEN '_part1' ELSE '' END AS id FROM part")
 def record_id(t):
     lines = F.concat_ws("-", F.col("p_size").cast("string"), (F.col("p_size") + 2).cast("string"))
@@ -102,22 +87,16 @@ def filter_identifiers(t):
     return t.documents.select("doc_id", F.size(w).cast("long").alias("n"))
 
 
-@query("SELECT o_orderkey, o_orderkey || '|order' AS id, count(l_orderkey) AS n_components, coalesce(round(sum(l_extendedprice), 2), 0) AS total, coalesce(list_sort(list_distinct(list(l_partkey) FILTER (l_partkey IS NOT NULL))), []) AS uses FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' GROUP BY 1")
+@query("SELECT o_orderkey, o_orderkey || '|order' AS id, count(l_orderkey) AS n_components, coalesce(round(sum(l_extendedprice), 2), 0) AS total, coalesce(list_sort(list_distinct(list(l_partkey) FILTER (l_partkey IS NOT NULL))), []) AS uses FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def build_record(t):
     """A nested record of each order with its components, then flattened for comparison."""
     parts = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_partkey", "l_extendedprice")).alias("components"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
-    o = t.orders.where("o_orderstatus = 'P'").join(parts, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    o = t.orders.join(parts, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     rec = o.select("o_orderkey", F.struct(F.concat(F.col("o_orderkey").cast("string"), F.lit("|order")).alias("id"), F.coalesce("components", F.array().cast("array<struct<l_partkey:bigint,l_extendedprice:double>>")).alias("components"), F.coalesce("total", F.lit(0.0)).alias("total")).alias("r"))
     uses = F.array_sort(F.array_distinct(F.transform("r.components", lambda c: c["l_partkey"])))
     return rec.select("o_orderkey", "r.id", F.size("r.components").cast("long").alias("n_components"), "r.total", uses.alias("uses"))
 
 
-@query("SELECT page_id, CASE WHEN contains(url, '/en/') THEN 'packages' WHEN contains(url, '/fr/') THEN 'functions' WHEN contains(url, '/de/') THEN 'equations' ELSE 'unknown' END AS collection FROM pages")
-def route_by_type(t):
-    has = lambda p: F.contains("url", F.lit(p))
-    return t.pages.select("page_id", F.when(has("/en/"), "packages").when(has("/fr/"), "functions").when(has("/de/"), "equations").otherwise("unknown").alias("collection"))
-
-
 @query("SELECT c, CASE WHEN n_missing = 0 THEN n END AS targets FROM (SELECT label % 3 AS c, count(*) FILTER (len(embedding) = 0) AS n_missing, count(*) AS n FROM embeddings GROUP BY 1)")
 def strict_targets(t):
     g = t.embeddings.groupBy((F.col("label") % 3).alias("c")).agg(F.count_if(F.size("embedding") == 0).alias("m"), F.count("*").alias("n"))
@@ -159,25 +138,14 @@ def coerce_margins(t):
     return m.select("n_nationkey", out.alias("margins"))
 
 
-@query("SELECT c_custkey, unnest(list_filter([CASE WHEN c_acctbal < 0 THEN 'negative balance' END, CASE WHEN c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 4) THEN 'unknown nation' END], lambda x: x IS NOT NULL)) AS error FROM customer")
-def config_errors(t):
-    known = t.nation.where("n_regionkey <> 4").select(F.col("n_nationkey").alias("c_nationkey"), F.lit(True).alias("known"))
-    c = t.customer.join(F.broadcast(known), "c_nationkey", "left")
-    return c.select("c_custkey", F.explode(F.array_compact(F.array(F.when(F.col("c_acctbal") < 0, "negative balance"), F.when(F.col("known").isNull(), "unknown nation")))).alias("error"))
-
-
-@query("""WITH b AS (SELECT item_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS w FROM benchmark)),
-x AS (SELECT item_id, unnest(g) AS gram FROM b), p AS (SELECT a.item_id AS a, c.item_id AS b, count(*) AS n FROM x a JOIN x c ON a.gram = c.gram AND a.item_id < c.item_id GROUP BY 1, 2)
-SELECT p.a, p.b, p.n FROM p JOIN b ON b.item_id = p.a WHERE p.n >= greatest(1, len(b.g) // 20)""")
-def near_duplicate_pairs(t):
-    """Pairs of benchmark items that share a twentieth of the first one's word pairs or more."""
-    from tessera.operators.text import bigrams, tokens
+@query()
+def near_duplicates_kept(t):
+    """Of each conversation's texts, in turn, those that share less than half of their word pairs with any kept before."""
+    from tessera.operators.text import bigrams, kept_apart, words
 
-    b = t.benchmark.select("item_id", bigrams(tokens(F.col("text"))).alias("g"))
-    x = b.select("item_id", F.size("g").alias("size"), F.explode("g").alias("gram"))
-    y = x.select(F.col("item_id").alias("b"), "gram")
-    p = x.select(F.col("item_id").alias("a"), "size", "gram").join(y, "gram").where("a < b").groupBy("a", "b", "size").agg(F.count("*").alias("n"))
-    return p.where(F.col("n") >= F.greatest(F.lit(1), F.floor(F.col("size") / 20))).select("a", "b", "n")
+    rows = t.conversations.select("conv_id", F.struct("turn", "role", "text", bigrams(words(F.lower("text"))).alias("g")).alias("x"))
+    seen = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return seen.select("conv_id", F.explode(kept_apart(F.col("xs"))).alias("x")).select("conv_id", "x.turn", "x.role", "x.text")
 
 
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")

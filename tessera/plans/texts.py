@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.functions import extract as E
 from tessera.operators import text as X
 from tessera.operators import vector as V
 from tessera.plans.registry import query
@@ -18,12 +19,12 @@ def tokenize(t):
     return t.documents.select("doc_id", F.size(k).cast("long").alias("n"), F.get(k, F.lit(0)).alias("first"))
 
 
-@query(f"""WITH q AS (SELECT list_distinct({TOK}) AS qt FROM documents WHERE doc_id = 1), d AS (SELECT doc_id, list_distinct({TOK}) AS dt FROM documents)
-SELECT doc_id, round(CASE WHEN len(dt) = 0 OR len(qt) = 0 THEN 0 ELSE len(list_intersect(dt, qt)) / len(list_distinct(list_concat(dt, qt)))::DOUBLE END, 5) AS jaccard FROM d, q""")
+@query(f"""WITH q AS (SELECT doc_id AS query_id, list_distinct({TOK}) AS qt FROM documents WHERE doc_id % 20 = 0), d AS (SELECT doc_id, list_distinct({TOK}) AS dt FROM documents)
+SELECT query_id, doc_id, round(CASE WHEN len(dt) = 0 OR len(qt) = 0 THEN 0 ELSE len(list_intersect(dt, qt)) / len(list_distinct(list_concat(dt, qt)))::DOUBLE END, 5) AS jaccard FROM d, q""")
 def jaccard_score(t):
     d = t.documents.select("doc_id", F.array_distinct(X.tokens(F.col("text"))).alias("dt"))
-    q = d.where("doc_id = 1").select(F.col("dt").alias("qt"))
-    return d.crossJoin(F.broadcast(q)).select("doc_id", F.round(V.jaccard(F.col("dt"), F.col("qt")), 5).alias("jaccard"))
+    q = d.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("dt").alias("qt"))
+    return V.in_blocks(d, q, "query_id").select("query_id", "doc_id", F.round(V.jaccard(F.col("dt"), F.col("qt")), 5).alias("jaccard"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS short FROM documents WHERE regexp_replace(text, '\\s+', '', 'g') <> ''")
@@ -37,19 +38,20 @@ def concat_text_fields(t):
     return t.customer.select("c_custkey", X.joined_fields(F.col("c_name"), seg).alias("joined"))
 
 
-FEATURES = """regexp_matches(text, '(?s)\\$\\$.+?\\$\\$|\\$[^$\\n]+\\$|\\\\\\[.+?\\\\\\]|\\\\\\(.+?\\\\\\)|\\\\begin\\{(equation|align|math)') AS formula,
+SIGN = f"[{E.FORMULA_SIGNS}]"
+FEATURES = rf"""regexp_matches(text, '(?s)(^|[^\\])\$(.*[^\\])?\$|\\\[.*?\\\]|\\\(.*?\\\)|\$\$.*?\$\$') OR regexp_matches(text, '(^|[^\p{{L}}\p{{N}}_]){SIGN}($|[^\p{{L}}\p{{N}}_])') AS formula,
   length(text) - length(replace(text, '|', '')) >= 6 AS tab, contains(text, '```') OR length(text) - length(replace(text, '`', '')) >= 4 AS code"""
 
 
 @query(f"SELECT doc_id, formula, tab, code FROM (SELECT doc_id, {FEATURES} FROM documents)")
 def detect_features(t):
     c = F.col("text")
-    return t.documents.select("doc_id", X.has_formula(c).alias("formula"), X.has_table(c).alias("tab"), X.has_code(c).alias("code"))
+    return t.documents.select("doc_id", E.has_formula(c).alias("formula"), X.has_table(c).alias("tab"), X.has_code(c).alias("code"))
 
 
 @query(f"SELECT kind, count(*) AS n FROM (SELECT CASE WHEN code THEN 'code' WHEN formula THEN 'formula' WHEN tab THEN 'table' ELSE 'text' END AS kind FROM (SELECT {FEATURES} FROM documents)) GROUP BY 1")
 def chunk_type(t):
-    return t.documents.groupBy(X.chunk_type(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
+    return t.documents.groupBy(E.chunk_kind(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::BIGINT AS words, length(text)::BIGINT AS chars FROM documents")
@@ -57,36 +59,39 @@ def token_counts(t):
     return t.documents.select("doc_id", F.size(X.words(F.col("text"))).cast("long").alias("words"), F.length("text").cast("long").alias("chars"))
 
 
-TERMS = ["tion", "ment", "theorem", "idiot", "license", "public"]
-
-
-@query(f"SELECT doc_id, list_filter({TERMS}, lambda k: contains(lower(text), k)) AS hits FROM documents")
+@query(f"SELECT doc_id, list_filter({E.KEYWORDS}, lambda k: contains(lower(text), k)) AS hits FROM documents")
 def keyword_hits(t):
-    return t.documents.select("doc_id", F.filter(F.array(*[F.lit(k) for k in TERMS]), lambda k: F.contains(F.lower("text"), k)).alias("hits"))
+    return t.documents.select("doc_id", E.keywords(F.col("text")).alias("hits"))
 
 
-@query("""SELECT page_id, body FROM (SELECT page_id, regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?i)<br\\s*/?>|</p>', chr(10), 'g'), '<[^>]*>', '', 'g'),
-'&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&quot;', '"'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS body FROM pages) WHERE length(body) >= 10""")
+@query(r"""SELECT page_id, body FROM (SELECT page_id, regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<br\s*/?>', ' ', 'g'), '<p[^>]*>|</p>', chr(10), 'g'), '<[^>]+>', '', 'g'),
+'&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&quot;', '"'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS body FROM pages) WHERE length(body) > 10""")
 def html_to_text(t):
-    return t.pages.select("page_id", X.html_to_text(F.col("html")).alias("body")).where(F.length("body") >= 10)
+    return t.pages.select("page_id", E.html_text(F.col("html")).alias("body")).where(F.length("body") > 10)
 
 
-@query("""SELECT doc_id, list_distinct(regexp_extract_all(text, '[A-Z]{2,}'))[1:12] IS NOT NULL AS some, len(list_distinct(regexp_extract_all(text, '[A-Z]{2,}')))::BIGINT AS acronyms,
-  len(regexp_extract_all(text, '[0-9]+(\\.[0-9]+)? ?[a-zA-Z]+'))::BIGINT AS units FROM documents""")
+@query()
 def extract_terms(t):
-    a = F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Z]{2,})")))
-    u = F.regexp_extract_all("text", F.lit(r"[0-9]+(\.[0-9]+)? ?[a-zA-Z]+"), 0)
-    return t.documents.select("doc_id", a.isNotNull().alias("some"), F.size(a).cast("long").alias("acronyms"), F.size(u).cast("long").alias("units"))
+    """The first twelve technical words of every document, in the order of their kinds."""
+    return t.documents.select("doc_id", E.terms(F.col("text")).alias("terms"))
+
 
+TAILED = """WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(replace(replace(text, '/', ' '), ',', ' '), '\\s+'), lambda x: length(x) > 1) AS ws FROM benchmark)"""
 
-@query("""WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(replace(replace(text, '/', ' '), ',', ' '), '\\s+'), lambda x: length(x) > 1) AS ws FROM benchmark)
-SELECT item_id, CASE WHEN len(ws) < 20 THEN array_to_string(ws, ' ') || ' definition usage example' ELSE array_to_string(ws[1 : greatest(15, len(ws) // 2)], ' ') END AS q FROM w""")
+
+@query(TAILED + f"""SELECT item_id, f.focus, CASE WHEN len(ws) < 20 THEN array_to_string(ws, ' ') || ' ' || f.tail ELSE array_to_string(ws[1 : greatest(15, len(ws) // 2)], ' ') END AS q
+FROM w, (VALUES ('functions', '{E.TAILS["code"]}'), ('pdf', '{E.TAILS["text"]}')) f(focus, tail)""")
 def optimize_query(t):
-    """Short queries get a tail of terms; long ones keep their first half, 15 words at least."""
-    ws = F.filter(F.split(F.translate("text", "/,", "  "), r"\s+"), lambda x: F.length(x) > 1)
-    w = t.benchmark.select("item_id", ws.alias("ws"))
-    half = F.greatest(F.lit(15), F.floor(F.size("ws") / 2).cast("int"))
-    return w.select("item_id", F.when(F.size("ws") < 20, F.concat(F.array_join("ws", " "), F.lit(" definition usage example"))).otherwise(F.array_join(F.slice("ws", F.lit(1), half), " ")).alias("q"))
+    """Short queries get the tail of their focus; long ones keep their first half, 15 words at least."""
+    both = [t.benchmark.select("item_id", F.lit(f).alias("focus"), E.expanded_query(F.col("text"), f).alias("q")) for f in ("functions", "pdf")]
+    return both[0].unionByName(both[1])
+
+
+@query()
+def enrich_queries(t):
+    """Three variants of each query, each with one of its own technical words in turn."""
+    said = F.array(F.concat("text", F.lit(" overview")), F.concat("text", F.lit(" parameters")), F.col("text"))
+    return t.benchmark.select("item_id", F.posexplode(E.enriched(said, E.terms(F.col("text")))).alias("variant", "q"))
 
 
 @query("""SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^[-*0-9. ]+', ''), '^\\s+|\\s+$', '', 'g')),
@@ -129,94 +134,65 @@ def parse_llm_json(t):
     return t.conversations.select("conv_id", "turn", F.when(value.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).alias("confidence"), F.coalesce(facts, F.lit(0)).cast("long").alias("facts"))
 
 
-CODE = """'text before' || chr(10) || CASE event_id % 3 WHEN 0 THEN 'model M' || event_id || chr(10) || ' Real x;' || chr(10) || 'end M' || event_id || ';' WHEN 1 THEN 'block B' || chr(10) || 'end B;' || chr(10) || 'model C' || chr(10) || 'end C;' ELSE 'nothing' END || chr(10) || 'after'"""
+CODE = """'text before' || chr(10) || CASE event_id % 4 WHEN 0 THEN 'model M' || event_id || chr(10) || ' Real x;' || chr(10) || 'end M' || event_id || ';' WHEN 1 THEN 'model C end C;' || chr(10) || 'block B' || chr(10) || ' Real y; ' || chr(10) || 'end B;' || chr(10) WHEN 2 THEN 'see class K is x end K; and function F x end F;' ELSE 'nothing' END || chr(10) || 'after'"""
 
 
-@query(f"""WITH c AS (SELECT event_id, {CODE} AS code FROM events)
-SELECT event_id, coalesce(nullif(regexp_extract(code, '(?s)block\\s+\\w+.*?end \\w+;'), ''), nullif(regexp_extract(code, '(?s)model\\s+\\w+.*?end \\w+;'), ''), '') AS body FROM c""")
+@query(rf"""WITH c AS (SELECT event_id, {CODE} AS code FROM events), k AS (SELECT *, regexp_extract(code, '(?m)^\s*(block|model) (\w+)\s*((?s:.*?))\bend (B|M\d+);$', 2) AS name FROM c)
+SELECT event_id, coalesce(nullif(CASE WHEN contains(code, 'block B') THEN 'block B' || chr(10) || ' Real y; ' || chr(10) || 'end B;' END, ''), nullif(regexp_extract(code, '(?s)class\s+(\w+).*?end K;'), ''),
+  CASE WHEN starts_with(name, 'M') THEN 'model ' || name || chr(10) || ' Real x;' || chr(10) || 'end ' || name || ';' END, '') AS body FROM k""")
 def extract_block(t):
-    """The first block, else the first model, up to the end of the same name."""
+    """The definition of a reply: block before class before model before function, strict before loose."""
     code = F.expr(CODE.replace("chr(10)", "char(10)").replace("|| event_id", "|| cast(event_id as string)"))
-    one = lambda kind: F.nullif(F.regexp_extract(code, rf"(?s){kind}\s+(\w+).*?end \1;", 0), F.lit(""))
-    return t.events.select("event_id", F.coalesce(one("block"), one("model"), F.lit("")).alias("body"))
+    return t.events.select("event_id", F.coalesce(E.code_block(code), F.lit("")).alias("body"))
 
 
-@query("""SELECT url, CASE WHEN contains(lower(url), 'page=2') THEN 'paper' WHEN contains(lower(url), '/fr/') THEN 'manual' WHEN contains(lower(url), 'ref') THEN 'report' ELSE 'general' END AS kind FROM pages""")
+@query("""SELECT url, CASE WHEN regexp_matches(lower(url), 'manual|guide|handbook') THEN 'manual' WHEN regexp_matches(lower(url), 'paper|journal|conference') THEN 'technical_paper' WHEN regexp_matches(lower(url), 'api|reference|doc') THEN 'reference' WHEN contains(lower(url), 'modelica') THEN 'modelica_document' ELSE 'general' END AS kind FROM pages""")
 def doc_type(t):
-    u = F.lower("url")
-    return t.pages.select("url", F.when(F.contains(u, F.lit("page=2")), "paper").when(F.contains(u, F.lit("/fr/")), "manual").when(F.contains(u, F.lit("ref")), "report").otherwise("general").alias("kind"))
+    return t.pages.select("url", E.document_type(F.col("url")).alias("kind"))
 
 
-@query("""SELECT p_partkey, CASE WHEN contains(lower(p_type), 'steel') THEN 'mechanical' WHEN contains(lower(p_type), 'copper') THEN 'electrical' WHEN contains(lower(p_name), 'green') THEN 'fluid' ELSE 'other' END AS domain FROM part""")
+@query("""WITH n AS (SELECT p_partkey, lower(p_name) || CASE p_size % 5 WHEN 0 THEN 'Spring' WHEN 1 THEN 'HeatConvection' WHEN 2 THEN 'resistorVoltage' WHEN 3 THEN 'flow' ELSE '' END AS name, CASE WHEN p_size % 7 = 0 THEN 'Lib.Rotational' ELSE p_type END AS pkg FROM part),
+d AS (SELECT p_partkey, lower(name) AS name, CASE WHEN contains(lower(pkg), 'thermal') THEN 'thermal' WHEN contains(lower(pkg), 'electrical') THEN 'electrical' WHEN regexp_matches(lower(pkg), 'rotational|translational') THEN 'mechanical' WHEN contains(lower(pkg), 'fluid') THEN 'fluid'
+  WHEN regexp_matches(lower(name), 'heat|thermal|temperature|convect') THEN 'thermal' WHEN regexp_matches(lower(name), 'electric|voltage|current|resistor|capacitor') THEN 'electrical'
+  WHEN regexp_matches(lower(name), 'rotational|mechanical|torque|force|motion|backlash|spring|damper') THEN 'mechanical' WHEN regexp_matches(lower(name), 'fluid|hydraulic|pneumatic|flow') THEN 'fluid' END AS domain FROM n)
+SELECT p_partkey, domain, CASE WHEN domain = 'mechanical' AND regexp_matches(name, 'spring|elastic') THEN 'hookes_law' WHEN domain = 'mechanical' AND regexp_matches(name, 'damper|friction') THEN 'viscous_damping' WHEN domain = 'mechanical' AND contains(name, 'backlash') THEN 'nonlinear_contact'
+  WHEN domain = 'thermal' AND contains(name, 'convect') THEN 'heat_convection' WHEN domain = 'thermal' AND contains(name, 'conduct') THEN 'heat_conduction' WHEN domain = 'electrical' AND regexp_matches(name, 'resistor|resistance') THEN 'ohms_law' END AS law FROM d""")
 def domain_infer(t):
-    ty, n = F.lower("p_type"), F.lower("p_name")
-    return t.part.select("p_partkey", F.when(F.contains(ty, F.lit("steel")), "mechanical").when(F.contains(ty, F.lit("copper")), "electrical").when(F.contains(n, F.lit("green")), "fluid").otherwise("other").alias("domain"))
+    size = F.col("p_size")
+    name = F.concat(F.lower("p_name"), F.when(size % 5 == 0, "Spring").when(size % 5 == 1, "HeatConvection").when(size % 5 == 2, "resistorVoltage").when(size % 5 == 3, "flow").otherwise(""))
+    rows = t.part.select("p_partkey", name.alias("name"), F.when(size % 7 == 0, "Lib.Rotational").otherwise(F.col("p_type")).alias("pkg"))
+    rows = rows.withColumn("domain", E.physical_domain(F.col("name"), F.col("pkg")))
+    return rows.select("p_partkey", "domain", E.phenomenon(F.col("name"), F.col("domain"))["physical_law"].alias("law"))
 
 
-@query("SELECT doc_id, regexp_extract_all(text, '\\$[^$\\n]{1,40}\\$') AS spans FROM documents WHERE contains(text, '$')")
+@query(r"SELECT doc_id, regexp_extract_all(text, '(?s)\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)|\$[^$\n]+?\$') AS spans FROM documents")
 def math_spans(t):
-    return t.documents.where(F.contains("text", F.lit("$"))).select("doc_id", F.regexp_extract_all("text", F.lit(r"\$[^$\n]{1,40}\$"), 0).alias("spans"))
+    return t.documents.select("doc_id", E.math_spans(F.col("text")).alias("spans"))
 
 
-@query("""SELECT conv_id, string_agg('[' || turn || '] ' || role || ': ' || substr(text, 1, 60), chr(10) ORDER BY turn, role, text) AS context
+@query("SELECT doc_id, true AS same, sha1(text || ' $a_1$ \\[b' || chr(10) || '\\] $$c$$') AS digest FROM documents")
+def tex_round_trip(t):
+    """TeX spans out of the text and back in: the same text as before."""
+    said = F.concat("text", F.lit(" $a_1$ \\[b\n\\] $$c$$"))
+    rows = t.documents.select("doc_id", said.alias("said"), E.stashed(said).alias("s"))
+    back = rows.select("doc_id", "said", E.restored(F.col("s.text"), F.col("s.spans")).alias("back"))
+    return back.select("doc_id", (F.col("said") == F.col("back")).alias("same"), F.sha1("back").alias("digest"))
+
+
+@query("""SELECT conv_id, string_agg('[' || turn || '] ' || role || ': ' || substr(text, 1, 300), chr(10) ORDER BY turn, role, text) AS context
 FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) <= 10) GROUP BY 1""")
 def render_context(t):
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    line = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("] "), "role", F.lit(": "), F.substring("text", 1, 60))
+    line = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("] "), "role", F.lit(": "), F.substring("text", 1, 300))
     rows = t.conversations.withColumn("n", n).where("n <= 10").select("conv_id", "n", line.alias("line"))
     return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("context"))
 
 
-CONNECT = "'connect(a' || p_partkey || '.p, b.n); Real x; connect( c , d.q[1] );'"
-
-
-@query(f"""WITH c AS (SELECT p_partkey, unnest(regexp_extract_all({CONNECT}, 'connect\\(\\s*([^,()]+?)\\s*,\\s*([^()]+?)\\s*\\)')) AS m FROM part)
-SELECT p_partkey, regexp_extract(m, 'connect\\(\\s*([^,()]+?)\\s*,', 1) AS a, regexp_extract(m, ',\\s*([^()]+?)\\s*\\)', 1) AS b FROM c""")
-def extract_connections(t):
-    src = F.expr(CONNECT.replace("|| p_partkey", "|| cast(p_partkey as string)"))
-    one = t.part.select("p_partkey", F.explode(F.regexp_extract_all(src, F.lit(r"connect\(\s*([^,()]+?)\s*,\s*([^()]+?)\s*\)"), 0)).alias("m"))
-    return one.select("p_partkey", F.regexp_extract("m", r"connect\(\s*([^,()]+?)\s*,", 1).alias("a"), F.regexp_extract("m", r",\s*([^()]+?)\s*\)", 1).alias("b"))
-
-
 @query("SELECT doc_id, (octet_length(encode('doc' || source)) + octet_length(encode(text)) + 80 * (length(lang) + 1) + 120)::BIGINT AS estimate FROM documents")
 def content_estimate(t):
     return t.documents.select("doc_id", (F.octet_length(F.concat(F.lit("doc"), "source")) + F.octet_length("text") + 80 * (F.length("lang") + 1) + 120).cast("long").alias("estimate"))
 
 
-PACK = """
-WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents),
-r(doc_id, p, i, cur, chunk) AS (
-  SELECT doc_id, p, 0::BIGINT, '', NULL::VARCHAR FROM l
-  UNION ALL
-  SELECT doc_id, p, i + 1, CASE WHEN i = len(p) THEN '' WHEN cur <> '' AND length(cur) + length(p[i + 1]) > {n} THEN p[i + 1] || chr(10) ELSE cur || p[i + 1] || chr(10) END,
-    CASE WHEN i = len(p) THEN cur WHEN cur <> '' AND length(cur) + length(p[i + 1]) > {n} THEN cur END
-  FROM r WHERE i <= len(p)),
-c AS (SELECT doc_id, i, regexp_replace(chunk, '^\\s+|\\s+$', '', 'g') AS chunk FROM r WHERE chunk IS NOT NULL)
-"""
-
-
-def chunks(t, n=1000):
-    rows = t.documents.select("doc_id", X.packed(F.split("text", "\n"), n, "\n").alias("c"))
-    return rows.select("doc_id", F.posexplode("c").alias("seq", "chunk"))
-
-
-@query(PACK.replace("{n}", "1000") + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS seq, chunk FROM c WHERE chunk <> ''")
-def chunk_paragraphs(t):
-    return chunks(t).select("doc_id", F.col("seq").cast("long"), "chunk")
-
-
-@query(PACK.replace("{n}", "6000") + "SELECT doc_id, count(*) AS parts, max(length(chunk))::BIGINT AS longest FROM c WHERE chunk <> '' GROUP BY 1")
-def chunk_lines(t):
-    return chunks(t, 6000).groupBy("doc_id").agg(F.count("*").alias("parts"), F.max(F.length("chunk")).cast("long").alias("longest"))
-
-
-@query(PACK.replace("{n}", "1000") + f"""SELECT count(*) AS n, sum(length(chunk))::BIGINT AS chars, round(avg(length(chunk)), 4) AS mean, sum(CASE WHEN tab THEN 1 ELSE 0 END)::BIGINT AS tables, sum(CASE WHEN formula THEN 1 ELSE 0 END)::BIGINT AS formulas
-FROM (SELECT chunk, {FEATURES} FROM (SELECT chunk, chunk AS text FROM c WHERE chunk <> ''))""")
-def chunk_stats(t):
-    c = F.col("chunk")
-    return chunks(t).agg(F.count("*").alias("n"), F.sum(F.length(c)).cast("long").alias("chars"), F.round(F.avg(F.length(c)), 4).alias("mean"), F.count_if(X.has_table(c)).alias("tables"), F.count_if(X.has_formula(c)).alias("formulas"))
-
-
 MARKDOWN = "'# Page ' || page_id || chr(10) || regexp_replace(replace(replace(html, '<h1>', chr(10) || '## '), '<p>', chr(10)), '<[^>]*>', '', 'g')"
 
 
@@ -245,14 +221,3 @@ def carry_forward(t):
 def markdown_sections(t):
     title = F.max(F.when(F.col("head"), F.regexp_replace("line", "^#+ *", "")))
     return page_lines(t).groupBy("page_id", "section").agg(title.alias("title"), F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
-
-
-@query("""WITH c AS (SELECT item_id, text || repeat(' x;', 3) AS s FROM benchmark)
-SELECT item_id, CASE WHEN length(s) <= 120 THEN 1 ELSE ceil(length(s) / 120.0) END::BIGINT AS parts, substr(s, 1, CASE WHEN strpos(substr(s, 60, 61), '.') > 0 THEN 59 + strpos(substr(s, 60, 61), '.') ELSE 120 END) AS first_part FROM c""")
-def chunk_boundary(t):
-    """The first part ends at the first sentence end from the soft limit on, else at the hard limit."""
-    s = F.concat("text", F.repeat(F.lit(" x;"), 3))
-    c = t.benchmark.select("item_id", s.alias("s"))
-    cut = F.instr(F.substring("s", 60, 61), ".")
-    parts = F.when(F.length("s") <= 120, 1).otherwise(F.ceil(F.length("s") / 120)).cast("long")
-    return c.select("item_id", parts.alias("parts"), F.substring(F.col("s"), F.lit(1), F.when(cut > 0, 59 + cut).otherwise(F.lit(120))).alias("first_part"))

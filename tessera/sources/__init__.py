@@ -1 +1 @@
-"""tessera.sources"""
+"""Readers and sinks: line-numbered JSONL, chunked JSON, folders, series, pages, split outputs, captions, collections."""

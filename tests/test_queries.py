@@ -32,10 +32,14 @@ def test_equals_sql(spark, sf, duck, name):
 
 
 def test_queries_without_sql(spark, sf):
-    assert set(QUERIES) - set(ORACLES) == {"approx_distinct_users"}
-    assert QUERIES["approx_distinct_users"](spark, sf).count() == 5
+    """Their operators are held against brute force in the other tests of this folder."""
+    rows = {n: QUERIES[n](spark, sf).count() for n in sorted(set(QUERIES) - set(ORACLES))}
+    assert rows == {
+        "approx_distinct_users": 5, "enrich_queries": 120, "extract_components": 1600, "extract_interfaces": 400, "extract_quantities": 600, "extract_terms": 200, "extract_variables": 1200,
+        "hashed_search": 200, "near_duplicates_kept": 87, "nested_split_args": 800, "registry_export": len(QUERIES), "remove_annotations": 200, "replace_contained": 3,
+    }
 
 
 def test_entry(spark):
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLES) <= set(__spark_entry__.oracle_sql())
-    assert 0 < __spark_entry__.entry(spark).count() <= 10
+    assert 0 < __spark_entry__.entry(spark).count() <= 100

@@ -158,18 +158,29 @@ def build_index(digests: DataFrame) -> DataFrame:
     return local.repartition("digest").mapInArrow(_folded, ENTRY)
 
 
-def insert_rows(index: DataFrame, digests: DataFrame) -> DataFrame:
-    """The index after inserting (doc_id, digest) rows into a stored one."""
-    return index.unionByName(build_index(digests)).repartition("digest").mapInArrow(_folded, ENTRY)
-
-
-def delete_rows(index: DataFrame, digests: DataFrame) -> DataFrame:
-    """The index after deleting rows: sizes fall, digests without rows go. keep_id stays the smallest id ever inserted.
-
-    A digest that isn't live is an error.
-    """
-    gone = build_index(digests).withColumn("group_size", -F.col("group_size"))
-    return index.unionByName(gone).repartition("digest").mapInArrow(_folded, ENTRY)
+def content_of(digests: DataFrame) -> DataFrame:
+    """The bucketed content of an index: (digest, doc_id, n), how many live rows an id has of a digest."""
+    return digests.groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
+
+
+def insert_rows(index: DataFrame, content: DataFrame, digests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(index, content) after inserting (doc_id, digest) rows into stored ones."""
+    more = index.unionByName(build_index(digests)).repartition("digest").mapInArrow(_folded, ENTRY)
+    return more, content.unionByName(content_of(digests)).groupBy("digest", "doc_id").agg(F.sum("n").alias("n"))
+
+
+def delete_rows(index: DataFrame, content: DataFrame, digests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(index, content) after deleting (doc_id, digest) rows: sizes fall, digests without rows go, and where the id that
+    stayed has no row left the next smallest takes its place. A row that isn't live is an error."""
+    gone = content_of(digests)
+    left = content.unionByName(gone.withColumn("n", -F.col("n"))).groupBy("digest", "doc_id").agg(F.sum("n").alias("n"))
+    told = F.raise_error(F.concat(F.lit("not live: digest "), F.hex("digest"), F.lit(" of row "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    left = left.where(F.when(F.col("n") < 0, told.cast("boolean")).otherwise(F.col("n") > 0))
+    taken = gone.groupBy("digest").agg(F.lit(None).cast("long").alias("keep_id"), (-F.sum("n")).alias("group_size"))
+    less = index.unionByName(taken).repartition("digest").mapInArrow(_folded, ENTRY)
+    touched = left.join(taken.select("digest").hint("merge"), "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("first"), F.lit(True).alias("touched"))
+    less = less.join(touched.hint("merge"), "digest", "left")
+    return less.select("digest", F.when(F.col("touched"), F.col("first")).otherwise(F.col("keep_id")).alias("keep_id"), "group_size"), left
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

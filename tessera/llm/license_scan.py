@@ -1,24 +1,26 @@
 """License scans (1), with DataFrame and SQL functions only: a positional rare-token index over licence templates.
 
-Every template has a mandatory key phrase. The index keeps, for each key phrase, its words with their positions; of
-these the two with the highest inverse document frequency over the scanned files are looked up in a file. Each hit
-gives a start relative to the word's position in the phrase; the starts of both words are intersected, and the key
-phrase is verified word by word at the starts left. As the words looked up are part of the phrase, none of its places
-is missed, whatever the frequencies are. A template that is longer than its key phrase is then compared at the same
-relative positions, and has to agree in a share of its words.
-
-A file is a row throughout: there is no shuffle of words; only the document frequencies of the index words, one row
-for each, are summed and brought to the driver.
+The index has postings for every template: its words with their places. A pass over the files writes, for each, its words
+with those that no template has left blank, a small table that all else reads. Of a file's licence words those with the
+highest inverse document frequency are looked up: a word is, where a template has no rarer key word. Each hit gives a
+template and a start, the hit's place less the word's in the template; the starts of a template's two rarest words are
+intersected, so that most fall away, and the mandatory key phrase is verified word by word at those left. As the words
+looked up are part of the phrase, none of its places is missed, whatever the frequencies are. A template that is longer
+than its key phrase is compared at the same relative places, and has to agree in a share of its words.
+
+The plan doesn't grow with the number of templates: postings, phrases and templates are constants in it. A file is a row
+throughout; only the document frequencies of licence words, a row for each, come to the driver.
 """
 
 from __future__ import annotations
 
+import json
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import common
 from tessera.llm.common import ascii_lower
 
 #: A word: a run of 0-9, a-z and characters beyond ASCII, in the lower-cased text.
@@ -49,46 +51,39 @@ TEMPLATES: dict[str, tuple[str, str]] = {
 COVERED = 0.5
 
 
-def _strings(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
-
-
-def document_frequencies(words: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int], int]:
-    """In how many of all files each index word stands, and how many files there are."""
-    some = words.select(F.explode_outer(F.array_intersect("words", _strings(vocabulary))).alias("word"))
+def document_frequencies(words: DataFrame) -> tuple[dict[str, int], int]:
+    """In how many of all files each licence word stands, and how many files there are. words: of (words)."""
+    some = words.select(F.explode(F.array_distinct(F.filter("words", lambda w: w != ""))).alias("word"))
     total = words.select(F.lit(None).cast("string").alias("word"))
-    rows = some.where("word is not null").unionByName(total).groupBy("word").agg(F.count("*").alias("n")).collect()
-    found = {r["word"]: r["n"] for r in rows}
-    return {w: found.get(w, 0) for w in vocabulary}, found.get(None, 0)
-
-
-def _rarest(phrase: list[str], idf: dict[str, float]) -> list[str]:
-    return sorted(dict.fromkeys(phrase), key=lambda w: (-idf[w], w))[:2]
+    found = {r["word"]: r["n"] for r in some.unionByName(total).groupBy("word").agg(F.count("*").alias("n")).collect()}
+    return found, found.get(None, 0)
 
 
-def _shifted(word: str, place: int) -> Column:
-    """Where a phrase would begin that has the word at the given place."""
-    return F.transform(F.filter("hits", lambda h: h["w"] == word), lambda h: h["i"] - place)
+def postings(phrases: list[list[str]], frequency: dict[str, int], files: int) -> list[dict[str, list[dict[str, int]]]]:
+    """Two tables of word -> (template, place): of each phrase's rarest word, and of its second rarest."""
+    idf = {w: math.log((files + 1) / (frequency.get(w, 0) + 1)) for p in phrases for w in p}
+    tables: list[dict[str, list[dict[str, int]]]] = [{}, {}]
+    for t, phrase in enumerate(phrases):
+        rare = sorted(dict.fromkeys(phrase), key=lambda w: (-idf[w], w))
+        for table, word in zip(tables, (rare[0], rare[min(1, len(rare) - 1)]), strict=True):
+            table.setdefault(word, []).extend({"t": t, "k": k} for k, w in enumerate(phrase) if w == word)
+    return tables
 
 
-def _starts(phrase: list[str], idf: dict[str, float]) -> Column:
-    """Where a phrase begins, as an expression over the columns words and hits."""
-    lists = []
-    for word in _rarest(phrase, idf):
-        at = [k for k, w in enumerate(phrase) if w == word]
-        lists.append(F.flatten(F.array(*[_shifted(word, k) for k in at])))
-    both = F.array_distinct(reduce(F.array_intersect, lists))
-    return F.filter(both, lambda s: (s >= 0) & (F.slice("words", F.greatest(s, F.lit(0)) + 1, len(phrase)) == _strings(phrase)))
+def _constant(value, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def _covered(template: list[str], before: int, starts: Column) -> Column:
-    """The best share of the template's words that agree at the same relative positions; null without a start."""
+#: A template and a start are one number, so that sets of them are hashed.
+SHIFT = 1 << 32
 
-    def one(s: Column) -> Column:
-        same = [F.when(F.get("words", s + (k - before)) == w, 1).otherwise(0) for k, w in enumerate(template)]
-        return reduce(lambda a, b: a + b, same) / float(len(template))
 
-    return F.array_max(F.transform(starts, one))
+def _starts(table: dict[str, list[dict[str, int]]]) -> Column:
+    """template * SHIFT + start of all hits with a posting in the table, where the start isn't before the text."""
+    held = _constant(table, "map<string,array<struct<t:int,k:int>>>")
+    mine = F.filter("hits", lambda h: h["w"].isin(list(table)))
+    fits = lambda h: F.filter(F.element_at(held, h["w"]), lambda p: p["k"] <= h["i"])
+    return F.flatten(F.transform(mine, lambda h: F.transform(fits(h), lambda p: p["t"].cast("long") * SHIFT + h["i"] - p["k"])))
 
 
 def parsed(templates: dict[str, tuple[str, str]]) -> dict[str, tuple[list[str], list[str], int]]:
@@ -110,25 +105,35 @@ def license_scan(docs: DataFrame, templates: dict[str, tuple[str, str]] | None =
     as the empty text. Repeated rows each give a row; an empty table gives none; other columns aren't looked at.
     """
     known = parsed(TEMPLATES if templates is None else templates)
-    base = {phrase: (phrase.split(), label) for phrase, label in BASE.items()}
-    vocabulary = sorted({w for k, _, _ in known.values() for w in k} | {w for p, _ in base.values() for w in p})
-    words = docs.select("doc_id", F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(f"({WORD})"), 1).alias("words"))
-    frequency, files = document_frequencies(words, vocabulary)
-    idf = {w: math.log((files + 1) / (n + 1)) for w, n in frequency.items()}
-    phrases = [p for p, _ in base.values()] + [k for k, _, _ in known.values()]
-    rare = sorted({w for p in phrases for w in _rarest(p, idf)})
+    base = [(label, p.split(), p.split(), 0) for p, label in BASE.items()]
+    rules = base + [(label, key, text, before) for label, (key, text, before) in known.items()]
+    vocabulary = sorted({w for _, _, text, _ in rules for w in text})
+    found = F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(f"({WORD})"), 1)
+    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(found, lambda w: F.when(w.isin(vocabulary), w).otherwise("")).alias("words"))
+    words = common.written(words, "words")
+    first, second = postings([key for _, key, _, _ in rules], *document_frequencies(words))
+    rare = sorted({*first, *second})
     hits = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda h: h["w"].isin(rare))
     scan = words.select("doc_id", "words", hits.alias("hits"))
-    scan = scan.select("doc_id", "words", *[_starts(p, idf).alias(f"b{k}") for k, (p, _) in enumerate(base.values())], *[_starts(key, idf).alias(f"t{k}") for k, (key, _, _) in enumerate(known.values())])
-    shares = [_covered(t, before, F.col(f"t{k}")).alias(f"s{k}") for k, (_, t, before) in enumerate(known.values())]
-    scan = scan.select("doc_id", F.size("words").cast("long").alias("n_words"), F.concat(*[F.col(f"b{k}") for k in range(len(base))]).alias("places"), *[f"b{k}" for k in range(len(base))], *shares)
-    found = [F.when(F.size(f"b{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(base.values())]
-    more = [F.when(F.col(f"s{k}") >= covered, F.lit(label)) for k, label in enumerate(known)]
-    said = lambda cs: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*cs)))), ",")
-    best = F.greatest(*[F.when(F.col(f"s{k}") >= covered, F.col(f"s{k}")).otherwise(0.0) for k in range(len(known))], F.lit(0.0), F.when(F.size("places") > 0, 1.0).otherwise(0.0))
+    scan = scan.select("doc_id", "words", F.array_intersect(_starts(first), _starts(second)).alias("starts"))
+    keys, texts = (_constant([r[k] for r in rules], "array<array<string>>") for k in (1, 2))
+    before, labels = _constant([r[3] for r in rules], "array<int>"), _constant([r[0] for r in rules], "array<string>")
+    key = lambda c: F.get(keys, c["t"])
+    split = F.transform("starts", lambda x: F.struct(F.floor(x / SHIFT).cast("int").alias("t"), (x % SHIFT).cast("int").alias("s")))
+    stands = F.filter(split, lambda c: F.slice("words", c["s"] + 1, F.size(key(c))) == key(c))
+
+    def share(c: Column) -> Column:
+        same = F.transform(F.get(texts, c["t"]), lambda w, k: F.when(F.get("words", c["s"] - F.get(before, c["t"]) + k) == w, 1).otherwise(0))
+        return F.aggregate(same, F.lit(0), lambda a, x: a + x) / F.size(F.get(texts, c["t"])).cast("double")
+
+    scan = scan.select("doc_id", F.size("words").cast("long").alias("n_words"), "words", stands.alias("stands"))
+    scored = F.transform("stands", lambda c: F.struct(c["t"].alias("t"), c["s"].alias("s"), share(c).alias("share")))
+    scan = scan.select("doc_id", "n_words", F.filter(scored, lambda c: (c["t"] < len(base)) | (c["share"] >= covered)).alias("fit"))
+    places = F.transform(F.filter("fit", lambda c: c["t"] < len(base)), lambda c: c["s"])
+    said = lambda some: F.array_join(F.array_sort(F.array_distinct(F.transform(some, lambda c: F.get(labels, c["t"])))), ",")
     return scan.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").cast("long").alias("first_word"),
-        F.array_max("places").cast("long").alias("last_word"), said(found).alias("base_labels"), said(found + more).alias("labels"), F.round(best, 4).alias("score"),
+        "doc_id", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"),
+        said(F.filter("fit", lambda c: c["t"] < len(base))).alias("base_labels"), said(F.col("fit")).alias("labels"), F.round(F.coalesce(F.array_max(F.transform("fit", lambda c: c["share"])), F.lit(0.0)), 4).alias("score"),
     )
 
 

@@ -2,7 +2,9 @@ import hashlib
 import random
 from collections import Counter
 
-from tessera.llm.exact_dedup import CuckooIndex, build_index, delete_rows, exact_dedup, insert_rows, text_digests
+import pytest
+
+from tessera.llm.exact_dedup import CuckooIndex, build_index, content_of, delete_rows, exact_dedup, insert_rows, text_digests
 
 
 def test_index_against_dict():
@@ -33,8 +35,20 @@ def test_edges(spark):
 
 def test_maintenance(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
-    index = build_index(text_digests(docs))
-    more = insert_rows(index, text_digests(spark.createDataFrame([(4, "b"), (5, "c")], "doc_id long, text string")))
-    assert sorted((r.keep_id, r.group_size) for r in more.collect()) == [(1, 2), (3, 2), (5, 1)]
-    less = delete_rows(more, text_digests(spark.createDataFrame([(5, "c"), (1, "a")], "doc_id long, text string")))
-    assert sorted((r.keep_id, r.group_size) for r in less.collect()) == [(1, 1), (3, 2)]
+    rows = lambda *r: text_digests(spark.createDataFrame(r, "doc_id long, text string"))
+    index, content = build_index(text_digests(docs)), content_of(text_digests(docs))
+    index, content = insert_rows(index, content, rows((4, "b"), (5, "c"), (2, "a")))
+    assert sorted((r.keep_id, r.group_size) for r in index.collect()) == [(1, 3), (3, 2), (5, 1)]
+    index, content = delete_rows(index, content, rows((5, "c"), (1, "a")))
+    assert sorted((r.keep_id, r.group_size) for r in index.collect()) == [(2, 2), (3, 2)]
+    index, content = delete_rows(index, content, rows((2, "a")))
+    assert sorted((r.keep_id, r.group_size) for r in index.collect()) == [(2, 1), (3, 2)]
+    assert sorted((r.doc_id, r.n) for r in content.collect()) == [(2, 1), (3, 1), (4, 1)]
+    with pytest.raises(Exception, match="not live"):
+        delete_rows(index, content, rows((1, "a")))[1].collect()
+
+
+def test_very_long_text(spark):
+    long = "word  " * 400_000
+    docs = spark.createDataFrame([(1, long), (2, long.replace("  ", "\n")), (3, long + "x")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup(docs).collect()) == [(1, 1, 2), (2, 1, 2), (3, 3, 1)]

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common
@@ -33,8 +33,8 @@ BUCKETS = 1 << 15
 OTHER = "other"
 #: Bins of the histogram that rounding limits are taken from.
 BINS = 4096
-#: Rows of each domain that are learned from in any case.
-LEAST = 8
+#: About so many rows of each domain are learned from, if there are so many.
+LEAST = 16
 #: A target is missed when the expected tokens are off by more than this share of it.
 MISSED = 0.01
 
@@ -55,17 +55,20 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labelled: DataFrame, max_docs: int = 2000, epochs: int = 8, rate: float = 2.0) -> tuple[np.ndarray, list[str]]:
     """(weights, domains) of a softmax over mean word vectors.
 
-    labelled: (doc_id, domain); of several domains of an id the smallest counts. Every domain is learned: from max_docs
-    rows, drawn by a hash of the id, and from the first LEAST rows of each domain.
+    labelled: (doc_id, domain); of several domains of an id the smallest counts. Every domain is learned: from its part of
+    about max_docs rows, or about LEAST rows if these are more, drawn by a hash of the id, and one row in any case.
     """
     known = labelled.select("doc_id", "domain").where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    count = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    drawn = known.groupBy("domain").agg(F.count("*").alias("n"), F.min(place).alias("low")).collect()
+    count = {r["domain"]: r["n"] for r in drawn}
     if not count:
         return np.zeros((BUCKETS + 1, 1), np.float32), [OTHER]
     domains = sorted(count)
-    drawn = [F.xxhash64("doc_id"), F.col("doc_id")]
-    least = known.withColumn("k", F.row_number().over(Window.partitionBy("domain").orderBy(*drawn))).where(F.col("k") <= LEAST).drop("k")
-    ids = known.orderBy(*drawn).limit(max_docs).unionByName(least).distinct()
+    total = sum(count.values())
+    limits = [(r["domain"], max((1 << 30) * min(1.0, max(max_docs / total, LEAST / r["n"])), r["low"] + 1.0)) for r in drawn]
+    limits = docs.sparkSession.createDataFrame(limits, "domain string, below double")
+    ids = known.join(F.broadcast(limits), "domain").where(place < F.col("below")).select("doc_id", "domain")
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id")
     found = rows.select("doc_id", "domain", "text").mapInArrow(_bags, "doc_id long, domain string, buckets binary, counts binary").toPandas()
     found = found.sort_values(["doc_id", "domain"], ignore_index=True)

@@ -1,13 +1,20 @@
 """WARC (10): archive records and a Merkle fixity audit of replicas.
 
-Records lie in files in a fixed order, each with an offset and a length. A leaf of a file's tree hashes a record's
-offset, length and digest; an inner node hashes the ordered nodes of FANOUT neighbouring index ranges below it. The
-audit joins the roots of two replicas and goes down only from nodes that differ; what lies under equal nodes is never
-compared. The records at differing leaves are then paired to say what happened to each.
+Records are ordered by page id and digest in files of consecutive page ids, each with an offset and a length. A leaf of a
+file's tree hashes a record's offset, length and digest; an inner node hashes the ordered nodes of FANOUT neighbouring
+index ranges below it. The audit joins the roots of two replicas and goes down only from nodes that differ; what lies
+under equal nodes is never compared. The records at differing leaves are then paired to say what happened to each.
+
+Replicas are archives in the shared folder: gzip files of WARC records that Spark's text writer makes, rebalanced by
+size, so that neither a small file for every few pages nor a huge one for a hot id comes out. They are read as streams
+of bytes, record by record, and what was read is audited.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,10 +24,11 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 FANOUT = 16
-#: Page ids of a file, and the records beyond which a file is divided by digest.
+#: Page ids of a file.
 PER_FILE = 256
-FULL = 4096
 END = "\r\n\r\n"
+#: Bytes that are decompressed at once.
+PIECE = 1 << 20
 
 
 def record_text(page_id: Column, url: Column, body: Column) -> Column:
@@ -33,77 +41,146 @@ def record_text(page_id: Column, url: Column, body: Column) -> Column:
     )
 
 
-def write_warc(records: DataFrame, folder: str) -> None:
-    """Writes (file, idx, record) as WARC files, a subfolder for each file, through Spark's text writer."""
-    ordered = records.repartition("file").sortWithinPartitions("file", "idx").select("file", "record")
-    ordered.write.partitionBy("file").option("lineSep", END).text(folder)
+def write_warc(records: DataFrame, folder: str, parts: list[str] | None = None) -> None:
+    """Writes (file, page_id, digest, record, and parts) as gzip WARC files, a subfolder for each value of the parts.
 
-
-def parse_warc(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers, body) of every record of a file; a damaged or cut file is an error at its place."""
-    at = 0
-    while at < len(data):
-        head = data.find(END.encode(), at)
-        if head < 0 or not data.startswith(b"WARC/", at):
+    Records of a file stand in their order; a hot file is divided among several archives by its size.
+    """
+    parts = parts or []
+    order = [*parts, "file", F.col("page_id").asc_nulls_first(), "digest"]
+    rows = records.hint("rebalance", F.col("file")).sortWithinPartitions(*order).select(*parts, "record")
+    writer = rows.write.option("lineSep", END).option("compression", "gzip")
+    (writer.partitionBy(*parts) if parts else writer).text(folder)
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """The bytes of an archive in pieces; gzip, of one member or many, is decompressed on the way."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[k : k + PIECE] for k in range(0, len(data), PIECE))
+        return
+    while data:
+        member = zlib.decompressobj(31)
+        while data and not member.eof:
+            yield member.decompress(data, PIECE)
+            data = member.unconsumed_tail or (member.unused_data if member.eof else b"")
+        if not member.eof:
+            raise ValueError("gzip member is cut off")
+
+
+def parse_warc(pieces: Iterator[bytes] | bytes) -> Iterator[tuple[int, dict[str, str], bytes, bytes]]:
+    """(offset, headers, record, body) of every record of an archive; the record is head and body. A damaged or cut archive
+    is an error at its place. No more than one record and a piece are held."""
+    source = iter(_pieces(pieces) if isinstance(pieces, bytes) else pieces)
+    held, at, end = b"", 0, END.encode()
+
+    def more() -> bool:
+        nonlocal held
+        piece = next(source, None)
+        held += piece or b""
+        return piece is not None
+
+    while True:
+        while len(held) < 5 and more():
+            pass
+        if not held:
+            return
+        while (head := held.find(end)) < 0 and held.startswith(b"WARC/") and more():
+            pass
+        if head < 0 or not held.startswith(b"WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
-        lines = data[at:head].decode("utf-8", "replace").split("\r\n")[1:]
+        lines = held[:head].decode("utf-8", "replace").split("\r\n")[1:]
         headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        start, size = head + 4, int(headers["Content-Length"])
-        if start + size > len(data):
+        stop = head + 4 + int(headers["Content-Length"])
+        while len(held) < stop + 4 and more():
+            pass
+        if len(held) < stop:
             raise ValueError(f"record at byte {at} is cut off")
-        yield at, headers, data[start : start + size]
-        at = start + size + 4
+        yield at, headers, held[:stop], held[head + 4 : stop]
+        held, at = held[stop + 4 :], at + stop + 4
+
+
+def _archives(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, record_offset, record_id, url, body) of all WARC files below a folder; a file is read by one task."""
+    """(path, record_offset, record_id, url, body) of all WARC files below a folder, plain or gzip; bodies are bytes as
+    they are. An archive is read by one task, as a stream; it has to be under 2 GB as stored, and offsets are those of
+    the decompressed bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [(path, at, h.get("WARC-Record-ID"), h.get("WARC-Target-URI"), body.decode("utf-8", "replace")) for at, h, body in parse_warc(data)]
+                rows, size = [], 0
+                for at, h, _, body in parse_warc(data):
+                    rows.append((path, at, h.get("WARC-Record-ID"), h.get("WARC-Target-URI"), body))
+                    size += len(body)
+                    if size > PIECE:
+                        yield _batch(rows)
+                        rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["path", "record_offset", "record_id", "url", "body"])
+                    yield _batch(rows)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", "content").mapInArrow(run, "path string, record_offset long, record_id string, url string, body string")
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "record_offset", "record_id", "url", "body"])
 
+    return _archives(spark, folder).mapInArrow(run, "path string, record_offset long, record_id string, url string, body binary")
 
-def _records(pages: DataFrame) -> DataFrame:
-    text = record_text(F.col("page_id"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), text.alias("record")).withColumn("digest", F.sha2("record", 256))
 
+PAGE = re.compile(r"<urn:page:(-?\d+)>")
 
-def _in_files(rows: DataFrame, kept: list[str]) -> DataFrame:
-    """(file, page_id, digest, copies, and kept) of rows with page_id, digest and kept.
 
-    A file has PER_FILE consecutive page ids; one with over FULL different records is divided by their digests. Equal
-    rows are one record with a number of copies.
-    """
-    rows = rows.groupBy("page_id", "digest").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in kept])
-    base = F.coalesce(F.floor(F.col("page_id") / PER_FILE).cast("string"), F.lit("null"))
-    rows = common.written(rows.withColumn("file", base), "records")
-    large = rows.groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") > FULL).select("file", F.lit(True).alias("split"))
-    rows = rows.join(large.hint("merge"), "file", "left")
-    part = F.when(F.col("split"), F.concat("file", F.lit("-"), F.substring("digest", 1, 4))).otherwise(F.col("file"))
-    return rows.select(part.alias("file"), "page_id", "copies", "digest", *kept)
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, page_id, digest, copies, n_bytes) of the records of an archive folder, hashed as they are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                rows = [(PAGE.search(h.get("WARC-Record-ID", "")), hashlib.sha256(record).hexdigest(), len(record)) for _, h, record, _ in parse_warc(data)]
+                if rows:
+                    ids, digests, sizes = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(i[1]) if i else None for i in ids], pa.int64()), pa.array(digests), pa.array(sizes, pa.int64())], ["page_id", "digest", "n_bytes"])
+
+    rows = _archives(spark, folder).select("content").mapInArrow(run, "page_id long, digest string, n_bytes long")
+    return rows.groupBy(file_of(), "page_id", "digest").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"))
+
+
+def file_of() -> Column:
+    """The file of a page: PER_FILE consecutive ids."""
+    return F.coalesce(F.floor(F.col("page_id") / PER_FILE).cast("string"), F.lit("null")).alias("file")
+
+
+def _records(pages: DataFrame) -> DataFrame:
+    text = record_text(F.col("page_id"), F.col("url").cast("string"), F.col("html").cast("string"))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), text.alias("record")).withColumn("digest", F.sha2("record", 256))
 
 
 def filed(pages: DataFrame) -> DataFrame:
-    """(file, page_id, copies, digest, record): the records of pages and the file of each."""
-    return _in_files(_records(pages), ["record"])
+    """(file, page_id, copies, digest, record): the records of pages and the file of each; equal rows are one record with
+    a number of copies."""
+    rows = _records(pages).groupBy("page_id", "digest").agg(F.count("*").alias("copies"), F.first("record").alias("record"))
+    return rows.select(file_of(), "page_id", "copies", "digest", "record")
 
 
 def leaves(records: DataFrame) -> DataFrame:
     """(file, idx, page_id, digest, copies, record_offset, n_bytes, hash) of (file, page_id, digest, copies, n_bytes).
 
-    Records of a file are ordered by page id and digest; each copy has the record's bytes and the two line ends.
+    Records of a file are ordered by page id and digest; each copy has the record's bytes and the two line ends. Places
+    are counted within a segment, the records of a page whose digests begin alike, and the segments of a file are added
+    up; so an id that a third of all records have isn't counted in one task.
     """
-    order = Window.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "digest")
     size = (F.col("n_bytes") + len(END)) * F.col("copies")
-    placed = records.withColumn("idx", (F.row_number().over(order) - 1).cast("long"))
-    placed = placed.withColumn("record_offset", (F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)) - size).cast("long"))
-    return placed.withColumn("hash", F.sha2(F.concat_ws("|", "record_offset", "n_bytes", "copies", "digest"), 256))
+    rows = records.withColumn("seg", F.substring("digest", 1, 2))
+    inside = Window.partitionBy("file", "page_id", "seg").orderBy("digest")
+    rows = rows.withColumn("k", F.row_number().over(inside) - 1).withColumn("before", F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - size)
+    over = Window.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "seg").rowsBetween(Window.unboundedPreceding, -1)
+    segments = records.groupBy("file", "page_id", F.substring("digest", 1, 2).alias("seg")).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    segments = segments.select("file", "page_id", "seg", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("n"), F.coalesce(F.sum("bytes").over(over), F.lit(0)).alias("bytes"))
+    r, s = rows.alias("r"), segments.hint("merge").alias("s")
+    both = r.join(s, (F.col("r.file") == F.col("s.file")) & F.col("r.page_id").eqNullSafe(F.col("s.page_id")) & (F.col("r.seg") == F.col("s.seg"))).select("r.*", "n", "bytes")
+    placed = both.withColumn("idx", (F.col("k") + F.col("n")).cast("long")).withColumn("record_offset", (F.col("before") + F.col("bytes")).cast("long"))
+    return placed.withColumn("hash", F.sha2(F.concat_ws("|", "record_offset", "n_bytes", "copies", "digest"), 256)).select("file", "idx", "page_id", "digest", "copies", "record_offset", "n_bytes", "hash")
 
 
 def tree(nodes: DataFrame, levels: int) -> list[DataFrame]:
@@ -166,18 +243,33 @@ def _damage() -> tuple[Column, Column]:
     return F.coalesce(rest == 5, F.lit(False)), record
 
 
+def write_replicas(pages: DataFrame, folder: str) -> None:
+    """Writes the records of pages as the archive ``replica=a``, and a damaged copy of it as ``replica=b``: one shuffle."""
+    lost, copy = _damage()
+    rows = _records(pages).select(file_of(), "page_id", "digest", "record", lost.alias("lost"), copy.alias("copy"))
+    rows = rows.select("file", "page_id", "digest", "record", F.when(~F.col("lost"), F.col("copy")).alias("copy")).hint("rebalance", F.col("file"))
+    both = F.array(F.struct(F.lit("a").alias("replica"), F.col("record")), F.struct(F.lit("b").alias("replica"), F.col("copy").alias("record")))
+    order = ["replica", "file", F.col("page_id").asc_nulls_first(), "digest"]
+    out = rows.select("file", "page_id", "digest", F.inline(both)).where("record is not null").sortWithinPartitions(*order)
+    out.select("replica", "record").write.partitionBy("replica").option("lineSep", END).option("compression", "gzip").text(folder)
+
+
 def fixity_drill(pages: DataFrame) -> DataFrame:
-    """Audits a damaged copy of the records of all pages against their manifest.
+    """Archives the records of all pages and a damaged copy, reads both archives and audits the copy against the first.
 
-    Digests and sizes of both are taken where the pages are read, so no text is shuffled. Repeated rows are one record
-    with its copies; null urls and bodies count as empty; an empty table gives no rows; other columns aren't looked at.
+    Repeated rows are one record with its copies; null urls and bodies count as empty; an empty table gives no rows;
+    other columns aren't looked at.
     """
-    lost, copy = _damage()
-    size = lambda c: F.octet_length(c).cast("long")
-    rows = _records(pages).select("page_id", "digest", size("record").alias("n_bytes"), F.sha2(copy, 256).alias("copy_digest"), size(copy).alias("copy_bytes"), lost.alias("lost"))
-    rows = common.written(_in_files(rows, ["n_bytes", "copy_digest", "copy_bytes", "lost"]), "facts")
-    replica = rows.where("not lost").select("file", "page_id", F.col("copy_digest").alias("digest"), "copies", F.col("copy_bytes").alias("n_bytes"))
-    return audit(rows.select("file", "page_id", "digest", "copies", "n_bytes"), replica)
+    spark = pages.sparkSession
+    folder = common.scratch(spark, "warc")
+    write_replicas(pages, folder)
+    common.released(spark)
+    if pages.isEmpty():
+        none = spark.createDataFrame([], "file string, page_id long, digest string, copies long, n_bytes long")
+        return audit(none, none)
+    a, b = (common.written(read_manifest(spark, f"{folder}/replica={r}"), "manifest") for r in "ab")
+    common.deleted(spark, folder)
+    return audit(a, b)
 
 
 ORACLE = r"""

@@ -1,8 +1,11 @@
+import gzip
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import warc_audit
-from tessera.llm.warc_audit import audit, differing, filed, fixity_drill, leaves, parse_warc, read_warc, tree, write_warc
+from tessera.llm.warc_audit import audit, differing, filed, fixity_drill, leaves, parse_warc, read_manifest, read_warc, tree, write_warc
 
 COLUMNS = "page_id long, url string, html string, file string"
 
@@ -31,21 +34,33 @@ def test_every_kind_of_damage(spark, monkeypatch, fanout):
     assert differing(tree(a, 3), tree(a, 3)).count() == 0
 
 
-def test_large_files_are_divided(spark, monkeypatch):
-    monkeypatch.setattr(warc_audit, "FULL", 20)
-    rows = [(5, "u", f"body {k}", "f") for k in range(60)] + [(5, "u", "same", "f")] * 40 + [(None, None, None, None), (None, None, "x", None), (900, None, "", "f")]
-    got = fixity_drill(spark.createDataFrame(rows, COLUMNS)).collect()
-    assert sum(r.copies for r in got) == len(rows) and len({r.file for r in got}) > 10
+def test_hot_pages_and_nulls(spark):
+    rows = [(5, "u", f"body {k}", "f") for k in range(600)] + [(5, "u", "same", "f")] * 40 + [(None, None, None, None), (None, None, "x", None), (900, None, "", "f"), (7, "a\r\n\r\nb", "é\r\n\r\nWARC/1.1", "f"), (8, "u", "z" * 3_000_000, "f")]
+    df = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    got = fixity_drill(df).collect()
+    assert sum(r.copies for r in got) == len(rows) and {r.file for r in got} == {"0", "3", "null"}
+    at = 0
+    for r in sorted((r for r in got if r.file == "0"), key=lambda r: (r.page_id, r.record_sha256)):
+        assert r.record_offset == at
+        at += (r.n_bytes + 4) * r.copies
     assert fixity_drill(spark.createDataFrame([], COLUMNS)).count() == 0
 
 
 def test_files_round_trip(spark, tmp_path):
-    records = filed(pages(spark, 30)).select("file", F.col("page_id").alias("idx"), "record")
-    write_warc(records, str(tmp_path / "warc"))
-    got = {r.record_id: (r.url, r.body) for r in read_warc(spark, str(tmp_path / "warc")).collect()}
+    write_warc(filed(pages(spark, 30)), str(tmp_path / "warc"))
+    got = {r.record_id: (r.url, bytes(r.body).decode()) for r in read_warc(spark, str(tmp_path / "warc")).collect()}
     assert got == {f"<urn:page:{r.page_id}>": (r.url, r.html) for r in pages(spark, 30).collect()}
-    data = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
-    assert [(at, body) for at, _, body in parse_warc(data * 2)] == [(0, b"abc"), (len(data), b"abc")]
-    for broken in (data[:-7], b"x" + data):
-        with pytest.raises(ValueError):
+    assert [p.suffix for p in (tmp_path / "warc").glob("part-*")][0] == ".gz"
+    back = read_manifest(spark, str(tmp_path / "warc"))
+    assert {tuple(r) for r in back.collect()} == {tuple(r) for r in facts(filed(pages(spark, 30))).select(*back.columns).collect()}
+
+
+def test_parse():
+    data = b"WARC/1.1\r\nContent-Length: 3\r\n\r\na\xff\xfe\r\n\r\n"
+    whole = [(0, b"a\xff\xfe"), (len(data), b"a\xff\xfe")]
+    for stored in (data * 2, gzip.compress(data * 2), gzip.compress(data) + gzip.compress(data), (data * 2)[:-4]):
+        assert [(at, body) for at, _, _, body in parse_warc(stored)] == whole
+    assert [r for _, _, r, _ in parse_warc(iter([data[:9], data[9:30], data[30:]]))] == [data[:-4]]
+    for broken in (data[:-7], b"x" + data, gzip.compress(data)[:-12], b"WARC/1.1\r\nno end"):
+        with pytest.raises((ValueError, zlib.error)):
             list(parse_warc(broken))

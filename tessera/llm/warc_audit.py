@@ -67,9 +67,10 @@ def _pieces(data: bytes) -> Iterator[bytes]:
             raise ValueError("gzip member is cut off")
 
 
-def parse_warc(pieces: Iterator[bytes] | bytes) -> Iterator[tuple[int, dict[str, str], bytes, bytes]]:
+def parse_warc(pieces: Iterator[bytes] | bytes, strict: bool = True) -> Iterator[tuple[int, dict[str, str], bytes, bytes]]:
     """(offset, headers, record, body) of every record of an archive; the record is head and body. A damaged or cut archive
-    is an error at its place. No more than one record and a piece are held."""
+    is an error at its place; unless strict, a record whose length isn't the one that it tells ends where the next one
+    begins, so that the rest can be audited. No more than one record and a piece are held."""
     source = iter(_pieces(pieces) if isinstance(pieces, bytes) else pieces)
     held, at, end = b"", 0, END.encode()
 
@@ -91,10 +92,15 @@ def parse_warc(pieces: Iterator[bytes] | bytes) -> Iterator[tuple[int, dict[str,
         lines = held[:head].decode("utf-8", "replace").split("\r\n")[1:]
         headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         stop = head + 4 + int(headers["Content-Length"])
-        while len(held) < stop + 4 and more():
+        while len(held) < stop + 32 and more():
             pass
-        if len(held) < stop:
-            raise ValueError(f"record at byte {at} is cut off")
+        if held[stop : stop + 4] != end or not (len(held) == stop + 4 or held.startswith(b"WARC/", stop + 4)):
+            if strict and len(held) != stop:
+                raise ValueError(f"record at byte {at} is cut off" if len(held) < stop else f"no WARC record at byte {at + stop + 4}")
+            while not strict and (here := held.find(end + b"WARC/", max(0, stop - 16))) < 0 and more():
+                pass
+            if not strict:
+                stop = here if here >= 0 else len(held) - 4 * held.endswith(end)
         yield at, headers, held[:stop], held[head + 4 : stop]
         held, at = held[stop + 4 :], at + stop + 4
 
@@ -137,7 +143,7 @@ def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                rows = [(PAGE.search(h.get("WARC-Record-ID", "")), hashlib.sha256(record).hexdigest(), len(record)) for _, h, record, _ in parse_warc(data)]
+                rows = [(PAGE.search(h.get("WARC-Record-ID", "")), hashlib.sha256(record).hexdigest(), len(record)) for _, h, record, _ in parse_warc(data, strict=False)]
                 if rows:
                     ids, digests, sizes = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array([int(i[1]) if i else None for i in ids], pa.int64()), pa.array(digests), pa.array(sizes, pa.int64())], ["page_id", "digest", "n_bytes"])

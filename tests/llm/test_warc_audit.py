@@ -61,6 +61,9 @@ def test_parse():
     for stored in (data * 2, gzip.compress(data * 2), gzip.compress(data) + gzip.compress(data), (data * 2)[:-4]):
         assert [(at, body) for at, _, _, body in parse_warc(stored)] == whole
     assert [r for _, _, r, _ in parse_warc(iter([data[:9], data[9:30], data[30:]]))] == [data[:-4]]
+    short = b"WARC/1.1\r\nContent-Length: 0\r\n\r>\r\n\r\n"
+    records = [r for _, _, r, _ in parse_warc(data[:-5] + data[-4:] + short + data + short, strict=False)]
+    assert records == [data[:-5], short[:-4], data[:-4], short[:-4]]
     for broken in (data[:-7], b"x" + data, gzip.compress(data)[:-12], b"WARC/1.1\r\nno end"):
         with pytest.raises((ValueError, zlib.error)):
             list(parse_warc(broken))

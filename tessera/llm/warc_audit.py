@@ -250,11 +250,11 @@ def _damage() -> tuple[Column, Column]:
 
 
 def write_replicas(pages: DataFrame, folder: str) -> None:
-    """Writes the records of pages as the archive ``replica=a``, and a damaged copy of it as ``replica=b``: one shuffle."""
+    """Writes the records of pages as the archive ``replica=a``, and a damaged copy of it as ``replica=b``: one shuffle of
+    the records, after which the copy is made."""
     lost, copy = _damage()
-    rows = _records(pages).select(file_of(), "page_id", "digest", "record", lost.alias("lost"), copy.alias("copy"))
-    rows = rows.select("file", "page_id", "digest", "record", F.when(~F.col("lost"), F.col("copy")).alias("copy")).hint("rebalance", F.col("file"))
-    both = F.array(F.struct(F.lit("a").alias("replica"), F.col("record")), F.struct(F.lit("b").alias("replica"), F.col("copy").alias("record")))
+    rows = _records(pages).select(file_of(), "page_id", "digest", "record").hint("rebalance", F.col("file"))
+    both = F.array(F.struct(F.lit("a").alias("replica"), F.col("record")), F.struct(F.lit("b").alias("replica"), F.when(~lost, copy).alias("record")))
     order = ["replica", "file", F.col("page_id").asc_nulls_first(), "digest"]
     out = rows.select("file", "page_id", "digest", F.inline(both)).where("record is not null").sortWithinPartitions(*order)
     out.select("replica", "record").write.partitionBy("replica").option("lineSep", END).option("compression", "gzip").text(folder)

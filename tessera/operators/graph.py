@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +35,11 @@ def trimmed(edges: DataFrame) -> DataFrame:
     now = stored(edges.select("src", "dst").distinct(), "edges")
     n = now.count()
     while n:
-        both = now.select(F.col("src").alias("id")).intersect(now.select(F.col("dst").alias("id")))
-        now = stored(now.join(both.withColumnRenamed("id", "src"), "src", "left_semi").join(both.withColumnRenamed("id", "dst"), "dst", "left_semi"), "edges")
+        step = now
+        for _ in range(3):  # so many layers between two tables
+            both = step.select(F.col("src").alias("id")).intersect(step.select(F.col("dst").alias("id")))
+            step = step.join(both.withColumnRenamed("id", "src"), "src", "left_semi").join(both.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        now = stored(step, "edges")
         before, n = n, now.count()
         if n == before:
             break
@@ -63,15 +69,66 @@ def _spread(edges: DataFrame, marks: DataFrame, within: str | None = None) -> Da
     return now
 
 
+#: Edges of a graph that one task solves; larger ones go in rounds over tables.
+SMALL = 100_000
+
+
+def _strong(edges: list[tuple]) -> dict:
+    """Node -> largest node of its strongly connected component, for nodes on cycles: depth-first, with a stack of ours."""
+    out: dict = {}
+    for u, v in edges:
+        out.setdefault(u, []).append(v)
+        out.setdefault(v, [])
+    order, low, held, on, found = {}, {}, [], set(), {}
+    for root in out:
+        todo = [] if root in order else [(root, iter(out[root]))]
+        while todo:
+            u, rest = todo[-1]
+            if u not in order:
+                order[u] = low[u] = len(order)
+                held.append(u), on.add(u)
+            v = next(rest, None)
+            if v is not None:
+                if v not in order:
+                    todo.append((v, iter(out[v])))
+                elif v in on:
+                    low[u] = min(low[u], order[v])
+                continue
+            todo.pop()
+            if todo:
+                low[todo[-1][0]] = min(low[todo[-1][0]], low[u])
+            if low[u] == order[u]:
+                part = held[held.index(u) :] if len(held) < 64 else held[len(held) - 1 - held[::-1].index(u) :]
+                del held[len(held) - len(part) :]
+                on.difference_update(part)
+                if len(part) > 1 or u in out[u]:
+                    found.update(dict.fromkeys(part, max(part)))
+    return found
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [pair for b in batches for pair in zip(b["src"].tolist(), b["dst"].tolist(), strict=True)]
+        found = _strong(rows)
+        yield pd.DataFrame({"id": list(found), "cycle": list(found.values())})
+
+    return edges.select("src", "dst").coalesce(1).mapInPandas(run, f"id {kind}, cycle {kind}")
+
+
 def on_cycles(edges: DataFrame) -> DataFrame:
     """(id, cycle) of the nodes that reach themselves, whatever the length; cycle is the largest id of the strongly
-    connected component.
+    connected component. A graph of up to SMALL edges, which are counted, is one task's work.
 
-    Ends are trimmed away; then colours go forward (each node's largest ancestor) and, within a colour, backward from the
+    In a larger one, ends are trimmed away; then colours go forward (each node's largest ancestor) and, within a colour, backward from the
     node that gave it: what is reached is one component. The rest goes another round. Every round is a written table.
     """
     found = None
-    left = trimmed(edges)
+    pairs = edges.select("src", F.col("dst").cast(edges.schema["src"].dataType).alias("dst")).where("src is not null and dst is not null").distinct()
+    if pairs.limit(SMALL + 1).count() <= SMALL:
+        return _in_one_task(pairs)
+    left = trimmed(pairs)
     while not left.isEmpty():
         nodes = left.select(F.col("src").alias("id")).union(left.select("dst")).distinct()
         color = _spread(left, nodes.select("id", F.col("id").alias("mark"))).select("id", F.col("mark").alias("color"))

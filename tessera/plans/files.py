@@ -169,7 +169,7 @@ def code_records(t):
     key, line = F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")
     value = F.concat_ws(" + ", *[F.col(c).cast("string") for c in ("l_quantity", "l_partkey", "l_extendedprice")])
     model = F.concat(F.lit("model L"), line, F.lit("\n  Real q = "), value, F.lit(";\nend L"), line, F.lit(";"))
-    first = F.col("l_linenumber").cast("long") * 4
+    first = F.col("l_linenumber").cast("long") * 4 + 1000
     item = lambda text, at: F.struct(text.alias("str"), F.array(F.lit("q"), F.lit("if")).alias("vars"), F.array().cast("array<string>").alias("ops"), at.alias("first_line"), at.alias("last_line"))
     block = lambda text, at: F.struct(F.lit("equation").alias("section_type"), at.alias("first_line"), at.alias("last_line"), F.array(item(text, at)).alias("items"))
     none = F.array().cast("array<struct<name:string, type:string, prefixes:array<string>>>")
@@ -183,7 +183,7 @@ def code_records(t):
     last = F.size(F.split(text, "\n")).cast("long")
     package = parts.select(
         F.concat(F.lit("P"), F.col("l_orderkey").cast("string")).alias("fqn"), F.lit("package").alias("kind"), F.array().cast("array<string>").alias("package_path"), text.alias("code_text"), F.lit(1).cast("long").alias("first_line"), last.alias("last_line"),
-        F.lit("1.0").alias("version"), none.alias("components"), F.array().cast("array<string>").alias("extends"), F.array(block(F.lit("q = 1;"), F.lit(5).cast("long")), block(F.lit("total = a + b;"), last - 1)).alias("equations"),
+        F.lit("1.0").alias("version"), none.alias("components"), F.array().cast("array<string>").alias("extends"), F.array(block(F.lit("q = 1;"), F.lit(1005).cast("long")), block(F.lit("total = a + b;"), F.lit(2).cast("long"))).alias("equations"),
     )
     return lines.unionByName(package)
 
@@ -203,7 +203,7 @@ def package_children(t):
     return p.select("fqn", F.size("child_classes").cast("long").alias("children"), F.size("child_classes_removed").cast("long").alias("removed"), "contained_functions").withColumnRenamed("contained_functions", "functions")
 
 
-@query("SELECT 'P' || l_orderkey || '.L' || l_linenumber AS fqn, ['u'] AS inputs, ['Base', 'Modelica.Icons.Function'] AS extends, (l_linenumber * 4 + 1)::BIGINT AS line, ['q'] AS vars FROM lineitem WHERE l_linenumber = 7")
+@query("SELECT 'P' || l_orderkey || '.L' || l_linenumber AS fqn, ['u'] AS inputs, ['Base', 'Modelica.Icons.Function'] AS extends, (l_linenumber * 4 + 1001)::BIGINT AS line, ['q'] AS vars FROM lineitem WHERE l_linenumber = 7")
 def function_records(t):
     """Functions: inputs and outputs, the function base class, one algorithm block."""
     f = R.function_records(code_records(t))

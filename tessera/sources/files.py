@@ -148,7 +148,7 @@ def probe(spark: SparkSession, path: str) -> DataFrame:
     with over ten characters.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return probe_text(files.select("path", F.decode("content", F.lit("UTF-8")).alias("text"), F.sha2("content", 256).alias("sha256")))
+    return probe_text(files.select("path", F.col("content").cast("string").alias("text"), F.sha2("content", 256).alias("sha256")))
 
 
 def probe_text(files: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def series(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame
 
 def _decoded(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     """Lines of small files in another encoding, such as ISO-8859-1: a file is a row."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_file"), F.decode("content", F.lit(encoding)).alias("text"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_file"), F.decode("content", encoding).alias("text"))
     return files.select("source_file", F.posexplode(F.split("text", "\r?\n")).alias("k", "line")).select("source_file", (F.col("k") + 1).cast("long").alias("line_no"), "line")
 
 

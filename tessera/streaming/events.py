@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Parts of a store that is ingested into.
+PARTS = 64
+
 
 def read_events(spark: SparkSession, folder: str, pattern: str = "events*.parquet") -> DataFrame:
     """The event files of a folder as a stream with an event-time timestamp."""
@@ -47,17 +51,66 @@ def history(events: DataFrame, last: int = 10) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, recent array<long>", "recent array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
+class LastEvents(StatefulProcessor):
+    """The last event ids of a user as a value in state; every batch of a user's events gives one row."""
+
+    def __init__(self, last: int):
+        self.last = last
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "recent array<long>")
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+        held = list(self.held.get()[0]) if self.held.exists() else []
+        for b in rows:
+            held = sorted([*held, *b["event_id"].tolist()])[-self.last :]
+        self.held.update((held,))
+        yield pd.DataFrame({"user_id": [key[0]], "recent": [held]})
+
+    def close(self) -> None:
+        pass
+
+
+def history_with_state(events: DataFrame, last: int = 10) -> DataFrame:
+    """``history`` by transformWithState; it needs the RocksDB state store."""
+    return events.groupBy("user_id").transformWithStateInPandas(LastEvents(last), "user_id long, recent array<long>", "update", "none")
+
+
+class Progress(StreamingQueryListener):
+    """Calls back with what a stream does: (event, facts), where the event is started, progress or ended."""
+
+    def __init__(self, say: Callable[[str, dict], None]):
+        self.say = say
+
+    def onQueryStarted(self, event) -> None:
+        self.say("started", {"id": str(event.id), "name": event.name})
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.say("progress", {"id": str(p.id), "batch": p.batchId, "rows": p.numInputRows})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.say("ended", {"id": str(event.id), "error": event.exception})
+
+
 def ingest_once(stream: DataFrame, store: str, checkpoint: str, key: str):
-    """Appends rows whose key the store doesn't have; started with availableNow."""
+    """Appends rows whose key the store doesn't have; started with availableNow.
+
+    The store is divided by a hash of the key, so a batch reads the keys of the parts that it has rows for, no others.
+    """
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
+        new = batch.dropDuplicates([key]).withColumn("part", F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int"))
+        parts = [r["part"] for r in new.select("part").distinct().collect()]  # PARTS at most
         try:
-            new = new.join(spark.read.parquet(store).select(key), key, "left_anti")
+            new = new.join(spark.read.parquet(store).where(F.col("part").isin(parts)).select(key), key, "left_anti")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        new.write.mode("append").parquet(store)
+        new.write.mode("append").partitionBy("part").parquet(store)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,8 +1,10 @@
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import extract
 from tessera.operators import align, graph, rules, scanners, text, vector
 from tessera.streaming import events as S
 
@@ -17,8 +19,8 @@ def test_text(spark):
     assert one(spark, text.words(lit("  a  b "))) == ["a", "b"]
     assert one(spark, text.stripped(lit("\t a \n"))) == "a"
     assert one(spark, text.truncated(lit("éééé"), 3)) == "ééé..."
-    assert [one(spark, text.chunk_type(lit(s))) for s in ("```x```", "$a$", "|a|b|c|d|e|", "plain")] == ["code", "formula", "table", "text"]
-    assert one(spark, text.html_to_text(lit("<p>a &lt;b&gt;</p><br/> &amp;lt; "))) == "a <b> &lt;"
+    assert [one(spark, extract.chunk_kind(lit(s))) for s in ("```x```", "$a$", "|a|b|c|d|e|", "plain")] == ["code", "formula", "table", "text"]
+    assert one(spark, extract.html_text(lit("<p>a &lt;b&gt;</p><br/> &amp;lt; "))) == "a <b> &lt;"
     assert one(spark, text.bigrams(F.array(lit("a"), lit("b"), lit("a"), lit("b")))) == ["a b", "b a"]
     assert one(spark, text.bigrams(F.array(lit("a")))) == []
 
@@ -66,11 +68,32 @@ def test_intervals(spark):
     pairs = sorted((r.id, r.k) for r in align.overlapping(a, b, "s", "e", "cs", "ce", 10).collect())
     assert pairs == [(1, 7), (1, 8), (2, 7), (3, 8)]
     assert align.overlapping(a, b.where("k = 8"), "s", "e", "cs", "ce", 10, "left_anti").select("id").collect()[0].id == 2
-
-
-def test_graph(spark):
-    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 5)], "src int, dst int")
-    assert sorted(r.id for r in graph.on_cycles(edges, 8).collect()) == [1, 2, 3, 5]
+    nulls = spark.createDataFrame([(None, 50, 50), (1, None, 5), (2, 7, 5), (3, 700, 701), (3, 700, 701), (None, 55, 58)], "id int, s int, e int")
+    key = lambda r: -1 if r.id is None else r.id
+    assert sorted(map(key, align.overlapping(nulls, b, "s", "e", "cs", "ce", 10, "left_anti").collect())) == [1, 2, 3, 3]
+    assert sorted(map(key, align.overlapping(nulls, b, "s", "e", "cs", "ce", 10, "left_semi").collect())) == [-1, -1]
+
+
+def test_positions_and_captions(spark):
+    rows = spark.createDataFrame([(k * 7919 % 1000,) for k in range(1000)], "x long").repartition(5)
+    assert {r.x: r.pos for r in align.positions(rows, ["x"], "pos").collect()} == {k: k + 1 for k in range(1000)}
+    said = spark.createDataFrame([(1, "a ![x]( 'A\\B.png' ) b <IMG src='c.PNG' w=1> ![](none)"), (2, "none"), (3, "")], "id int, t string")
+    caps = spark.createDataFrame([("a/b.png", "one"), (" C.png", "two")], "path string, caption string")
+    assert {r.id: r.t for r in align.with_captions(said, "id", "t", caps).collect()} == {1: "a one b two ![](none)", 2: "none", 3: ""}
+
+
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_graph(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
+    ring = [(100 + k, 100 + (k + 1) % 12) for k in range(12)]
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 5), (4, 100), (105, 6), (6, 7), (7, 6), *ring], "src int, dst int")
+    got = {r.id: r.cycle for r in graph.on_cycles(edges).collect()}
+    assert got == {1: 3, 2: 3, 3: 3, 5: 5, 6: 7, 7: 7} | {100 + k: 111 for k in range(12)}
+    assert graph.on_cycles(edges.limit(0)).count() == 0
+    assert graph.illegal_cycles(edges.withColumn("type", F.when(F.col("src") == 4, "feedback").otherwise("data"))).count() == 0
+    nodes = spark.createDataFrame([(1,), (2,)], "id int")
+    both = spark.createDataFrame([(1, 2), (2, 1)], "src int, dst int")
+    assert sorted(map(tuple, graph.endpoints(nodes, both).collect())) == [(1, "start"), (2, "end")]
 
 
 def test_rules(spark):
@@ -103,6 +126,33 @@ def test_streams(spark, sf, tmp_path):
         want.setdefault(r.user_id, []).append(r.event_id)
     got = {r.user_id: r.recent for r in spark.table("history_out").collect()}
     assert got == {u: sorted(ids)[-10:] for u, ids in want.items()}
+    for name, plan in (("sliding", S.sliding), ("sessions", S.sessions)):
+        plan(events).writeStream.format("memory").queryName(f"{name}_out").outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+        batch = plan(spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")))
+        closed = spark.table(f"{name}_out")
+        assert 0 < closed.count() <= batch.count() and closed.exceptAll(batch).count() == 0
     for _ in range(2):
         S.ingest_once(events.select("user_id"), str(tmp_path / "store"), str(tmp_path / "cp"), "user_id").awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "store")).count() == len(want)
+
+
+def test_state_and_listener(spark, sf, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    said = []
+    listener = S.Progress(lambda event, facts: said.append((event, facts.get("rows"))))
+    spark.streams.addListener(listener)
+    try:
+        q = S.history_with_state(S.read_events(spark, sf).select("user_id", "event_id"), 3).writeStream.format("memory").queryName("state_out").outputMode("update").trigger(availableNow=True).start()
+        q.awaitTermination(180)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    want = {}
+    for r in spark.read.parquet(f"{sf}/events.parquet").collect():
+        want.setdefault(r.user_id, []).append(r.event_id)
+    assert {r.user_id: r.recent for r in spark.table("state_out").collect()} == {u: sorted(ids)[-3:] for u, ids in want.items()}
+    for _ in range(50):
+        if ("ended", None) in said:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(listener)
+    assert said[0][0] == "started" and ("ended", None) in said and sum(n or 0 for e, n in said if e == "progress") == sum(map(len, want.values()))

@@ -93,11 +93,8 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table of sf_dir, each written to the shared folder and read again."""
     docs = common.table(spark, sf_dir, "documents")
-    before = None
+    before = common.held()
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), name)
-        if before is not None:
-            common.dropped(before)
-        before = docs
+        docs = common.swept(common.written(stage(spark, docs, sf_dir), name), before)
         common.released(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -66,6 +66,19 @@ def dropped(*tables: DataFrame) -> None:
             deleted(df.sparkSession, path)
 
 
+def held() -> set[str]:
+    """The folders that are there now, for swept()."""
+    return set(_paths)
+
+
+def swept(result: DataFrame, before: set[str]) -> DataFrame:
+    """The result, after the tables that were written since and that its plan doesn't read have been deleted."""
+    read = {f.rsplit("/", 2)[1] for f in result.inputFiles()}
+    for path in [p for p in _paths if p not in before and p.rsplit("/", 1)[1] not in read]:
+        deleted(result.sparkSession, path)
+    return result
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all tables that operators of this process have left for the plans they returned, once these are consumed."""
     for path in list(_paths):

@@ -1,10 +1,12 @@
 """Embedding near-dedup (4): an exact metric range join of unit vectors under labels.
 
 Pivots divide the vectors of a label into cells by the nearest pivot. A vector within the search radius of another
-cell's border, which the triangle inequality bounds by (d_j^2 - d_i^2) / (2 d_ij), is replicated into that cell, and
-cells are joined independently. Equal vectors are one class. Vectors of a cell that lie within half the radius of its
-pivot are links of each other by the triangle inequality and are counted, not compared; so a dense group costs one
-pass. Everything else of a cell is compared in blocks of BLOCK by BLOCK, however large the cell is.
+cell's border is replicated into that cell, and cells are joined independently: between unit vectors the distance from
+the bisector of two pivots is (d_j^2 - d_i^2) / (2 d_ij), and two vectors within the radius of each other that lie on
+its two sides are both that near to it; the bound that the triangle inequality alone gives, (d_j - d_i) / 2, is wider.
+Equal vectors are one class. Vectors of a cell that lie within half the radius of its pivot are links of each other by
+the triangle inequality and are counted, not compared; so a dense group costs one pass. Everything else of a cell is
+compared in blocks of BLOCK by BLOCK, however large the cell is.
 """
 
 from __future__ import annotations
@@ -211,6 +213,7 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame
     null label or id, and vectors that are null, empty or zero or have null or non-finite components link with nothing
     and are kept. Rows that repeat an id give a row each, with the links of its own vector, in one component. An empty table gives no rows; other columns aren't looked at. least has to be above 0.
     """
+    before = common.held()
     radius = float(np.sqrt(2 - 2 * least))
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>"))
     unit = rows.where("label is not null and vec_id is not null").mapInArrow(_unit, "vec_id long, grp string, digest binary, vec binary")
@@ -241,7 +244,7 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame
     fine = F.coalesce(fits & (F.size(values) > 0) & F.forall(values, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(values, lambda x: x != 0), F.lit(False))
     alone = rows.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = member.unionByName(alone)
-    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return common.swept(out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept")), before)
 
 
 ORACLE = """

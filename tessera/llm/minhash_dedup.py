@@ -292,6 +292,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     are one document for links, so a link of either counts, and each gives a row. Rows with a null id link with
     nothing: their component_id is null and they are kept. An empty table gives no rows; other columns aren't looked at.
     """
+    before = common.held()
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = common.written(rows.mapInArrow(_signed(words), "doc_id long, n_shingles long, digest binary, bands binary, sketch binary"), "signatures")
     live = signed.where("doc_id is not null and digest is not null")
@@ -333,4 +334,4 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     own = member.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(own.hint("merge"), "doc_id", "left")
     place = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", place.alias("component_id"), F.coalesce(F.col("doc_id") == place, F.lit(True)).alias("kept"))
+    return common.swept(out.select("doc_id", "n_shingles", place.alias("component_id"), F.coalesce(F.col("doc_id") == place, F.lit(True)).alias("kept")), before)

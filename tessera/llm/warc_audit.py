@@ -266,6 +266,7 @@ def fixity_drill(pages: DataFrame) -> DataFrame:
     Repeated rows are one record with its copies; null urls and bodies count as empty; an empty table gives no rows;
     other columns aren't looked at.
     """
+    before = common.held()
     spark = pages.sparkSession
     folder = common.scratch(spark, "warc")
     write_replicas(pages, folder)
@@ -275,7 +276,7 @@ def fixity_drill(pages: DataFrame) -> DataFrame:
         return audit(none, none)
     a, b = (common.written(read_manifest(spark, f"{folder}/replica={r}"), "manifest") for r in "ab")
     common.deleted(spark, folder)
-    return audit(a, b)
+    return common.swept(audit(a, b), before)
 
 
 ORACLE = r"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: White space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
-#: Folders that written() has made and nobody has deleted yet.
-_paths: list[str] = []
+#: Folders that written() has made and nobody has deleted yet, with the thread that made each.
+_paths: dict[str, int] = {}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,14 +49,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one; clear() deletes it."""
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    _paths.append(path)
+    _paths[path] = threading.get_ident()
     return path
 
 
 def deleted(spark: SparkSession, path: str) -> None:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    _paths[:] = [p for p in _paths if p != path]
+    _paths.pop(path, None)
 
 
 def dropped(*tables: DataFrame) -> None:
@@ -72,9 +73,10 @@ def held() -> set[str]:
 
 
 def swept(result: DataFrame, before: set[str]) -> DataFrame:
-    """The result, after the tables that were written since and that its plan doesn't read have been deleted."""
+    """The result, after the tables that this thread has written since and that its plan doesn't read are deleted."""
     read = {f.rsplit("/", 2)[1] for f in result.inputFiles()}
-    for path in [p for p in _paths if p not in before and p.rsplit("/", 1)[1] not in read]:
+    mine = threading.get_ident()
+    for path in [p for p, thread in _paths.items() if thread == mine and p not in before and p.rsplit("/", 1)[1] not in read]:
         deleted(result.sparkSession, path)
     return result
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import common, embedding_dedup, license_scan, warc_audit
+from tessera.llm import common, embedding_dedup, fill_in_middle, license_scan, url_filter, warc_audit
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.language_id import identify
 from tessera.llm.minhash_dedup import near_duplicates
@@ -81,6 +81,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = url_filter.build_index(url_filter.rule_table(spark, url_filter.RULES, url_filter.LISTED))
+    return url_filter.url_verdicts(common.table(spark, sf_dir, "pages"), index)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.arrow_limits(spark)
+    return fill_in_middle.fill_in_middle(common.table(spark, sf_dir, "documents"), digests=True)
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_source_mixing": op2_source_mixing,
@@ -92,10 +102,14 @@ QUERIES: dict[str, Query] = {
     "op5_sentencepiece": op5_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_warc_audit": op10_warc_audit,
+    "op12_url_filter": op12_url_filter,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": license_scan.oracle(),
     "op4_embedding_dedup": embedding_dedup.ORACLE,
     "op9_exact_dedup": OP9_SQL,
     "op10_warc_audit": warc_audit.ORACLE,
+    "op12_url_filter": url_filter.oracle(),
+    "op13_fill_in_middle": fill_in_middle.ORACLE,
 }

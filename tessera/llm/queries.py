@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import common, embedding_dedup, fill_in_middle, license_scan, url_filter, warc_audit
+from tessera.llm import common, embedding_dedup, fill_in_middle, license_scan, ranked_search, url_filter, warc_audit
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.language_id import identify
 from tessera.llm.minhash_dedup import near_duplicates
@@ -81,6 +81,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.arrow_limits(spark)
+    return ranked_search.ranked_search(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = url_filter.build_index(url_filter.rule_table(spark, url_filter.RULES, url_filter.LISTED))
     return url_filter.url_verdicts(common.table(spark, sf_dir, "pages"), index)
@@ -102,6 +107,7 @@ QUERIES: dict[str, Query] = {
     "op5_sentencepiece": op5_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_warc_audit": op10_warc_audit,
+    "op11_ranked_search": op11_ranked_search,
     "op12_url_filter": op12_url_filter,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
@@ -110,6 +116,7 @@ ORACLES: dict[str, str] = {
     "op4_embedding_dedup": embedding_dedup.ORACLE,
     "op9_exact_dedup": OP9_SQL,
     "op10_warc_audit": warc_audit.ORACLE,
+    "op11_ranked_search": ranked_search.ORACLE,
     "op12_url_filter": url_filter.oracle(),
     "op13_fill_in_middle": fill_in_middle.ORACLE,
 }

@@ -84,25 +84,37 @@ def _block(number: int, ids: list[int | None], counts: list[Counter], n_docs: in
     return pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
 
+def _totals(rows: DataFrame) -> tuple[int, int]:
+    """Documents with a term, and all terms: a sum for each task goes to the driver's one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs = terms = 0
+        for batch in batches:
+            sizes = [len(terms_of(t.as_py())) for t in batch.column(1).cast(pa.binary())]
+            docs, terms = docs + len(sizes) - sizes.count(0), terms + sum(sizes)
+        yield pa.RecordBatch.from_arrays([pa.array([docs], pa.int64()), pa.array([terms], pa.int64())], ["docs", "terms"])
+
+    found = rows.mapInArrow(run, "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first()
+    return found[0] or 0, found[1] or 0
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """The index of a table as a written table of blocks. Rows without a term are in no block and count nowhere."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    n = F.regexp_count("text", F.lit(TERM))
-    found = rows.select(n.alias("n")).agg(F.count_if(F.col("n") > 0), F.sum(F.col("n").cast("long"))).first()
-    n_docs, n_terms = found[0], found[1] or 0
+    n_docs, n_terms = _totals(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            counts = [Counter(terms_of(t)) for t in texts]
-            held = [k for k, c in enumerate(counts) if c]
-            for a, b in common.blocks_of([max(len(texts[k]), TEXT // DOCS) for k in held], TEXT):
-                own = held[a:b]
-                yield _block(number, [ids[k] for k in own], [counts[k] for k in own], n_docs, n_terms)
-                number += 1
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
+            for a, b in common.blocks_of([max(n, TEXT // DOCS) for n in pc.binary_length(texts).to_pylist()], TEXT):
+                counts = [Counter(terms_of(t)) for t in texts.slice(a, b - a).to_pylist()]
+                held = [k for k, c in enumerate(counts) if c]
+                if held:
+                    yield _block(number, [ids[a + k] for k in held], [counts[k] for k in held], n_docs, n_terms)
+                    number += 1
 
     blocks = rows.mapInArrow(run, BLOCK)
     spark = docs.sparkSession

@@ -44,6 +44,8 @@ UNITS = "k?m|cm|mm|kg|g|s|ms|Hz|kHz|MHz|GHz|Pa|kPa|MPa|bar|°C|C|K|m/s|N|J|W|kW|
 STOP = ["the", "and", "for", "with", "this", "that", "what", "when", "where", "make", "create", "design", "model"]
 TAILS = {"code": "model function equation parameter variable component system", "text": "technical specification component system process method"}
 NAME = r"[A-Za-z_]\w*"
+#: A list in round brackets, with brackets in it but none in these.
+LIST = r"\((?:[^()]++|\([^()]*+\))*+\)"
 
 
 def bound(value: Column, body) -> Column:
@@ -184,7 +186,7 @@ def connections(code: Column) -> Column:
 
 def parameters(code: Column) -> Column:
     """(name, type, default, description) of parameter, constant and final parameter declarations."""
-    found = matches(code, rf'\b(?:parameter|constant)\s+([A-Za-z_][\w.]*(?:\[[^\]]*\])?)\s+({NAME})\s*(\([^)]*\))?\s*(?:=\s*([^;"]+))?\s*(?:"([^"]*)")?\s*;', type=1, name=2, attributes=3, default=4, description=5)
+    found = matches(code, rf'\b(?:parameter|constant)\s+([A-Za-z_][\w.]*(?:\[[^\]]*\])?)\s+({NAME})\s*({LIST})?\s*(?:=\s*([^;"]+))?\s*(?:"([^"]*)")?\s*;', type=1, name=2, attributes=3, default=4, description=5)
     said = lambda c: F.when(F.trim(c) != "", F.trim(c))
     return F.transform(found, lambda p: F.struct(p["name"].alias("name"), p["type"].alias("type"), F.trim(p["default"]).alias("default"), said(p["description"]).alias("description"), attribute(p["attributes"], "unit").alias("unit"), attribute(p["attributes"], "min").alias("min"), attribute(p["attributes"], "max").alias("max")))
 
@@ -208,13 +210,13 @@ def components(code: Column) -> Column:
 
 
 def variables(code: Column) -> Column:
-    """(name, type, prefixes, unit, quantity, binding, comment) of variable declarations, the first of each name."""
+    """(name, type, prefixes, unit, quantity, binding, comment, attributes) of variable declarations, the first of each name."""
     prefix = r"(?:input|output|flow|stream|discrete|final|inner|outer|protected)\s+"
-    found = matches(code, rf'(?m)^\s*((?:{prefix})*)([A-Za-z_][\w.]*)\s+({NAME})(?!\s*=\s*if\b)(\s*\[[^\]]*\])?\s*(\([^)]*\))?\s*(?:=\s*([^;"]+?))?\s*(?:"([^"]*)")?\s*;', prefixes=1, type=2, name=3, attributes=5, binding=6, comment=7)
+    found = matches(code, rf'(?m)^\s*((?:{prefix})*)([A-Za-z_][\w.]*)\s+({NAME})(?!\s*=\s*if\b)(\s*\[[^\]]*\])?\s*({LIST})?\s*(?:=\s*([^;"]+?))?\s*(?:"([^"]*)")?\s*;', prefixes=1, type=2, name=3, attributes=5, binding=6, comment=7)
     fit = F.filter(found, lambda v: ~F.lower(v["type"]).isin([*NOT_TYPES, "parameter", "constant"]) & ~F.lower(v["name"]).isin([*NOT_TYPES, *RESERVED]))
     first = bound(fit, lambda vs: bound(F.transform(vs, lambda v: v["name"]), lambda names: F.filter(vs, lambda v, k: F.array_position(names, v["name"]) == k + 1)))
     some = lambda c: F.when(F.trim(c) != "", F.trim(c))
-    return F.transform(first, lambda v: F.struct(v["name"].alias("name"), v["type"].alias("type"), X.words(v["prefixes"]).alias("prefixes"), attribute(v["attributes"], "unit").alias("unit"), attribute(v["attributes"], "quantity").alias("quantity"), some(v["binding"]).alias("binding"), some(v["comment"]).alias("comment")))
+    return F.transform(first, lambda v: F.struct(v["name"].alias("name"), v["type"].alias("type"), X.words(v["prefixes"]).alias("prefixes"), attribute(v["attributes"], "unit").alias("unit"), attribute(v["attributes"], "quantity").alias("quantity"), some(v["binding"]).alias("binding"), some(v["comment"]).alias("comment"), v["attributes"].alias("attributes")))
 
 
 def quantities(code: Column) -> Column:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ERROR = "array<struct<path:string, code:string>>"
 #: Types of a schema and the types that a variant says of itself.
 TYPES = {"string": ["STRING"], "integer": ["BIGINT", "INT", "SMALLINT", "TINYINT"], "number": ["BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT", "DECIMAL"], "boolean": ["BOOLEAN"], "object": ["OBJECT"], "array": ["ARRAY"], "null": ["VOID"]}
-KNOWN = {"type", "properties", "required", "additionalProperties", "items", "enum", "minLength", "maxLength", "pattern", "minItems", "maxItems", "minimum", "maximum", "$schema", "title", "description", "format", "default", "$id"}
+KNOWN = {"type", "properties", "required", "additionalProperties", "items", "enum", "const", "minLength", "maxLength", "pattern", "minItems", "maxItems", "minimum", "maximum", "$schema", "title", "description", "format", "default", "$id"}
 NODE_TYPES = ["analyzer", "retriever", "domain_expert", "validator", "refiner", "router", "vlm"]
 
 
@@ -24,8 +27,30 @@ def _text(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
 
+def _equals(v: Column, value) -> Column:
+    """Whether a variant is a value of JSON: numbers by their value, objects whatever the order of their keys."""
+    kind = _kind(v)
+    if value is None:
+        return kind == "VOID"
+    if isinstance(value, bool):
+        return (kind == "BOOLEAN") & F.coalesce(F.try_variant_get(v, "$", "boolean") == value, F.lit(False))
+    if isinstance(value, int | float):
+        return kind.isin(TYPES["number"]) & F.coalesce(F.try_variant_get(v, "$", "double") == float(value), F.lit(False))
+    if isinstance(value, str):
+        return (kind == "STRING") & (_text(v) == value)
+    return kind.isin("OBJECT", "ARRAY") & (F.to_json(v) == F.to_json(F.parse_json(F.lit(json.dumps(value)))))
+
+
+def _is_type(v: Column, kind: Column, name: str) -> Column:
+    """Whether a variant is of a type of the schema; a number without a fraction is an integer, however it is written."""
+    if name != "integer":
+        return kind.isin(TYPES[name])
+    number = F.try_variant_get(v, "$", "double")
+    return kind.isin(TYPES["integer"]) | (kind.isin(TYPES["number"]) & F.coalesce(number == F.rint(number), F.lit(False)))
+
+
 def violations(v: Column, schema: dict, path: str = "") -> Column:
-    """An array of (path, code) of what a variant breaks: REQUIRED, TYPE, ENUM, PATTERN, MIN_LENGTH, MAX_LENGTH, MINIMUM,
+    """An array of (path, code) of what a variant breaks: REQUIRED, TYPE, ENUM, CONST, PATTERN, MIN_LENGTH, MAX_LENGTH, MINIMUM,
     MAXIMUM, MIN_ITEMS, MAX_ITEMS, ADDITIONAL. Items of an array have the path ``key[]``. Rules for a type hold where a
     value is of that type; a keyword that isn't known is an error when the schema is compiled."""
     unknown = set(schema) - KNOWN
@@ -35,12 +60,14 @@ def violations(v: Column, schema: dict, path: str = "") -> Column:
     out = []
     wanted = schema.get("type")
     if wanted:
-        names = [t for w in ([wanted] if isinstance(wanted, str) else wanted) for t in TYPES[w]]
-        out.append(_said(path, "TYPE", ~kind.isin(names)))
+        fits = [_is_type(v, kind, w) for w in ([wanted] if isinstance(wanted, str) else wanted)]
+        out.append(_said(path, "TYPE", ~reduce(lambda a, b: a | b, fits)))
     is_text, is_list, is_object = kind == "STRING", kind == "ARRAY", kind == "OBJECT"
     size = F.size(F.try_variant_get(v, "$", "array<variant>"))
     if "enum" in schema:
-        out.append(_said(path, "ENUM", ~F.coalesce(_text(v).isin([str(x) for x in schema["enum"] if x is not None]), F.lit(False)) & ~((kind == "VOID") & F.lit(None in schema["enum"]))))
+        out.append(_said(path, "ENUM", ~reduce(lambda a, b: a | b, [_equals(v, x) for x in schema["enum"]], F.lit(False))))
+    if "const" in schema:
+        out.append(_said(path, "CONST", ~_equals(v, schema["const"])))
     rules = [
         ("minLength", "MIN_LENGTH", lambda x: is_text & (F.length(_text(v)) < x)), ("maxLength", "MAX_LENGTH", lambda x: is_text & (F.length(_text(v)) > x)), ("pattern", "PATTERN", lambda x: is_text & ~_text(v).rlike(x)),
         ("minimum", "MINIMUM", lambda x: F.coalesce(F.try_variant_get(v, "$", "double") < float(x), F.lit(False)) & kind.isin(TYPES["number"])), ("maximum", "MAXIMUM", lambda x: F.coalesce(F.try_variant_get(v, "$", "double") > float(x), F.lit(False)) & kind.isin(TYPES["number"])),

@@ -124,6 +124,26 @@ def collection_upsert(t):
     return out.crossJoin(n)  # one row
 
 
+@query("""SELECT 1 AS version, count(*) AS rows_written, count(*) AS points, 0 AS newer FROM events UNION ALL SELECT 2, count(*) FILTER (event_id % 100 = 7), count(*), count(*) FILTER (event_id % 100 = 7) FROM events
+UNION ALL SELECT 3, 5, count(*) + 5, count(*) FILTER (event_id % 100 = 7) + 5 FROM events""")
+def collection_history(t):
+    """Versions of a collection: what each upsert wrote, and what a reader of that version sees."""
+    held = Collections(t.spark, scratch(t.spark, "collections"))
+    held.create("c", 1)
+    point = t.events.select(F.col("event_id").cast("string").alias("id"), F.lit("old").alias("text"), F.col("event_id").alias("entry_id"))
+    fresh = t.region.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.lit("new").alias("text"))
+    for part in (point, point.where("entry_id % 100 = 7").withColumn("text", F.lit("new")), fresh.limit(5)):
+        held.upsert("c", part)
+    out, before = None, set()
+    for v in held.versions("c"):
+        files = {f for x in held.manifest("c", v)["layers"].values() for f in x}
+        written = held.files("c", sorted(files - before)).agg(F.count("*").alias("rows_written"))
+        seen = held.points("c", v).agg(F.count("*").alias("points"), F.count_if(F.col("text") == "new").alias("newer"))
+        row = written.join(seen).withColumn("version", F.lit(v))  # one row each
+        out, before = row if out is None else out.unionByName(row), files
+    return out.select("version", "rows_written", "points", "newer")
+
+
 @query("SELECT 'nations' AS name, count(*) AS points, 3 AS size, false AS v2 FROM nation UNION ALL SELECT 'regions', count(*), 2, true FROM region UNION ALL SELECT 'zero', 0, 1, false")
 def collection_info(t):
     """The collections of a root with their points and settings."""

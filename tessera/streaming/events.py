@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.sources.collections import Collections
+
 #: Parts of a store that is ingested into.
 PARTS = 64
 
@@ -114,3 +116,22 @@ def ingest_once(stream: DataFrame, store: str, checkpoint: str, key: str):
         new.write.mode("append").partitionBy("part").parquet(store)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_files(files: DataFrame, held: Collections, name: str, parse: Callable[[DataFrame], DataFrame], checkpoint: str, stream: str):
+    """Upserts the points of files (path, content), each file's content once; started with availableNow.
+
+    parse gets (path, content, file_hash) and returns points with their file_hash. Files whose hash the collection has are
+    left out, and of equal files in a batch one is taken. A batch is committed with its number, so that one which is run
+    again, because it failed or because its end wasn't written down, changes nothing twice.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        if held.manifest(name)["streams"].get(stream, -1) >= number:
+            return
+        hashed = batch.select("path", "content", F.sha2("content", 256).alias("file_hash"))
+        first = hashed.groupBy("file_hash").agg(F.min("path").alias("path"))
+        new = first.join(held.points(name).select("file_hash"), "file_hash", "left_anti")
+        held.upsert(name, parse(hashed.join(new, ["file_hash", "path"], "left_semi").select("path", "content", "file_hash")), (stream, number))
+
+    return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

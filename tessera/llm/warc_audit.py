@@ -27,8 +27,10 @@ FANOUT = 16
 #: Page ids of a file.
 PER_FILE = 256
 END = "\r\n\r\n"
-#: Bytes that are decompressed at once.
-PIECE = 1 << 20
+#: Bytes that are handed on and that are decompressed at once, and how a gzip member begins.
+PIECE, CHUNK, MEMBER = 1 << 20, 1 << 16, b"\x1f\x8b\x08"
+#: How the digest of a stretch begins in which no record can be read.
+UNREADABLE = "unreadable:"
 
 
 def record_text(page_id: Column, url: Column, body: Column) -> Column:
@@ -53,54 +55,104 @@ def write_warc(records: DataFrame, folder: str, parts: list[str] | None = None)
     (writer.partitionBy(*parts) if parts else writer).text(folder)
 
 
-def _pieces(data: bytes) -> Iterator[bytes]:
-    """The bytes of an archive in pieces; gzip, of one member or many, is decompressed on the way."""
-    if data[:2] != b"\x1f\x8b":
+def _pieces(data: bytes, strict: bool = True) -> Iterator[bytes | None]:
+    """The bytes of an archive in pieces; gzip, of one member or many, is decompressed on the way. Unless strict, a member
+    that can't be read any further ends there, None marks the gap, and the next member that begins goes on."""
+    if not data.startswith(MEMBER) and (strict or data.find(MEMBER) < 0):
         yield from (data[k : k + PIECE] for k in range(0, len(data), PIECE))
         return
-    while data:
-        member = zlib.decompressobj(31)
-        while data and not member.eof:
-            yield member.decompress(data, PIECE)
-            data = member.unconsumed_tail or (member.unused_data if member.eof else b"")
+    at = max(0, data.find(MEMBER))
+    while at < len(data):
+        member, fine, begun = zlib.decompressobj(31), True, at
+        while at < len(data) and not member.eof:
+            chunk, before = data[at : at + CHUNK], None if strict else member.copy()
+            try:
+                out = member.decompress(chunk)
+            except zlib.error:
+                if strict:
+                    raise
+                out, fine = _salvaged(before, chunk), False
+            yield from (out[k : k + PIECE] for k in range(0, len(out), PIECE))
+            if not fine:
+                break
+            at += len(chunk) - len(member.unused_data)
         if not member.eof:
-            raise ValueError("gzip member is cut off")
+            if strict:
+                raise ValueError("gzip member is cut off")
+            yield None
+        if not fine or (not strict and not data.startswith(MEMBER, at)):
+            at = data.find(MEMBER, max(at, begun + 1))
+            at = len(data) if at < 0 else at
+
+
+def _salvaged(member, chunk: bytes) -> bytes:
+    """What the bytes of a chunk give before the one that can't be read."""
+    out = []
+    try:
+        for k in range(len(chunk)):
+            out.append(member.decompress(chunk[k : k + 1]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def _length(headers: dict[str, str]) -> int | None:
+    told = headers.get("Content-Length", "")
+    return int(told) if told.isascii() and told.isdigit() and len(told) < 16 else None
 
 
 def parse_warc(pieces: Iterator[bytes] | bytes, strict: bool = True) -> Iterator[tuple[int, dict[str, str], bytes, bytes]]:
     """(offset, headers, record, body) of every record of an archive; the record is head and body. A damaged or cut archive
-    is an error at its place; unless strict, a record whose length isn't the one that it tells ends where the next one
-    begins, so that the rest can be audited. No more than one record and a piece are held."""
-    source = iter(_pieces(pieces) if isinstance(pieces, bytes) else pieces)
-    held, at, end = b"", 0, END.encode()
+    is an error at its place. Unless strict, all that can be read is: a record whose length isn't the one that it tells, or
+    that tells none, ends where the next one begins or where the archive breaks off, and bytes that begin no record are
+    one with no headers (None in their place) up to the next. No more than one record and a piece are held."""
+    source = iter(_pieces(pieces, strict) if isinstance(pieces, bytes) else pieces)
+    held, at, end, broken = b"", 0, END.encode(), False
 
     def more() -> bool:
-        nonlocal held
-        piece = next(source, None)
+        """Whether there is more of the same stretch; a gap ends it."""
+        nonlocal held, broken
+        piece = None if broken else next(source, b"")
+        if piece is None:
+            broken = True
         held += piece or b""
-        return piece is not None
+        return bool(piece)
 
     while True:
         while len(held) < 5 and more():
             pass
         if not held:
+            if broken:
+                broken = False
+                continue
             return
         while (head := held.find(end)) < 0 and held.startswith(b"WARC/") and more():
             pass
         if head < 0 or not held.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            if strict:
+                raise ValueError(f"no WARC record at byte {at}")
+            while (here := held.find(end + b"WARC/")) < 0 and more():
+                pass
+            stop = here if here >= 0 else len(held) - len(end) * held.endswith(end)
+            yield at, None, held[:stop], b""
+            held, at = held[stop + 4 :], at + stop + 4
+            continue
         lines = held[:head].decode("utf-8", "replace").split("\r\n")[1:]
         headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        stop = head + 4 + int(headers["Content-Length"])
+        size = _length(headers)
+        if size is None and strict:
+            raise ValueError(f"record at byte {at} tells no length")
+        stop = head + 4 + (size or 0)
         while len(held) < stop + 32 and more():
             pass
-        if held[stop : stop + 4] != end or not (len(held) == stop + 4 or held.startswith(b"WARC/", stop + 4)):
-            if strict and len(held) != stop:
-                raise ValueError(f"record at byte {at} is cut off" if len(held) < stop else f"no WARC record at byte {at + stop + 4}")
-            while not strict and (here := held.find(end + b"WARC/", max(0, stop - 16))) < 0 and more():
+        apart = held[stop : stop + 4] == end and (len(held) == stop + 4 or held.startswith(b"WARC/", stop + 4))
+        if not apart and strict and len(held) != stop:
+            raise ValueError(f"record at byte {at} is cut off" if len(held) < stop else f"no WARC record at byte {at + stop + 4}")
+        if not strict and not (apart or size is not None and held[stop : stop + 4] == end):
+            here = held.find(end + b"WARC/", max(head, stop - 16), stop + 32) if size is not None else -1  # a few bytes more or less
+            while here < 0 and (here := held.find(end + b"WARC/", head)) < 0 and more():
                 pass
-            if not strict:
-                stop = here if here >= 0 else len(held) - 4 * held.endswith(end)
+            stop = here if here >= 0 else len(held) - 4 * held.endswith(end)
         yield at, headers, held[:stop], held[head + 4 : stop]
         held, at = held[stop + 4 :], at + stop + 4
 
@@ -138,18 +190,27 @@ PAGE = re.compile(r"<urn:page:(-?\d+)>")
 
 
 def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, page_id, digest, copies, n_bytes) of the records of an archive folder, hashed as they are read."""
+    """(file, page_id, digest, copies, n_bytes, first_at, last_at) of the records of an archive folder, hashed as they are
+    read. first_at and last_at are where the first and last copy stand, in bytes from where the records of their file begin
+    in the archive. A stretch in which no record can be read is one without an id whose digest begins with UNREADABLE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                rows = [(PAGE.search(h.get("WARC-Record-ID", "")), hashlib.sha256(record).hexdigest(), len(record)) for _, h, record, _ in parse_warc(data, strict=False)]
+                rows, file, begun = [], -1, 0
+                for at, h, record, _ in parse_warc(data, strict=False):
+                    found = PAGE.search(h.get("WARC-Record-ID", "")) if h is not None else None
+                    page = int(found[1]) if found else None
+                    own = None if page is None else page // PER_FILE
+                    if own != file:
+                        file, begun = own, at
+                    rows.append((page, (UNREADABLE if h is None else "") + hashlib.sha256(record).hexdigest(), len(record), at - begun))
                 if rows:
-                    ids, digests, sizes = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([int(i[1]) if i else None for i in ids], pa.int64()), pa.array(digests), pa.array(sizes, pa.int64())], ["page_id", "digest", "n_bytes"])
+                    ids, digests, sizes, places = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests), pa.array(sizes, pa.int64()), pa.array(places, pa.int64())], ["page_id", "digest", "n_bytes", "place"])
 
-    rows = _archives(spark, folder).select("content").mapInArrow(run, "page_id long, digest string, n_bytes long")
-    return rows.groupBy(file_of(), "page_id", "digest").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"))
+    rows = _archives(spark, folder).select("content").mapInArrow(run, "page_id long, digest string, n_bytes long, place long")
+    return rows.groupBy(file_of(), "page_id", "digest").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.min("place").alias("first_at"), F.max("place").alias("last_at"))
 
 
 def file_of() -> Column:
@@ -170,13 +231,16 @@ def filed(pages: DataFrame) -> DataFrame:
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """(file, idx, page_id, digest, copies, record_offset, n_bytes, hash) of (file, page_id, digest, copies, n_bytes).
+    """(file, idx, page_id, digest, copies, record_offset, n_bytes, hash) of (file, page_id, digest, copies, n_bytes), and of
+    first_at and last_at, the places at which they were read: these are hashed, so that another order is another tree.
 
     Records of a file are ordered by page id and digest; each copy has the record's bytes and the two line ends. Places
     are counted within a segment, the records of a page whose digests begin alike, and the segments of a file are added
     up; so an id that a third of all records have isn't counted in one task.
     """
     size = (F.col("n_bytes") + len(END)) * F.col("copies")
+    for place in ("first_at", "last_at"):
+        records = records if place in records.columns else records.withColumn(place, F.lit(None).cast("long"))
     rows = records.withColumn("seg", F.substring("digest", 1, 2))
     inside = Window.partitionBy("file", "page_id", "seg").orderBy("digest")
     rows = rows.withColumn("k", F.row_number().over(inside) - 1).withColumn("before", F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - size)
@@ -186,7 +250,7 @@ def leaves(records: DataFrame) -> DataFrame:
     r, s = rows.alias("r"), segments.hint("merge").alias("s")
     both = r.join(s, (F.col("r.file") == F.col("s.file")) & F.col("r.page_id").eqNullSafe(F.col("s.page_id")) & (F.col("r.seg") == F.col("s.seg"))).select("r.*", "n", "bytes")
     placed = both.withColumn("idx", (F.col("k") + F.col("n")).cast("long")).withColumn("record_offset", (F.col("before") + F.col("bytes")).cast("long"))
-    return placed.withColumn("hash", F.sha2(F.concat_ws("|", "record_offset", "n_bytes", "copies", "digest"), 256)).select("file", "idx", "page_id", "digest", "copies", "record_offset", "n_bytes", "hash")
+    return placed.withColumn("hash", F.sha2(F.concat_ws("|", "record_offset", "n_bytes", "copies", "digest", "first_at", "last_at"), 256)).select("file", "idx", "page_id", "digest", "copies", "record_offset", "n_bytes", "hash")
 
 
 def tree(nodes: DataFrame, levels: int) -> list[DataFrame]:
@@ -214,8 +278,9 @@ def audit(manifest: DataFrame, replica: DataFrame) -> DataFrame:
     """One row per record of the manifest, and one for each further record of the replica.
 
     Both: (file, page_id, digest, copies, n_bytes). Result: page_id, file,
-    record_offset, n_bytes, copies, record_sha256, status: ok; moved (same bytes, other offset); corrupt (the replica
-    has other bytes under the id); missing; extra (only the replica has it).
+    record_offset, n_bytes, copies, record_sha256, status: ok; moved (same bytes, other place); corrupt (the replica
+    has other bytes under the id); missing; extra (only the replica has it); unreadable (a stretch of the replica in which
+    no record could be read, as long as n_bytes tells).
     """
     a = common.written(leaves(manifest), "leaves")
     b = common.written(leaves(replica), "leaves")
@@ -233,11 +298,11 @@ def audit(manifest: DataFrame, replica: DataFrame) -> DataFrame:
     lone = pairs.where("ours <> there").groupBy("file", "page_id").agg(F.max("ours").alias("any_ours"), F.max("there").alias("any_there"))
     key = (F.col("p.file") == F.col("l.file")) & F.col("p.page_id").eqNullSafe(F.col("l.page_id"))
     told = pairs.alias("p").join(lone.hint("merge").alias("l"), key, "left").select("p.*", F.coalesce("any_ours", F.lit(False)).alias("any_ours"), F.coalesce("any_there", F.lit(False)).alias("any_there"))
-    status = F.when(F.col("ours") & F.col("there"), "moved").when(F.col("ours") & F.col("any_there"), "corrupt").when(F.col("ours"), "missing").when(~F.col("any_ours"), "extra")
+    status = F.when(F.col("ours") & F.col("there"), "moved").when(F.col("ours") & F.col("any_there"), "corrupt").when(F.col("ours"), "missing").when(F.col("digest").startswith(UNREADABLE), "unreadable").when(~F.col("any_ours"), "extra")
     told = told.withColumn("status", status).where("status is not null")
     known = a.join(told.where("ours").select("file", "idx", "status").hint("merge"), ["file", "idx"], "left")
     cols = ["page_id", "file", "record_offset", "n_bytes", "copies", F.col("digest").alias("record_sha256")]
-    return known.select(*cols, F.coalesce("status", F.lit("ok")).alias("status")).unionByName(told.where("status = 'extra'").select(*cols, "status"))
+    return known.select(*cols, F.coalesce("status", F.lit("ok")).alias("status")).unionByName(told.where("status in ('extra', 'unreadable')").select(*cols, "status"))
 
 
 def _damage() -> tuple[Column, Column]:

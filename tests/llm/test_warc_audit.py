@@ -51,10 +51,76 @@ def test_files_round_trip(spark, tmp_path):
     got = {r.record_id: (r.url, bytes(r.body).decode()) for r in read_warc(spark, str(tmp_path / "warc")).collect()}
     assert got == {f"<urn:page:{r.page_id}>": (r.url, r.html) for r in pages(spark, 30).collect()}
     assert [p.suffix for p in (tmp_path / "warc").glob("part-*")][0] == ".gz"
-    back = read_manifest(spark, str(tmp_path / "warc"))
+    back = read_manifest(spark, str(tmp_path / "warc")).drop("first_at", "last_at")
     assert {tuple(r) for r in back.collect()} == {tuple(r) for r in facts(filed(pages(spark, 30))).select(*back.columns).collect()}
 
 
+RECORDS = [f"WARC/1.1\r\nWARC-Record-ID: <urn:page:{k}>\r\nContent-Length: {20 + k}\r\n\r\n{'bcdfgh'[k % 6] * (20 + k)}\r\n\r\n".encode() for k in range(40)]
+
+
+def audited(spark, tmp_path, stored):
+    """Status of each page after the archive with all records, one gzip member each, is replaced by other bytes."""
+    for name, data in (("good", b"".join(map(gzip.compress, RECORDS))), ("bad", stored)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.warc.gz").write_bytes(data)
+    rows = audit(read_manifest(spark, str(tmp_path / "good")), read_manifest(spark, str(tmp_path / "bad"))).collect()
+    return {r.page_id: r.status for r in rows}
+
+
+def damaged(k, change, packed=True):
+    out = [gzip.compress(x) if packed else x for x in RECORDS]
+    out[k] = change(out[k])
+    return b"".join(out)
+
+
+def swap(old, new):
+    return lambda record: record.replace(old, new)
+
+
+ALL = dict.fromkeys(range(40), "ok")
+LOST = dict.fromkeys(range(40), "missing")
+
+
+@pytest.mark.parametrize(
+    "stored, changed",
+    [
+        (damaged(9, swap(b"Length: 29", b"Length: x9"), False), ALL | {9: "corrupt"}),
+        (damaged(9, swap(b"Length: 29", b"Length: 99"), False), ALL | {9: "corrupt"}),
+        (damaged(9, swap(b"Content-Length", b"Content-Lengxx"), False), ALL | {9: "corrupt"}),
+        (damaged(9, swap(b"WARC/1.1", b"XARC/1.1"), False), ALL | {9: "missing", None: "unreadable"} | dict.fromkeys(range(10, 40), "moved")),
+        (damaged(0, swap(b"WARC/1.1", b"\0ARC/1.1"), False), dict.fromkeys(range(1, 40), "moved") | {0: "missing", None: "unreadable"}),
+        (b"".join(map(gzip.compress, [*RECORDS[:5], RECORDS[6], RECORDS[5], *RECORDS[7:]])), ALL | {5: "moved", 6: "moved"}),
+        (b"".join(RECORDS[:20]), ALL | dict.fromkeys(range(20, 40), "missing")),
+        (b"no archive at all", LOST | {None: "unreadable"}),
+        (b"", LOST),
+    ],
+)
+def test_damage_that_leaves_the_rest(spark, tmp_path, stored, changed):
+    assert audited(spark, tmp_path, stored) == changed
+
+
+@pytest.mark.parametrize(
+    "stored",
+    [
+        damaged(9, lambda m: m[:30] + bytes([m[30] ^ 255]) + m[31:]),  # a flipped byte in a gzip member
+        damaged(9, lambda m: m[:-12]),  # a member that lacks its end
+        b"".join(map(gzip.compress, RECORDS))[:-200],  # the archive is cut
+        gzip.compress(b"".join(RECORDS))[:-60],  # its only member is cut
+    ],
+)
+def test_damage_to_compressed_bytes(spark, tmp_path, stored):
+    """What stands before the damage is ok, what is lost is told, and other members are read."""
+    got = audited(spark, tmp_path, stored)
+    lost = {k for k, v in got.items() if v in ("corrupt", "missing", "unreadable")}
+    assert lost and set(got) - {None} == set(range(40)) and all(got[k] == "ok" for k in range(9))
+    assert len(stored) < 1500 or len(lost - {None}) < 10
+
+
+def test_reversed_replica(spark, tmp_path):
+    got = audited(spark, tmp_path, b"".join(map(gzip.compress, RECORDS[::-1])))
+    assert set(got.values()) == {"moved"} and set(got) == set(range(40))
+
+
 def test_parse():
     data = b"WARC/1.1\r\nContent-Length: 3\r\n\r\na\xff\xfe\r\n\r\n"
     whole = [(0, b"a\xff\xfe"), (len(data), b"a\xff\xfe")]

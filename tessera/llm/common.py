@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
@@ -105,6 +105,14 @@ def crc_mod(column: str, mod: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % mod
 
 
+def drawn(rows: DataFrame, by: str, most: int, order: Column) -> DataFrame:
+    """At most so many rows of (doc_id, by, text) for each value of by, the first by order, and one of each doc_id and value:
+    that with the text of the smallest hash. So an id of many rows is one row, and what a model learns from is bounded."""
+    one = rows.groupBy("doc_id", by).agg(F.min_by(F.struct("text"), F.struct(F.xxhash64("text"), F.length("text"))).alias("t")).select("doc_id", by, "t.text")
+    place = F.row_number().over(Window.partitionBy(by).orderBy(order, "doc_id"))
+    return one.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(c, UPPER, LOWER)

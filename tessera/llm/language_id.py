@@ -170,10 +170,11 @@ def _drawn(per_doc: int):
 
 
 def train(docs: DataFrame, max_docs: int = 500, per_doc: int = 4, learnable=None) -> tuple[dict[str, np.ndarray], list[str]]:
-    """Tables and language names of a network fitted on about max_docs texts of each language, however many there are.
+    """Tables and language names of a network fitted on about max_docs texts of each language, however many there are, and
+    on twice as many at most.
 
-    Texts are drawn by a hash of the id, with per_doc windows of each; languages that the draw leaves out have their text
-    of the smallest hash. learnable: a condition on the rows of docs.
+    Ids are drawn by a hash, with one text of an id and language and per_doc windows of it; languages that the draw leaves
+    out have their text of the smallest hash. learnable: a condition on the rows of docs.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").where("lang is not null and text is not null and doc_id is not null")
     rows = rows.where(learnable) if learnable is not None else rows
@@ -182,7 +183,7 @@ def train(docs: DataFrame, max_docs: int = 500, per_doc: int = 4, learnable=None
     if not counts:
         return ByteCnn([]).tables(), []
     share = docs.sparkSession.createDataFrame([(r["lang"], max(min(1.0, max_docs / r["n"]) * (1 << 20), r["low"] + 1.0)) for r in counts], "lang string, share double")
-    some = rows.join(F.broadcast(share), "lang").where(place < F.col("share"))
+    some = common.drawn(rows.join(F.broadcast(share), "lang").where(place < F.col("share")), "lang", 2 * max_docs, place)
     found = some.select("doc_id", "lang", "text").mapInArrow(_drawn(per_doc), "doc_id long, at int, lang string, x binary").toPandas()
     found = found.sort_values(["doc_id", "at", "lang"], ignore_index=True)
     classes = sorted(found["lang"].unique().tolist())

@@ -146,8 +146,8 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, max_per_label: int = 700, learnable=None) -> tuple[np.ndarray, float]:
     """Weights and offset of a model fitted on at most max_per_label texts of each label.
 
-    labels: (doc_id, quality); rows without a label are left out, and of several labels of one id the largest counts.
-    learnable: a condition on doc_id. Without rows of both labels the score is the share of label 1 (one half of none).
+    labels: (doc_id, quality); rows without a label are left out, and of several labels of one id the largest counts. Of
+    several rows of one id one is learned, that with the text of the smallest hash. learnable: a condition on doc_id. Without rows of both labels the score is the share of label 1 (one half of none).
     """
     known = labels.select("doc_id", "quality").where("doc_id is not null and quality in (0, 1)")
     known = known.where(learnable) if learnable is not None else known
@@ -158,8 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, max_per_label: int = 700, learnabl
         return np.zeros(BUCKETS, np.float32), prior
     some = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_label) for k in (0, 1)]
     ids = some[0].unionByName(some[1])  # at most twice max_per_label ids
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text")
-    found = texts.mapInArrow(_bags, "doc_id long, label int, buckets binary, counts binary").toPandas().sort_values("doc_id", ignore_index=True)
+    texts = common.drawn(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id"), "label", max_per_label, F.xxhash64("doc_id"))
+    found = texts.select("doc_id", "label", "text").mapInArrow(_bags, "doc_id long, label int, buckets binary, counts binary").toPandas().sort_values("doc_id", ignore_index=True)
     bags = [(np.frombuffer(b, "<i4"), np.frombuffer(c, "<i4")) for b, c in zip(found["buckets"], found["counts"], strict=True)]
     model = Classifier().fit(bags, found["label"].tolist())
     drawn = float(np.log((found["label"].eq(1).sum() + 0.5) / (found["label"].eq(0).sum() + 0.5)))

@@ -56,7 +56,8 @@ def train(docs: DataFrame, labelled: DataFrame, max_docs: int = 2000, epochs: in
     """(weights, domains) of a softmax over mean word vectors.
 
     labelled: (doc_id, domain); of several domains of an id the smallest counts. Every domain is learned: from its part of
-    about max_docs rows, or about LEAST rows if these are more, drawn by a hash of the id, and one row in any case.
+    about max_docs ids, or about LEAST if these are more, drawn by a hash, and one in any case; no domain gives more than
+    twice max_docs rows. Of several rows of one id one is learned, that with the text of the smallest hash.
     """
     known = labelled.select("doc_id", "domain").where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
@@ -69,7 +70,7 @@ def train(docs: DataFrame, labelled: DataFrame, max_docs: int = 2000, epochs: in
     limits = [(r["domain"], max((1 << 30) * min(1.0, max(max_docs / total, LEAST / r["n"])), r["low"] + 1.0)) for r in drawn]
     limits = docs.sparkSession.createDataFrame(limits, "domain string, below double")
     ids = known.join(F.broadcast(limits), "domain").where(place < F.col("below")).select("doc_id", "domain")
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id")
+    rows = common.drawn(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id"), "domain", 2 * max(max_docs, LEAST), F.xxhash64("doc_id"))
     found = rows.select("doc_id", "domain", "text").mapInArrow(_bags, "doc_id long, domain string, buckets binary, counts binary").toPandas()
     found = found.sort_values(["doc_id", "domain"], ignore_index=True)
     index = {d: k for k, d in enumerate(domains)}

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tessera.llm import common
+from tessera.llm import common, language_id, quality_classifier, source_mixing
 from tessera.llm.language_id import WINDOW, ByteCnn, identify, posteriors, windows_of
 from tessera.llm.quality_classifier import features, pieces, quality_scores, scores
 
@@ -67,3 +67,25 @@ def test_edges(spark):
     labels = spark.createDataFrame([(k, int(k < 100)) for k in range(140)] + [(1, 0), (2, None), (None, 1)], "doc_id long, quality int")
     seen = quality_scores(docs, labels).collect()
     assert len(seen) == len(rows) and all(0 <= r.score <= 1 for r in seen)
+
+
+def test_draws_are_bounded(spark, monkeypatch):
+    """One id has 100,000 rows, alike and unlike: what the models learn from stays what the parameters say."""
+    hot = spark.range(100_000).selectExpr("7L AS doc_id", "concat('the text of row ', id % 90000, ' with words in it') AS text", "'en' AS lang", "'en/1' AS domain")
+    rest = spark.range(3000).selectExpr("id + 100 AS doc_id", "concat(if(id % 2 = 0, 'the rain of ', 'le renard brun '), id) AS text", "if(id % 2 = 0, 'en', 'fr') AS lang", "if(id % 2 = 0, 'en/1', 'fr/0') AS domain")
+    docs, seen = hot.unionByName(rest), []
+    original = language_id.ByteCnn.fit
+    monkeypatch.setattr(language_id.ByteCnn, "fit", lambda self, x, y, **k: seen.append(len(x)) or original(self, x[:50], y[:50], epochs=1))
+    for low in (True, False):  # the hot id is drawn, or not
+        one = docs if low else docs.where("doc_id <> 7")
+        _, classes = language_id.train(one, max_docs=100, per_doc=4)
+        assert classes == ["en", "fr"] and 0 < seen.pop() <= 2 * 2 * 100 * 4
+    labels = docs.select("doc_id", (docs["doc_id"] % 2).cast("int").alias("quality")).distinct()
+    fit = quality_classifier.Classifier.fit
+    monkeypatch.setattr(quality_classifier.Classifier, "fit", lambda self, bags, y: seen.append(len(bags)) or fit(self, bags[:20] + bags[-20:], y[:20] + y[-20:]))
+    quality_classifier.train(docs, labels, max_per_label=50)
+    assert seen.pop() == 100
+    one = common.drawn(docs.select("doc_id", "text", "domain"), "domain", 200, docs["doc_id"]).groupBy("domain").count().collect()
+    assert {r["domain"]: r["count"] for r in one} == {"en/1": 200, "fr/0": 200}
+    w, domains = source_mixing.train(docs, docs.select("doc_id", "domain"), max_docs=60, epochs=1)
+    assert domains == ["en/1", "fr/0"] and w.shape[1] == 2

@@ -96,14 +96,6 @@ def by_number_prefix(rows: DataFrame, name: str, pattern: str, files: DataFrame,
     return rows.withColumn("_n", F.regexp_extract(name, pattern, 1)).join(first, "_n", "left").drop("_n")
 
 
-def contained(rows: DataFrame, text: str, parts: DataFrame, part: str, limit: int = 10_000) -> DataFrame:
-    """Pairs of rows and parts whose text stands in the row's. A stated set of parts, of up to ``limit``, which are
-    counted; more are an error, as every text is searched for every part."""
-    if len(parts.take(limit + 1)) > limit:
-        raise ValueError(f"over {limit} parts: split them into several searches")
-    return rows.join(F.broadcast(parts), F.contains(F.col(text), F.col(part)))
-
-
 #: Image references in Markdown and HTML.
 IMAGE = r"""!\[[^\]]*\]\(\s*(?:"[^"]+"|'[^']+'|[^\s)]+)\s*\)|(?i:<img[^>]*?src="[^"]+"[^>]*?>|<img[^>]*?src='[^']+'[^>]*?>)"""
 

@@ -71,16 +71,3 @@ def bigrams(ws: Column) -> Column:
     return F.when(n < 2, F.array().cast("array<string>")).otherwise(
         F.array_distinct(F.zip_with(F.slice(ws, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(ws, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
     )
-
-
-def kept_apart(items: Column) -> Column:
-    """Of items with word pairs g, in their order, those that share less than half of their pairs (one at least) with
-    every item kept before; an item without pairs is kept."""
-    start = F.slice(items, 1, 0)
-
-    def step(kept: Column, x: Column) -> Column:
-        least = F.greatest(F.lit(1), F.floor(F.size(x["g"]) / 2).cast("int"))
-        near = (F.size(x["g"]) > 0) & F.exists(kept, lambda k: F.size(F.array_intersect(x["g"], k["g"])) >= least)
-        return F.when(near, kept).otherwise(F.concat(kept, F.array(x)))
-
-    return F.aggregate(items, start, step)

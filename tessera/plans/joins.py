@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import align as A
+from tessera.operators.containment import contained
 from tessera.plans.registry import query
 
 
@@ -88,9 +89,9 @@ def feedback_merge(t):
 
 @query("""WITH c AS (SELECT item_id, text AS code FROM benchmark WHERE text <> ''), d AS (SELECT doc_id, text FROM documents) SELECT doc_id, item_id FROM d JOIN c ON contains(text, code)""")
 def containment_join(t):
-    """Documents that hold a benchmark item's text as it is; the items are few and counted before they are broadcast."""
+    """Documents that hold a benchmark item's text as it is, by the items' rarest fingerprints."""
     items = t.benchmark.where("text <> ''").select("item_id", F.col("text").alias("code"))
-    return A.contained(t.documents.select("doc_id", "text"), "text", items, "code").select("doc_id", "item_id")
+    return contained(t.documents.select("doc_id", "text"), "text", items, "code").select("doc_id", "item_id")
 
 
 @query()
@@ -99,7 +100,7 @@ def replace_contained(t):
     from tessera.operators.splitting import without_parts
 
     items = t.benchmark.where("text <> ''").select("item_id", F.col("text").alias("code"))
-    found = A.contained(t.documents.select("doc_id", "text"), "text", items, "code").groupBy("doc_id").agg(F.collect_list(F.struct("code", F.col("item_id").cast("string").alias("fqn"))).alias("children"))
+    found = contained(t.documents.select("doc_id", "text"), "text", items, "code").groupBy("doc_id").agg(F.collect_list(F.struct("code", F.col("item_id").cast("string").alias("fqn"))).alias("children"))
     rows = t.documents.select("doc_id", "text").join(found, "doc_id")
     return rows.select("doc_id", without_parts(F.col("text"), F.col("children")).alias("r")).select("doc_id", "r.text", "r.removed")
 

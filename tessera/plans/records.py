@@ -141,11 +141,11 @@ def coerce_margins(t):
 @query()
 def near_duplicates_kept(t):
     """Of each conversation's texts, in turn, those that share less than half of their word pairs with any kept before."""
-    from tessera.operators.text import bigrams, kept_apart, words
+    from tessera.operators.apart import kept_apart
+    from tessera.operators.text import bigrams, words
 
-    rows = t.conversations.select("conv_id", F.struct("turn", "role", "text", bigrams(words(F.lower("text"))).alias("g")).alias("x"))
-    seen = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return seen.select("conv_id", F.explode(kept_apart(F.col("xs"))).alias("x")).select("conv_id", "x.turn", "x.role", "x.text")
+    rows = t.conversations.select("conv_id", "turn", "role", "text", bigrams(words(F.lower("text"))).alias("g"))
+    return kept_apart(rows, ["conv_id"], ["turn", "role", "text"], "g").drop("g")
 
 
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")

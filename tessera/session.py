@@ -51,3 +51,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes tables that stored() has written, once no later step reads them."""
+    for df in tables:
+        files = df.inputFiles()[:1]
+        if files and "/tessera/" in files[0]:
+            folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

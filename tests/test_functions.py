@@ -130,17 +130,3 @@ def test_queries_and_tex(spark):
     assert one(spark, E.restored(F.lit(s.text), F.array(*[F.lit(x) for x in s.spans]))) == t
     assert [one(spark, E.has_formula(F.lit(x))) for x in ("cost $5", r"\$5 \$6", "$5 or $6", "a ∑ b", "xαy", r"\[a\]")] == [False, False, True, True, False, True]
     assert [one(spark, E.document_type(F.lit(x))) for x in ("User_Guide.pdf", "apipaper", "Modelica", "x")] == ["manual", "technical_paper", "modelica_document", "general"]
-
-
-def test_kept_apart(spark):
-    texts = ["a b c d", "a b c x", "e f", "e f g h i j", "", "one", "one"]
-    items = F.array(*[F.struct(F.lit(t).alias("t"), X.bigrams(X.words(F.lit(t))).alias("g")) for t in texts])
-    got = [x.t for x in one(spark, X.kept_apart(items))]
-    seen, want = [], []
-    for t in texts:
-        w = t.split()
-        g = set(zip(w, w[1:]))
-        if not (g and any(len(g & s) >= max(1, len(g) // 2) for s in seen)):
-            want.append(t)
-            seen.append(g)
-    assert got == want

@@ -79,14 +79,15 @@ def _strong(edges: list[tuple]) -> dict:
     for u, v in edges:
         out.setdefault(u, []).append(v)
         out.setdefault(v, [])
-    order, low, held, on, found = {}, {}, [], set(), {}
+    order, low, held, on, found = {}, {}, [], {}, {}
     for root in out:
         todo = [] if root in order else [(root, iter(out[root]))]
         while todo:
             u, rest = todo[-1]
             if u not in order:
                 order[u] = low[u] = len(order)
-                held.append(u), on.add(u)
+                on[u] = len(held)
+                held.append(u)
             v = next(rest, None)
             if v is not None:
                 if v not in order:
@@ -98,9 +99,10 @@ def _strong(edges: list[tuple]) -> dict:
             if todo:
                 low[todo[-1][0]] = min(low[todo[-1][0]], low[u])
             if low[u] == order[u]:
-                part = held[held.index(u) :] if len(held) < 64 else held[len(held) - 1 - held[::-1].index(u) :]
-                del held[len(held) - len(part) :]
-                on.difference_update(part)
+                part = held[on[u] :]
+                del held[on[u] :]
+                for x in part:
+                    del on[x]
                 if len(part) > 1 or u in out[u]:
                     found.update(dict.fromkeys(part, max(part)))
     return found

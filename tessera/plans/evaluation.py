@@ -111,3 +111,14 @@ def interpolate(t):
 def feedback_candidates(t):
     out = t.events.where("event_type = 'signup' and value > 95").select("user_id").distinct()
     return t.events.where("event_type in ('error', 'purchase') and value > 10").join(out, "user_id", "left_anti").select("event_id")
+
+
+@query("""WITH g AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS c FROM orders GROUP BY 1)
+SELECT o_custkey, round(CASE WHEN c = 0 THEN 0 WHEN n - c < 3 THEN 1 ELSE 1 - list_product(list_transform(range(n - c + 1, n + 1), lambda i: 1 - 3.0 / i)) END, 6)::DOUBLE AS p FROM g""")
+def pass_at_k_sql(t):
+    """pass@3 by its SQL function, over counts that are summed in parts."""
+    from tessera.functions import sql
+
+    sql.register(t.spark)
+    p = t.spark.sql("SELECT o_custkey, pass_at_k(count(*), count_if(o_orderstatus = 'F'), 3) AS p FROM {orders} GROUP BY o_custkey", orders=t.orders)
+    return p.withColumn("p", F.round("p", 6))

@@ -12,43 +12,50 @@ from tessera.sources import sinks as O
 from tessera.sources.collections import Collections, hit_id, rewritten
 
 
-@query("""WITH o AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) AS k, count(*) FILTER (item_id % 3 = 0) OVER (ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS blanks FROM benchmark)
+@query("""WITH o AS (SELECT item_id, text, row_number() OVER w AS k, count(*) FILTER (item_id % 3 = 0) OVER (PARTITION BY item_id // 10 ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS blanks FROM benchmark WINDOW w AS (PARTITION BY item_id // 10 ORDER BY item_id))
 SELECT item_id, (k + blanks)::BIGINT AS entry_id, text || ' x' AS text FROM o""")
 def jsonl_lines(t):
-    """JSON lines with physical line numbers: every third item is followed by a blank line, which counts."""
+    """JSON lines with physical line numbers, files of ten items: every third item is followed by a blank line, which counts."""
     path = scratch(t.spark, "lines")
     line = F.to_json(F.struct("item_id", F.struct(F.array(F.struct("text")).alias("parts"), F.lit("x").alias("tag")).alias("body")))
-    rows = t.benchmark.orderBy("item_id").coalesce(1).select(F.concat(line, F.when(F.col("item_id") % 3 == 0, "\n").otherwise("")).alias("value"))
-    rows.write.text(path)
+    rows = t.benchmark.withColumn("f", F.floor(F.col("item_id") / 10)).repartition("f").sortWithinPartitions("f", "item_id")
+    rows.select(F.concat(line, F.when(F.col("item_id") % 3 == 0, "\n").otherwise("")).alias("value"), "f").write.partitionBy("f").text(path)
     got = I.field_texts(I.jsonl(t.spark, path, "item_id long"), ["body.parts[0].text", "body.none", "body.tag"])
     return got.select("data.item_id", "entry_id", "text")
 
 
-@query("SELECT p_name AS doc, seq::BIGINT + 1 AS entry_id, p_type || ' ' || seq AS text, CASE WHEN seq = 0 THEN 'own' ELSE p_brand END AS kind, coalesce(CASE WHEN seq = 1 THEN 'c' || p_partkey END, 'chunk_' || seq) AS chunk_id FROM (SELECT *, unnest([0, 1, 3]) AS seq FROM part)")
+@query("""WITH c AS (SELECT *, p_partkey // 100 AS doc, row_number() OVER (PARTITION BY p_partkey // 100 ORDER BY p_partkey) AS k FROM part)
+SELECT 'doc ' || doc AS doc, k::BIGINT AS entry_id, p_type || ' ' || p_partkey AS text, CASE WHEN p_size % 3 = 0 THEN 'own' ELSE 'shared' END AS kind, CASE WHEN p_size % 2 = 1 THEN 'c' || p_partkey ELSE 'chunk_' || (k - 1) END AS chunk_id FROM c WHERE p_size % 5 <> 0""")
 def chunked_documents(t):
-    """Documents with chunks, a file for each: places from 1, blank chunks left out, the chunk's metadata over the document's."""
+    """Documents with chunks, whole files of up to a hundred parts each: places from 1, blank chunks left out, the chunk's
+    metadata over the document's."""
     path = scratch(t.spark, "chunked")
-    chunk = lambda k, text, **more: F.struct(F.when(F.lit(k) == 1, F.concat(F.lit("c"), F.col("p_partkey").cast("string"))).alias("chunk_id"), text.alias("content"), F.create_map(*[F.lit(x) for p in more.items() for x in p]).cast("map<string,string>").alias("chunk_metadata"))
-    said = [F.concat(F.lit("  "), "p_type", F.lit(f" {k}\n")) for k in range(4)]
-    chunks = F.array(chunk(0, said[0], kind="own"), chunk(1, said[1]), chunk(2, F.lit(" \n")), chunk(3, said[3]))
-    doc = F.struct(F.create_map(F.lit("filename"), "p_name", F.lit("kind"), "p_brand").alias("document_metadata"), chunks.alias("chunks"))
-    # a document is a line here, as a file for each would be thousands of files; the reader takes whole files
-    t.part.select(F.to_json(doc).alias("value"), F.pmod(F.xxhash64("p_partkey"), F.lit(4)).alias("f")).write.partitionBy("f").text(path)
-    whole = t.spark.read.text(path).select(F.lit("f").alias("source_file"), F.from_json("value", I.CHUNKED).alias("d"))
-    rows = I.chunk_rows(whole)
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size")
+    own = F.when(size % 3 == 0, F.create_map(F.lit("kind"), F.lit("own"))).otherwise(F.create_map().cast("map<string,string>"))
+    said = F.when(size % 5 == 0, " \n").otherwise(F.concat(F.lit("  "), "p_type", F.lit(" "), key, F.lit("\n")))
+    chunk = F.to_json(F.struct(F.when(size % 2 == 1, F.concat(F.lit("c"), key)).alias("chunk_id"), said.alias("content"), own.alias("chunk_metadata")))
+    docs = t.part.groupBy(F.floor(F.col("p_partkey") / 100).alias("f")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", chunk.alias("j")))).alias("x"))  # a hundred at most
+    about = F.to_json(F.create_map(F.lit("filename"), F.concat(F.lit("doc "), F.col("f").cast("string")), F.lit("kind"), F.lit("shared")))
+    chunks = F.array_join(F.transform("x", lambda x: x["j"]), ",\n")
+    docs.select(F.concat(F.lit('{"document_metadata": '), about, F.lit(', "chunks": ['), chunks, F.lit("]}")).alias("value"), "f").write.partitionBy("f").text(path)
+    rows = I.chunked_json(t.spark, path)
     return rows.select(F.col("metadata")["filename"].alias("doc"), "entry_id", "text", F.col("metadata")["kind"].alias("kind"), F.col("metadata")["chunk_id"].alias("chunk_id"))
 
 
-@query("SELECT 'jsonl' AS kind, 5 AS entries, ['name'] AS fields UNION ALL SELECT 'json', 2, ['chunks_text'] UNION ALL SELECT 'other', 0, []")
+@query("""SELECT 'jsonl' AS kind, 'a' || item_id // 50 AS name, (count(*) + count(*) FILTER (item_id % 7 = 1))::BIGINT AS entries, ['text'] AS fields FROM benchmark GROUP BY 2 UNION ALL SELECT 'json', 'b' || item_id // 50, count(*), ['chunks[].content'] FROM benchmark GROUP BY 2
+UNION ALL SELECT 'json', 'c' || item_id, 1, ['title'] FROM benchmark UNION ALL SELECT 'other', 'd' || item_id // 50, 0, [] FROM benchmark GROUP BY 2""")
 def structure_probe(t):
-    """Kind, entries and text fields of a JSON lines file, a JSON file with chunks and another file."""
-    path = scratch(t.spark, "probe")
-    rows = [("a.jsonl", "\n".join('{"name": "region number %d", "k": %d}' % (k, k) for k in range(5))), ("b.json", '{"chunks": [{"chunks_text": "a long enough text", "n": 1}, {"chunks_text": ""}]}'), ("c.txt", "plain")]
-    for name, text in rows:
-        t.spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/{name}")
-    got = [I.probe_text(t.spark.createDataFrame([(name, text)], "path string, text string")) for name, text in rows]
-    out = got[0].unionByName(got[1]).unionByName(got[2])
-    return out.select("kind", F.col("entries").cast("int"), "fields")
+    """Kind, entries and text fields of JSON lines, documents with chunks, single objects and other files of benchmark items."""
+    b = t.benchmark.withColumn("f", F.floor(F.col("item_id") / 50).cast("string"))
+    lines = b.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("item_id", F.to_json(F.struct("item_id", "text", F.lit("x").alias("tag"))).alias("line")))).alias("x"))  # fifty at most
+    said = F.array_join(F.transform("x", lambda x: F.concat(x["line"], F.when(x["item_id"] % 7 == 1, "\n").otherwise(""))), "\n")
+    chunks = b.groupBy("f").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("text").alias("content"))).alias("chunks"))).alias("text"))
+    name = lambda k, f, kind: F.concat(F.lit(k), f, F.lit("." + kind)).alias("path")
+    files = lines.select(name("a", F.col("f"), "jsonl"), F.concat(said, F.lit("\n")).alias("text"))
+    files = files.unionByName(chunks.select(name("b", F.col("f"), "json"), "text"))
+    files = files.unionByName(b.select(name("c", F.col("item_id").cast("string"), "json"), F.to_json(F.struct(F.col("text").alias("title"), F.lit(1).alias("k"))).alias("text")))
+    files = files.unionByName(lines.select(name("d", F.col("f"), "txt"), said.alias("text")))
+    return I.probe_text(files).select("kind", F.regexp_extract("path", r"^([^.]*)", 1).alias("name"), "entries", "fields")
 
 
 @query("SELECT DISTINCT n_regionkey AS region, true AS keep, 'parquet' AS extension FROM nation")
@@ -60,11 +67,12 @@ def folder_scan(t):
     return found.select(F.regexp_extract("path", r"n_regionkey=(\d+)", 1).cast("int").alias("region"), "keep", F.regexp_extract("path", r"\.([^./]+)$", 1).alias("extension")).distinct()
 
 
-@query("SELECT idx, name, v::DOUBLE AS value FROM (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS idx, unnest(['time', 'x']) AS name, unnest([c_custkey::DOUBLE, c_acctbal]) AS v FROM customer)")
+@query("SELECT idx, name, v::DOUBLE AS value FROM (SELECT row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS idx, unnest(['time', 'x,y', 'label']) AS name, unnest([c_custkey::DOUBLE, c_acctbal, NULL]) AS v FROM customer)")
 def csv_series(t):
-    """A CSV time series in long form, rows by their physical place."""
+    """CSV time series in long form, a file for each nation, rows by their physical place; cells and headers with commas."""
     path = scratch(t.spark, "series")
-    t.customer.orderBy("c_custkey").coalesce(1).select(F.col("c_custkey").alias("time"), F.col("c_acctbal").alias("x")).write.option("header", "true").csv(path)
+    rows = t.customer.select("c_nationkey", F.col("c_custkey").alias("time"), F.col("c_acctbal").alias("x,y"), F.concat("c_name", F.lit(', "so called"')).alias("label"))
+    rows.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "time").write.option("header", "true").option("escape", '"').partitionBy("c_nationkey").csv(path)
     return I.series(t.spark, path).select("idx", "name", "value")
 
 

@@ -110,8 +110,8 @@ def set_except(t):
     return t.nation.select(F.col("n_nationkey").alias("k")).exceptAll(t.supplier.where("s_acctbal > 5000").select("s_nationkey").distinct()).distinct()
 
 
-@query("SELECT conv_id, list(role ORDER BY first) AS roles FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY 1, 2) GROUP BY 1 HAVING len(list(DISTINCT first)) = count(*)")
+@query("SELECT conv_id, list(role ORDER BY first, role) AS roles FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY 1, 2) GROUP BY 1")
 def ordered_distinct(t):
+    """The roles of a conversation in the order in which they first speak; those that begin at one turn by name."""
     g = t.conversations.groupBy("conv_id", "role").agg(F.min("turn").alias("first"))
-    out = g.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "role"))), lambda x: x["role"]).alias("roles"), F.count_distinct("first").alias("d"))
-    return out.where(F.col("d") == F.size("roles")).select("conv_id", "roles")
+    return g.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "role"))), lambda x: x["role"]).alias("roles"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import hooks as H
 from tessera.operators import vector as V
-from tessera.plans.registry import ORACLES, QUERIES, query
+from tessera.plans.registry import query
 
 
 def length_vectors(texts: list[str]) -> list[list[float]]:
@@ -68,7 +68,10 @@ def chat_hook(t):
     return H.answered(t.nation.select("n_nationkey", F.lower("n_name").alias("prompt")), "prompt", upper_or_fail).select("n_nationkey", "answer")
 
 
-@query()
+@query("""WITH k AS (SELECT event_type || '_' || user_id AS key, value FROM events)
+SELECT regexp_replace(key, '_\\d+$', '') AS base, count(*) AS uses, count(DISTINCT key) AS keys, min(key) AS example, '| ' || regexp_replace(key, '_\\d+$', '') || ' | float | ' || count(*) || ' |' AS line FROM k GROUP BY 1""")
 def registry_export(t):
-    """The catalogue of queries: what each does and whether SQL can express it."""
-    return H.exported(t.spark, QUERIES, ORACLES)
+    """The keys of a workflow's state by their base names: uses, keys of nodes, an example and a line for the documents."""
+    k = t.events.select(F.concat_ws("_", "event_type", F.col("user_id").cast("string")).alias("key"))
+    g = k.groupBy(F.regexp_replace("key", r"_\d+$", "").alias("base")).agg(F.count("*").alias("uses"), F.count_distinct("key").alias("keys"), F.min("key").alias("example"))
+    return g.withColumn("line", F.concat(F.lit("| "), "base", F.lit(" | float | "), F.col("uses").cast("string"), F.lit(" |")))

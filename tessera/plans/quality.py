@@ -133,3 +133,31 @@ def collection_stats(t):
 @query("SELECT lang, round(avg(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))), 4) AS mean_words FROM documents GROUP BY 1")
 def word_stats(t):
     return t.documents.groupBy("lang").agg(F.round(F.avg(F.size(words(F.col("text")))), 4).alias("mean_words"))
+
+
+PAYLOAD = """'{"props": ' || props || ', "fqn": "' || CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type END || '", "at": {"user": ' || user_id || ', "deep": {"kind": "' || event_type || '"}}, "list": [1, 2]' || CASE WHEN event_id % 3 = 0 THEN '' ELSE ', "note": null' END || '}'"""
+
+
+@query("""WITH l AS (SELECT unnest([{'k': 'props.k', 'v': json_extract_string(props, '$.k'), 't': false}, {'k': 'fqn', 'v': CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type END, 't': true}, {'k': 'at.user', 'v': user_id::VARCHAR, 't': false}, {'k': 'at.deep.kind', 'v': event_type, 't': true}, {'k': 'list', 'v': '[1,2]', 't': false}]
+  || CASE WHEN event_id % 3 = 0 THEN [] ELSE [{'k': 'note', 'v': NULL, 't': false}] END) AS x FROM events), v AS (SELECT x.k AS key, x.v AS v, x.t AS t, count(*) AS c FROM l GROUP BY 1, 2, 3),
+e AS (SELECT key, list(v ORDER BY sha256(v))[1:3] AS examples FROM v WHERE v IS NOT NULL GROUP BY 1)
+SELECT key, sum(c)::BIGINT AS rows, coalesce(sum(c) FILTER (t), 0)::BIGINT AS texts, round(sum(c * length(v)) FILTER (t) / sum(c) FILTER (t), 5) AS mean_chars, max(length(v)) FILTER (t) AS max_chars,
+  round(((SELECT count(*) FROM events) - sum(c) + coalesce(sum(c) FILTER (v IS NULL OR v = ''), 0)) / (SELECT count(*) FROM events), 5)::DOUBLE AS missing, count(v) AS distinct_values, count(v) FILTER (c > 1) AS repeated, coalesce(any_value(examples), []) AS examples
+FROM v LEFT JOIN e USING (key) GROUP BY 1""")
+def payload_profile(t):
+    """Every key of payloads that are JSON texts: how often it is there, its texts, what is missing or repeated, examples."""
+    from tessera.operators.profile import profile
+
+    raw = F.expr(PAYLOAD.replace("|| user_id ||", "|| cast(user_id as string) ||"))
+    p = profile(t.events.select(raw.alias("raw")), "raw")
+    return p.withColumn("mean_chars", F.round("mean_chars", 5)).withColumn("missing", F.round("missing", 5))
+
+
+@query("""WITH g AS (SELECT count(*) AS n, count(DISTINCT user_id) AS u, round(100 * count(*) FILTER (event_id % 3 = 0 OR true) / count(*))::BIGINT AS miss FROM events)
+SELECT 'no sparse vector' AS gap, NULL AS key, NULL AS detail UNION ALL SELECT 'duplicates', 'fqn', (SELECT count(*) FROM (SELECT CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type END AS f FROM events GROUP BY 1 HAVING count(*) > 1))::VARCHAR UNION ALL SELECT 'missing', 'note', miss || '%' FROM g""")
+def payload_gaps(t):
+    """What a collection with such payloads lacks."""
+    from tessera.operators.profile import gaps, profile
+
+    raw = F.expr(PAYLOAD.replace("|| user_id ||", "|| cast(user_id as string) ||"))
+    return gaps(profile(t.events.select(raw.alias("raw")), "raw"), {"vectors": ["dense"]}, ["fqn", "chunk_id"], ["fqn", "note"])

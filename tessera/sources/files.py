@@ -152,19 +152,23 @@ def probe(spark: SparkSession, path: str) -> DataFrame:
 
 
 def probe_text(files: DataFrame) -> DataFrame:
-    """The probe of files whose text is at hand: (path, text, and a digest if there is one)."""
+    """The probe of files whose text is at hand: (path, text, and a digest if there is one). Entries of JSON lines are its
+    lines, blank ones too, and its fields those of the first; the field of a document with chunks is ``chunks[].content``."""
     spark = files.sparkSession
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     files = files.select("path", F.when(kind.isin("json", "jsonl"), kind).otherwise("other").alias("kind"), "text", F.col("sha256") if "sha256" in files.columns else F.sha2("text", 256).alias("sha256"))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    lines = F.split(F.regexp_replace("text", r"\n\z", ""), "\n")
     chunks = F.from_json(F.get_json_object("text", "$.chunks"), "array<string>")
     items = F.when(F.startswith(F.trim("text"), F.lit("[")), F.from_json("text", "array<string>")).otherwise(F.coalesce(chunks, F.array("text")))
-    entries = F.when(F.col("kind") == "jsonl", lines).when(F.col("kind") == "json", items)
-    rows = files.select("path", "kind", "sha256", F.greatest(F.size(entries), F.lit(0)).cast("long").alias("entries"), F.get(entries, F.lit(0)).alias("first"))
+    entries = F.when(F.col("kind") == "jsonl", F.when(F.col("text") != "", lines)).when(F.col("kind") == "json", items)
+    chunked = (F.col("kind") == "json") & chunks.isNotNull()
+    first = F.when(~chunked & (F.trim(F.get(entries, F.lit(0))) != ""), F.get(entries, F.lit(0)))
+    rows = files.select("path", "kind", "sha256", F.greatest(F.coalesce(F.size(entries), F.lit(0)), F.lit(0)).cast("long").alias("entries"), first.alias("first"), chunked.alias("_chunked"))
     said = [r["first"] for r in rows.where("first is not null").groupBy("kind").agg(F.min_by("first", "path").alias("first")).collect()]  # two at most
     found = sorted({f for s in said for f in long_text_fields(_parsed(spark, s))})
     there = F.array_compact(F.array(*[F.when(F.length(nested(F.col("first"), f)) > 10, f) for f in found])) if found else F.array().cast("array<string>")
-    return rows.withColumn("fields", F.when(F.col("kind") == "other", F.array().cast("array<string>")).otherwise(there))
+    none = F.array().cast("array<string>")
+    return rows.withColumn("fields", F.when(F.col("_chunked"), F.array(F.lit("chunks[].content"))).when(F.col("first").isNull(), none).otherwise(there)).drop("_chunked")
 
 
 def _parsed(spark: SparkSession, text: str) -> DataFrame:
@@ -198,10 +202,11 @@ def series(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame
     idx its physical row. Cells that are no numbers are null."""
     lines = numbered_lines(spark, path) if encoding.upper().replace("-", "") == "UTF8" else _decoded(spark, path, encoding)
     lines = lines.withColumn("series_id", F.regexp_extract("source_file", r"([^/]+?)(?:\.[^./]*)?$", 1))
-    cells = F.transform(F.split("line", ","), lambda x: F.regexp_replace(x, r'^\s*"?|"?\s*$', ""))
-    lines = lines.where(F.trim("line") != "").select("series_id", "line_no", cells.alias("cells"))
-    heads = lines.where("line_no = 1").select("series_id", F.col("cells").alias("names"))
-    rows = lines.where("line_no > 1").join(heads, "series_id").select("series_id", (F.col("line_no") - 2).alias("idx"), F.posexplode(F.arrays_zip("names", "cells")).alias("k", "c"))
+    found = F.regexp_extract_all(F.concat(F.lit(","), "line"), F.lit(r',\s*("(?:[^"]|"")*+"\s*|[^,]*)'), 1)  # a comma in quotes parts no cells
+    cells = F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, r'^\s*"?|"?\s*$', ""), '""', '"'))
+    lines = lines.where(F.trim("line") != "").select("source_file", "series_id", "line_no", cells.alias("cells"))
+    heads = lines.where("line_no = 1").select("source_file", F.col("cells").alias("names"))
+    rows = lines.where("line_no > 1").join(heads, "source_file").select("series_id", (F.col("line_no") - 2).alias("idx"), F.posexplode(F.arrays_zip("names", "cells")).alias("k", "c"))
     return rows.select("series_id", "idx", F.col("c.names").alias("name"), F.expr("try_cast(c.cells AS double)").alias("value"))
 
 

@@ -135,3 +135,66 @@ def ingest_files(files: DataFrame, held: Collections, name: str, parse: Callable
         held.upsert(name, parse(hashed.join(new, ["file_hash", "path"], "left_semi").select("path", "content", "file_hash")), (stream, number))
 
     return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Loops(StatefulProcessor):
+    """How often each route of a workflow was taken, as a map in state, with a cap.
+
+    By event time: a timer clears a workflow that has had no event for ``gap`` milliseconds, and tells so; a new event puts
+    it off. By processing time: a route's count lives ``ttl`` milliseconds from its last change. Counts of earlier runs come
+    in as initial state.
+    """
+
+    def __init__(self, cap: int, gap: int | None, ttl: int | None):
+        self.cap, self.gap, self.ttl = cap, gap, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getMapState("counts", "route string", "n long", self.ttl)
+        self.until = handle.getValueState("until", "at long")
+
+    def _add(self, route: str, n: int) -> int:
+        held = self.counts.getValue((route,))[0] if self.counts.containsKey((route,)) else 0
+        self.counts.updateValue((route,), (held + n,))
+        return held + n
+
+    def handleInitialState(self, key: tuple[Any, ...], initialState: pd.DataFrame, timerValues: Any) -> None:
+        for route, n in zip(initialState["route"].tolist(), initialState["n"].tolist(), strict=True):
+            self._add(route, n)
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        latest, seen = 0, []
+        for b in rows:
+            latest = max(latest, int(b["ts"].astype("datetime64[ms]").astype("int64").max()))
+            seen += b.sort_values(["ts", "event_id"])["route"].tolist()
+        out = [(key[0], r, n, "continue" if n <= self.cap else "max_iterations_exceeded") for r in seen for n in [self._add(r, 1)]]
+        if self.gap is not None:
+            before = self.until.get()[0] if self.until.exists() else 0
+            if latest + self.gap > before:
+                if before:
+                    self.handle.deleteTimer(before)
+                self.handle.registerTimer(latest + self.gap)
+                self.until.update((latest + self.gap,))
+        yield pd.DataFrame(out, columns=["workflow", "route", "n", "decision"])
+
+    def handleExpiredTimer(self, key: tuple[Any, ...], timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        total = sum(v[0] for v in self.counts.values())
+        self.counts.clear()
+        self.until.clear()
+        yield pd.DataFrame({"workflow": [key[0]], "route": [None], "n": [total], "decision": ["expired"]})
+
+    def close(self) -> None:
+        pass
+
+
+def loops(events: DataFrame, cap: int, gap: int | None = None, ttl: int | None = None, initial: DataFrame | None = None, late: str = "10 minutes") -> DataFrame:
+    """(workflow, route, n, decision) for every event (workflow, event_id, ts, route): the how-manieth of its route it is, and
+    whether the loop goes on; with gap (milliseconds of event time) a row ``expired`` where a workflow has come to rest.
+
+    initial: (workflow, route, n), the counts to start from. Events later than the watermark are left out.
+    """
+    if (gap is None) == (ttl is None):
+        raise ValueError("either a gap in event time or a time to live in processing time")
+    rows = events.withWatermark("ts", late) if gap is not None else events
+    start = initial.groupBy("workflow") if initial is not None else None
+    return rows.groupBy("workflow").transformWithStateInPandas(Loops(cap, gap, ttl), "workflow long, route string, n long, decision string", "append", "eventTime" if gap is not None else "processingTime", start)

@@ -36,7 +36,7 @@ def test_queries_without_sql(spark, sf):
     rows = {n: QUERIES[n](spark, sf).count() for n in sorted(set(QUERIES) - set(ORACLES))}
     assert rows == {
         "approx_distinct_users": 5, "enrich_queries": 120, "extract_components": 1600, "extract_interfaces": 400, "extract_quantities": 600, "extract_terms": 200, "extract_variables": 1200,
-        "hashed_search": 200, "knn_int8": 125, "near_duplicates_kept": 87, "nested_split_args": 800, "registry_export": len(QUERIES), "remove_annotations": 200, "replace_contained": 3,
+        "hashed_search": 200, "knn_int8": 125, "near_duplicates_kept": 87, "nested_split_args": 800, "remove_annotations": 200, "replace_contained": 3,
     }
 
 
@@ -47,6 +47,13 @@ def test_int8_recall(spark, sf):
     assert len(got & want) >= 0.95 * len(want)
 
 
+def test_catalogue_as_a_table(spark):
+    from tessera.operators.hooks import exported
+
+    rows = {r.name: r for r in exported(spark, QUERIES, ORACLES).collect()}
+    assert set(rows) == set(QUERIES) and {n for n, r in rows.items() if r.has_sql} == set(ORACLES)
+
+
 def test_entry(spark):
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLES) <= set(__spark_entry__.oracle_sql())
     assert 0 < __spark_entry__.entry(spark).count() <= 100

@@ -48,7 +48,9 @@ def test_json_documents(spark, tmp_path):
     assert got == [(1, "one"), (1, "three"), (2, "two")]
     (tmp_path / "x.bin").write_bytes(b"\0")
     probe = {r.path[-6:]: (r.kind, r.entries, list(r.fields), len(r.sha256)) for r in I.probe(spark, str(tmp_path)).collect()}
-    assert probe == {"d.json": ("json", 4, [], 64), "l.json": ("json", 2, [], 64), "o.json": ("json", 1, [], 64), "/x.bin": ("other", 0, [], 64)}
+    assert probe == {"d.json": ("json", 4, ["chunks[].content"], 64), "l.json": ("json", 2, [], 64), "o.json": ("json", 1, [], 64), "/x.bin": ("other", 0, [], 64)}
+    texts = spark.createDataFrame([("a.jsonl", '{"t": "a long enough text", "u": "short"}\n\n{"u": 1}\n'), ("b.jsonl", "\n{}"), ("c.jsonl", ""), ("e.json", '{"chunks": []}'), ("f.json", "[]")], "path string, text string")
+    assert {r.path: (r.entries, list(r.fields)) for r in I.probe_text(texts).collect()} == {"a.jsonl": (3, ["t"]), "b.jsonl": (2, []), "c.jsonl": (0, []), "e.json": (0, ["chunks[].content"]), "f.json": (0, [])}
     df = spark.read.json(spark.createDataFrame([('{"a": {"b": "longer than ten", "c": [{"d": "also longer than ten"}], "n": 3}, "l": ["x"], "s": "' + "y" * 101 + '"}',)], "v string").rdd.map(lambda r: r.v))
     assert sorted(I.long_text_fields(df)) == ["a.b", "a.c[0].d", "s"]
     assert df.select(I.flattened(df.schema).alias("m")).first().m == {"a.b": "longer than ten", "a.n": "3", "_original_structure": "a,l,s"}
@@ -113,6 +115,16 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "split" / "stats.json")).first().duplicate_ids == 1
 
 
+def test_quoted_series(spark, tmp_path):
+    for k in (1, 2):  # two folders with a file of one name
+        (tmp_path / f"n={k}").mkdir()
+        (tmp_path / f"n={k}" / "s.csv").write_text(f'time,"x,y" ,"a ""b"""\n0,"{k}",\n\n"1" , 2.5,"1,5"\n')
+    rows = sorted((r.series_id, r.idx, r.name, r.value) for r in I.series(spark, str(tmp_path)).collect() if r.value is not None)
+    want = [("s", 0, "time", 0.0), ("s", 0, "x,y", 1.0), ("s", 0, "x,y", 2.0), ("s", 2, "time", 1.0), ("s", 2, "x,y", 2.5)]
+    assert rows == sorted([*want, want[0], want[3], want[4]])
+    assert {r.name for r in I.series(spark, str(tmp_path)).collect()} == {"time", "x,y", 'a "b"'}
+
+
 def test_collections(spark, tmp_path):
     held = Collections(spark, str(tmp_path / "root"))
     assert held.names() == [] and not held.has_data("x")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.operators import splitting as R
@@ -76,6 +77,21 @@ def csv_series(t):
     return I.series(t.spark, path).select("idx", "name", "value")
 
 
+@query("""WITH c AS (SELECT c_custkey // 100 AS f, c_custkey, c_acctbal, row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) - 1 AS idx FROM customer)
+SELECT 'run_' || f AS series_id, x.name AS name, idx, x.v AS value FROM (SELECT f, idx, unnest([{'name': 'time', 'v': c_custkey::DOUBLE}, {'name': 'balance', 'v': c_acctbal::DOUBLE}]) AS x FROM c)""")
+def mat_series(t):
+    """Simulation results as MAT files of level 4, of a hundred rows each, in long form."""
+    from tessera.sources.mat import result_file, series_of
+
+    def pack(key, rows):
+        values = rows.sort_values("c_custkey")[["c_custkey", "c_acctbal", "c_nationkey"]].to_numpy(float)
+        return pd.DataFrame({"path": [f"store/run_{key[0]}.mat"], "content": [result_file(["time", "balance", "nation"], values)]})
+
+    rows = t.customer.select(F.floor(F.col("c_custkey") / 100).alias("f"), "c_custkey", "c_acctbal", "c_nationkey")
+    files = rows.groupBy("f").applyInPandas(pack, "path string, content binary")  # a hundred rows at most
+    return series_of(files, "time|bal.*")
+
+
 @query("""SELECT n_regionkey AS r, string_agg('# Page ' || CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey + 100 ELSE k END || chr(10) || chr(10) || CASE WHEN n_nationkey % 3 = 0 THEN 'alt' ELSE n_name END, chr(10) || chr(10) ORDER BY n_nationkey) AS markdown
 FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation) GROUP BY 1""")
 def pages_markdown(t):

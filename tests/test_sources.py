@@ -14,7 +14,7 @@ from tessera.operators import workflow as W
 from tessera.sources import files as I
 from tessera.sources import sinks as O
 from tessera.sources.collections import Collections, rewritten
-from tessera.sources.mat import MatSource, trajectories
+from tessera.sources.mat import MatSource, read_mat, trajectories
 
 
 def test_lines_over_splits(spark, tmp_path):
@@ -80,6 +80,11 @@ def test_series_and_mat(spark, tmp_path):
     (tmp_path / "m").mkdir()
     (tmp_path / "m" / "run.mat").write_bytes(data)
     spark.dataSource.register(MatSource)
+    both = lambda df: sorted(map(tuple, df.collect()))
+    assert both(read_mat(spark, str(tmp_path / "m"), "x|time")) == both(spark.read.format("mat4").option("path", str(tmp_path / "m")).option("names", "x|time").load()) != []
+    (tmp_path / "broken.mat").write_bytes(data[:-9])
+    with pytest.raises(Exception, match="broken.mat"):
+        read_mat(spark, str(tmp_path)).collect()
     rows = spark.read.format("mat4").option("path", str(tmp_path / "m")).option("names", "x|time").load()
     assert sorted(map(tuple, rows.where("idx = 1").collect())) == [("run", "time", 1, 0.5), ("run", "x", 1, -2.0)]
 

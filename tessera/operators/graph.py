@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import stored
+from tessera.session import discarded, stored
 
 
 def endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def trimmed(edges: DataFrame) -> DataFrame:
         for _ in range(3):  # so many layers between two tables
             both = step.select(F.col("src").alias("id")).intersect(step.select(F.col("dst").alias("id")))
             step = step.join(both.withColumnRenamed("id", "src"), "src", "left_semi").join(both.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        now = stored(step, "edges")
+        old, now = now, stored(step, "edges")
+        discarded(old)
         before, n = n, now.count()
         if n == before:
             break
@@ -62,6 +63,7 @@ def _spread(edges: DataFrame, marks: DataFrame, within: str | None = None) -> Da
         arrived = arrived.groupBy("id").agg(F.max("mark").alias("new"))
         after = stored(now.join(arrived, "id", "left").select("id", F.greatest("mark", "new").alias("mark"), *keep), "marks")
         changed = after.agg(F.sum(F.xxhash64("id", "mark").cast("decimal(38,0)"))).first()[0]
+        discarded(now)
         now = after
         if changed == state:
             break

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,23 +18,19 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms)
 
 
-#: Queries of a block, and the rows that a table of queries may have to be broadcast in one.
-BLOCK, SMALL = 512, 2000
+#: The rows of a table of queries that are broadcast at once.
+SMALL = 2000
 
 
 def in_blocks(points: DataFrame, queries: DataFrame, key: str) -> DataFrame:
-    """All rows beside all of a stated set of queries.
-
-    Up to SMALL queries, which are counted, are broadcast. More go in blocks: each block of queries meets the points in
-    tasks of its own, so neither side has to fit in one.
-    """
+    """All rows beside all of a stated set of queries, which are counted: up to SMALL of them are broadcast, and more go in
+    blocks of about so many, each a pass over the points. Nothing is shuffled."""
     n = len(queries.select(key).take(SMALL + 1))
     if n <= SMALL:
         return points.crossJoin(F.broadcast(queries))
-    blocks = -(-queries.count() // BLOCK)
-    q = queries.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)))
-    p = points.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    return p.join(q.hint("merge"), "_block").drop("_block")
+    blocks = -(-queries.count() // SMALL)
+    own = [queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == k) for k in range(blocks)]
+    return reduce(lambda a, b: a.unionByName(b), [points.crossJoin(F.broadcast(q)) for q in own])
 
 
 def scored(points: DataFrame, queries: DataFrame, threshold: float = 0.0) -> DataFrame:

@@ -122,3 +122,26 @@ def pass_at_k_sql(t):
     sql.register(t.spark)
     p = t.spark.sql("SELECT o_custkey, pass_at_k(count(*), count_if(o_orderstatus = 'F'), 3) AS p FROM {orders} GROUP BY o_custkey", orders=t.orders)
     return p.withColumn("p", F.round("p", 6))
+
+
+@query("""WITH b AS (SELECT min(floor(epoch(ts)))::BIGINT AS lo, max(floor(epoch(ts)))::BIGINT AS hi FROM events),
+e AS (SELECT user_id AS m, event_type AS r, floor(epoch(ts))::BIGINT::DOUBLE AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS idx, 0.3 * (floor(epoch(ts))::BIGINT - lo) / (hi - lo)::DOUBLE AS x FROM events, b),
+f AS (SELECT * FROM e WHERE r = 'view'), v AS (SELECT * FROM e WHERE r <> 'view'),
+s AS (SELECT m, r, nr, nv FROM (SELECT m, r, count(*) AS nv FROM v GROUP BY 1, 2) JOIN (SELECT m, count(*) AS nr FROM f GROUP BY 1) USING (m)),
+p AS (SELECT f.m, s.r, min_by(v.x, (abs(v.t - f.t), v.idx)) AS x, any_value(f.x) AS want FROM s JOIN f USING (m) JOIN v ON v.m = s.m AND v.r = s.r WHERE nr < nv GROUP BY f.m, s.r, f.idx
+ UNION ALL SELECT v.m, s.r, any_value(v.x), min_by(f.x, (abs(v.t - f.t), f.idx)) FROM s JOIN v ON v.m = s.m AND v.r = s.r JOIN f ON f.m = s.m WHERE nr > nv GROUP BY v.m, s.r, v.idx
+ UNION ALL SELECT f.m, s.r, v.x, f.x FROM s JOIN f USING (m) JOIN v ON v.m = s.m AND v.r = s.r AND v.idx = f.idx WHERE nr = nv),
+c AS (SELECT m, r, least(avg((x + m % 5 * 0.01 - want) ^ 2), avg((1 - x - want) ^ 2)) AS mse FROM p GROUP BY 1, 2)
+SELECT u.m AS model, count(*) FILTER (mse <= 0.001) AS passed FROM (SELECT DISTINCT user_id AS m FROM events) u LEFT JOIN c USING (m) GROUP BY 1""")
+def functional_passes(t):
+    """Series of different lengths, aligned in time: how many of a model's runs come within the limit of its reference by
+    their nearest column."""
+    from tessera.operators.series import passes
+
+    e = t.events.select(F.col("user_id").alias("model"), F.col("event_type").alias("run"), "ts", "event_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).alias("t"))
+    w = Window.partitionBy("model", "run").orderBy("ts", "event_id")
+    span = e.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    e = e.withColumn("idx", F.row_number().over(w) - 1).join(F.broadcast(span)).withColumn("x", 0.3 * (F.col("t") - F.col("lo")) / (F.col("hi") - F.col("lo")))  # one row
+    columns = F.array(F.struct(F.lit(1).alias("o"), F.lit("near").alias("name"), (F.col("x") + F.col("model") % 5 * 0.01).alias("value")), F.struct(F.lit(2).alias("o"), F.lit("far").alias("name"), (1 - F.col("x")).alias("value")))
+    reference = e.where("run = 'view'").select("model", "idx", "t", F.col("x").alias("value"))
+    return passes(e.select("model"), reference, e.where("run <> 'view'").select("model", "run", "idx", "t", F.inline(columns)))

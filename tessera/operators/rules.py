@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"\s*(\[\d+\]|and\b|or\b|not\b|[()])", re.IGNORECASE)
@@ -63,3 +63,18 @@ def compiled(text: str, checks: list[Column]) -> Column:
     if todo:
         raise ValueError(f"unexpected {todo[0]}")
     return out
+
+
+def targets(asked: DataFrame, held: DataFrame, by: str, strict: bool = False) -> DataFrame:
+    """(by, name): the collections that a search goes to, of those asked for (by, name) and those there are (name, points).
+
+    strict: all that are asked for, or none where one of them is missing or empty. Otherwise those with points, and where
+    there are none all collections with points.
+    """
+    full = held.where("points > 0").select("name").distinct()
+    known = asked.select(by, "name").distinct().join(full.withColumn("there", F.lit(1)), "name", "left")
+    count = known.groupBy(by).agg(F.count("*").alias("n"), F.count("there").alias("found"))
+    some = known.where("there = 1").select(by, "name")
+    if strict:
+        return some.join(count.where("n = found").select(by), by, "left_semi").select(by, "name")
+    return some.unionByName(count.where("found = 0").select(by).crossJoin(F.broadcast(full)).select(by, "name"))  # names of collections

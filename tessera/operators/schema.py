@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.text import whole_json
+
 ERROR = "array<struct<path:string, code:string>>"
 #: Types of a schema and the types that a variant says of itself.
 TYPES = {"string": ["STRING"], "integer": ["BIGINT", "INT", "SMALLINT", "TINYINT"], "number": ["BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT", "DECIMAL"], "boolean": ["BOOLEAN"], "object": ["OBJECT"], "array": ["ARRAY"], "null": ["VOID"]}
@@ -93,9 +95,9 @@ def violations(v: Column, schema: dict, path: str = "") -> Column:
 
 def schema_errors(rows: DataFrame, raw: str, schema: dict, keep: list[str]) -> DataFrame:
     """(keep, path, code) of every rule that a row's JSON text breaks; text that is no JSON is JSON_PARSE."""
-    v = F.try_parse_json(F.col(raw))
+    v = F.col("_v")
     found = F.when(v.isNull(), F.array(F.struct(F.lit("$").alias("path"), F.lit("JSON_PARSE").alias("code")))).otherwise(violations(v, schema))
-    return rows.select(*keep, F.inline(found))
+    return rows.withColumn("_v", whole_json(F.col(raw))).select(*keep, F.inline(found))
 
 
 def workflow_errors(configs: DataFrame, by: str, raw: str, types: list[str] | None = None) -> DataFrame:

@@ -71,3 +71,12 @@ def bigrams(ws: Column) -> Column:
     return F.when(n < 2, F.array().cast("array<string>")).otherwise(
         F.array_distinct(F.zip_with(F.slice(ws, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(ws, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
     )
+
+
+def whole_json(text: Column) -> Column:
+    """The text as a variant, null if it is anything but one JSON value: Spark's own parser reads the first value and leaves
+    what follows. Put into a list and into an object, what isn't one value breaks at least one of the two."""
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    kept = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
+    alone = (F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1) & (F.size(F.try_variant_get(kept, "$", "map<string,variant>")) == 1)
+    return F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))

@@ -115,3 +115,53 @@ def ordered_distinct(t):
     """The roles of a conversation in the order in which they first speak; those that begin at one turn by name."""
     g = t.conversations.groupBy("conv_id", "role").agg(F.min("turn").alias("first"))
     return g.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "role"))), lambda x: x["role"]).alias("roles"))
+
+
+STATE = """WITH w AS (SELECT user_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'facts_' WHEN 'click' THEN 'search_results_' WHEN 'purchase' THEN 'confidence_' WHEN 'signup' THEN 'analysis_' ELSE 'routing_metadata_' END || (event_id % 6) AS key,
+  CASE event_type WHEN 'view' THEN CASE WHEN event_id % 5 = 0 THEN '"no list"' ELSE '["f' || event_id || '",' || event_id || ']' END WHEN 'click' THEN '[{"source":"s' || event_id || '"},{"content":"c' || event_id || '"}]'
+   WHEN 'purchase' THEN CASE WHEN event_id % 4 = 0 THEN '"0.9"' ELSE '0.' || (event_id % 7 + 1) END WHEN 'signup' THEN CASE WHEN event_id % 3 = 0 THEN '""' ELSE '"answer ' || event_id || '"' END ELSE '{"to":' || event_id % 6 || '}' END AS value FROM events),
+c AS (SELECT user_id, key, min(seq) AS place, max_by(value, seq) AS value FROM w GROUP BY 1, 2) """
+
+
+def state(t):
+    """The state of each user's workflow, from events as its writes."""
+    from tessera.operators.state import current
+
+    n, kind, s = F.col("event_id"), F.col("event_type"), F.col("event_id").cast("string")
+    mod = lambda k: (n % k).cast("string")
+    cat = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in x])
+    key = F.when(kind == "view", "facts_").when(kind == "click", "search_results_").when(kind == "purchase", "confidence_").when(kind == "signup", "analysis_").otherwise("routing_metadata_")
+    value = F.when(kind == "view", F.when(n % 5 == 0, '"no list"').otherwise(cat('["f', s, '",', s, "]"))).when(kind == "click", cat('[{"source":"s', s, '"},{"content":"c', s, '"}]'))
+    value = value.when(kind == "purchase", F.when(n % 4 == 0, '"0.9"').otherwise(cat("0.", (n % 7 + 1).cast("string")))).when(kind == "signup", F.when(n % 3 == 0, '""').otherwise(cat('"answer ', s, '"'))).otherwise(cat('{"to":', mod(6), "}"))
+    return current(t.events.select("user_id", n.alias("seq"), F.concat(key, mod(6)).alias("key"), value.alias("value")), "user_id")
+
+
+@query(STATE + """, i AS (SELECT user_id, regexp_extract(key, '^(facts|search_results)_', 1) AS kind, place, key, unnest(json_extract(value, '$[*]')) AS item, unnest(range(len(json_extract(value, '$[*]')))) AS k FROM c WHERE regexp_matches(key, '^(facts|search_results)_') AND starts_with(value, '['))
+SELECT user_id, kind, row_number() OVER (PARTITION BY user_id, kind ORDER BY place, key, k) - 1 AS at, item::VARCHAR AS item FROM i""")
+def state_lists(t):
+    """The lists of a workflow's state by their prefixes, joined in the order of their keys."""
+    from tessera.operators.state import lists
+
+    return lists(state(t), "user_id")
+
+
+@query(STATE + """, x AS (SELECT user_id, TRY_CAST(regexp_extract(key, '^confidence_(\\d+)$', 1) AS BIGINT) AS node, CASE WHEN NOT starts_with(value, '"') THEN TRY_CAST(value AS DOUBLE) END AS x FROM c)
+SELECT user_id, round(coalesce(avg(x) FILTER (node IN (2, 3)), 0.5), 6) AS retriever, round(coalesce(avg(x) FILTER (node >= 4), 0.5), 6) AS expert FROM x GROUP BY 1""")
+def state_confidences(t):
+    """Mean confidences of retrievers and experts by the numbers of their nodes."""
+    from tessera.operators.state import confidences
+
+    return confidences(state(t), "user_id").select("user_id", F.round("retriever", 6).alias("retriever"), F.round("expert", 6).alias("expert"))
+
+
+@query(STATE + """, k AS (SELECT user_id, regexp_extract(key, '^(.*)_(\\d+)$', 1) AS kind, regexp_extract(key, '^(.*)_(\\d+)$', 2) AS node, value FROM c),
+e AS (SELECT user_id, node, max(value[2:-2]) FILTER (kind = 'analysis') AS answer, max(TRY_CAST(value AS DOUBLE)) FILTER (kind = 'confidence') AS confidence, coalesce(max(CASE WHEN starts_with(value, '[') THEN 2 END) FILTER (kind = 'facts'), 0)::BIGINT AS facts FROM k GROUP BY 1, 2)
+SELECT e.*, (SELECT count(*) FROM c WHERE c.user_id = e.user_id AND starts_with(key, 'routing_metadata_')) AS decisions FROM e WHERE answer <> ''""")
+def state_experts(t):
+    """Each expert's answer, confidence and facts, and how many routers have decided."""
+    from tessera.operators.state import decisions, experts
+
+    s = state(t)
+    n = decisions(s, "user_id").groupBy("user_id").agg(F.count("*").alias("decisions"))
+    e = experts(s, "user_id").select("user_id", "node", "answer", "confidence", "facts")
+    return e.join(n, "user_id", "left").withColumn("decisions", F.coalesce("decisions", F.lit(0)))

@@ -221,3 +221,50 @@ def carry_forward(t):
 def markdown_sections(t):
     title = F.max(F.when(F.col("head"), F.regexp_replace("line", "^#+ *", "")))
     return page_lines(t).groupBy("page_id", "section").agg(title.alias("title"), F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
+
+
+REPLIED = """WITH w AS (SELECT conv_id, turn, role, text, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '')[1:3] AS facts, (turn % 15) / 10.0 AS c FROM conversations) """
+
+
+def replies(t):
+    """A model's replies as text, made from conversations: JSON in a marked or a plain fence, alone, with a percentage, in a
+    sentence, or none."""
+    k = F.col("conv_id") % 6
+    facts = F.slice(F.filter(F.split("text", r"[ \n]+"), lambda x: x != ""), 1, 3)
+    confidence = F.when(k == 4, F.concat((F.col("turn") % 15 * 10).cast("string"), F.lit("%"))).otherwise((F.col("turn") % 15 / 10).cast("string"))
+    js = F.to_json(F.struct(F.col("role").alias("intent"), F.col("text").alias("optimized_query"), confidence.alias("confidence"), F.col("text").alias("analysis"), facts.alias("facts"), facts.alias("issues")))
+    cat = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in x])
+    reply = F.when(k == 0, cat("So:\n```json\n", js, "\n``` done")).when(k == 1, cat("```\n", js, "```")).when(k == 3, F.col("text")).when(k == 5, cat("I say ", js, " here")).otherwise(js)
+    return t.conversations.select("conv_id", "turn", "role", reply.alias("reply"))
+
+
+@query(REPLIED + """SELECT conv_id, turn, role, conv_id % 6 NOT IN (3, 5) AS parsed, CASE WHEN conv_id % 6 IN (3, 5) THEN 'query' ELSE role END AS intent, CASE WHEN conv_id % 6 = 3 THEN substr(text, 1, 200) WHEN conv_id % 6 <> 5 THEN text END AS query,
+  CASE WHEN conv_id % 6 IN (3, 5) THEN 0.5 ELSE least(1.0, c) END::DOUBLE AS confidence FROM w""")
+def reply_analysis(t):
+    """What an analyser's reply says, with its fallback; in a sentence JSON isn't read."""
+    from tessera.functions import replies as R
+
+    a = replies(t).select("conv_id", "turn", "role", R.analysis(F.col("reply")).alias("a"))
+    said = F.when((F.col("conv_id") % 6 != 5), F.col("a.optimized_query"))
+    return a.select("conv_id", "turn", "role", "a.parsed", "a.intent", said.alias("query"), F.round("a.confidence", 6).alias("confidence"))
+
+
+@query(REPLIED + f"""SELECT conv_id, turn, role, CASE WHEN conv_id % 6 IN (3, 5) THEN [] ELSE facts END AS facts, CASE WHEN conv_id % 6 IN (3, 5) THEN ['JSONパース失敗'] ELSE [] END AS gaps,
+  CASE WHEN conv_id % 6 = 3 AND NOT contains(text, '{{') THEN [] WHEN conv_id % 6 = 4 OR conv_id % 6 <> 3 THEN facts ELSE [] END AS issues, CASE WHEN conv_id % 6 = 3 THEN 0.7 ELSE c END::DOUBLE AS confidence FROM w""")
+def reply_expertise(t):
+    """Lists of an expert's reply, and issues and confidence of the same text as a validator's, which is read from the first
+    to the last brace."""
+    from tessera.functions import replies as R
+
+    r = replies(t).select("conv_id", "turn", "role", R.expertise(F.col("reply")).alias("e"), R.validation(F.col("reply")).alias("v"))
+    return r.select("conv_id", "turn", "role", "e.facts", "e.gaps", "v.issues", F.round("v.confidence", 6).alias("confidence"))
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 AS again FROM documents WHERE NOT regexp_matches(text, '[\\x{3040}-\\x{30FF}\\x{4E00}-\\x{9FFF}\\x{FF66}-\\x{FF9D}]')")
+def caption_retry(t):
+    """Captions with ideographs and no kana are asked for again: documents without either get some."""
+    from tessera.functions import replies as R
+
+    plain = t.documents.where(~F.col("text").rlike(R.CJK) & ~F.col("text").rlike(R.KANA))
+    said = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("図面"))).when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit("図のｱ"))).otherwise(F.col("text"))
+    return plain.select("doc_id", R.in_other_script(said).alias("again"))

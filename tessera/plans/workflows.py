@@ -202,3 +202,16 @@ def config_wrap(t):
     config = F.create_map(F.lit("top_k"), F.col("n_regionkey").cast("string"), F.lit("log_level"), F.col("n_name"))
     m = W.wrapped(config, ["log_level"])
     return t.nation.select("n_nationkey", F.regexp_replace(F.try_element_at(m, F.lit("top_k")), '"(\\d+)"', "$1").alias("top_k"), F.try_element_at(m, F.lit("log_level")).alias("log_level"))
+
+
+@query("""WITH a AS (SELECT DISTINCT c_nationkey AS k, 'c' || (c_custkey % 12) AS name FROM customer), h AS (SELECT 'c' || label AS name FROM embeddings GROUP BY 1 HAVING count(*) FILTER (len(embedding) > 0) > 0),
+n AS (SELECT k, count(*) AS n, count(h.name) AS found FROM a LEFT JOIN h USING (name) GROUP BY 1)
+SELECT 'strict' AS mode, k, name FROM a WHERE k IN (SELECT k FROM n WHERE n = found) UNION ALL SELECT 'fallback', k, name FROM a JOIN h USING (name) UNION ALL SELECT 'fallback', k, h.name FROM n, h WHERE found = 0""")
+def search_targets(t):
+    """The collections that searches go to, strictly and with a fallback."""
+    from tessera.operators.rules import targets
+
+    asked = t.customer.select(F.col("c_nationkey").alias("k"), F.concat(F.lit("c"), (F.col("c_custkey") % 12).cast("string")).alias("name"))
+    held = t.embeddings.groupBy(F.concat(F.lit("c"), F.col("label").cast("string")).alias("name")).agg(F.count_if(F.size("embedding") > 0).alias("points"))
+    both = [targets(asked, held, "k", strict).select(F.lit(mode).alias("mode"), "k", "name") for mode, strict in (("strict", True), ("fallback", False))]
+    return both[0].unionByName(both[1])

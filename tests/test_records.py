@@ -148,4 +148,5 @@ def test_schema_constants_and_integers(spark):
     assert said({"n": 2, "t": "x", "b": True, "o": {"b": 2, "a": [1, {"z": None}]}, "e": None, "any": [1], "z": None, "d": None, "k": 10**30}) == []
     assert said('{"n": 2.0, "e": [1], "k": 1e3, "d": [1, 2.0]}') == [] == said({"e": "1"}) == said({"e": 1.0})
     assert said({"n": 3, "t": 5, "b": False, "o": {"a": [1], "b": 2}, "e": 2, "z": 0, "d": [0.5], "k": 1.5}) == ["b:CONST", "d[]:MINIMUM", "d[]:TYPE", "e:ENUM", "k:TYPE", "n:CONST", "o:CONST", "t:CONST", "z:CONST"]
+    assert said('{"n": 2} x') == said('{"n": 2}{"n": 2}') == said('{"n": 2},{"n": 3}') == said("1],[2") == said("1}{2") == said("") == ["$:JSON_PARSE"] and said(" [1] ") == ["$:TYPE"]
     assert said({"n": "2", "b": 1, "e": "x", "q": 1}) == ["$:ADDITIONAL", "b:CONST", "b:TYPE", "e:ENUM", "n:CONST", "n:TYPE"]

@@ -220,14 +220,21 @@ def variables(code: Column) -> Column:
 
 
 def quantities(code: Column) -> Column:
-    """(name, unit, quantity) of variables: by their attributes, else by their SI type, else by a unit in the comment."""
+    """(name, unit, quantity, display_unit, nominal) of variables: by their attributes, else by their SI type, else by a unit
+    in the comment."""
     units = F.create_map(*[F.lit(x) for t, (u, _) in SI_UNITS.items() for x in (t, u)])
     kinds = F.create_map(*[F.lit(x) for t, (_, q) in SI_UNITS.items() for x in (t, q)])
-    told = F.transform(variables(code), lambda v: F.when(v["unit"].isNotNull() | v["quantity"].isNotNull(), F.struct(v["name"].alias("name"), v["unit"].alias("unit"), v["quantity"].alias("quantity"))).otherwise(
-        F.struct(v["name"].alias("name"), F.coalesce(F.try_element_at(units, v["type"]), unit_of(v["comment"])).alias("unit"), F.try_element_at(kinds, v["type"]).alias("quantity"))))
+    shown = lambda v: [attribute(v["attributes"], "displayUnit").alias("display_unit"), attribute(v["attributes"], "nominal").alias("nominal")]
+    told = F.transform(variables(code), lambda v: F.when(v["unit"].isNotNull() | v["quantity"].isNotNull(), F.struct(v["name"].alias("name"), v["unit"].alias("unit"), v["quantity"].alias("quantity"), *shown(v))).otherwise(
+        F.struct(v["name"].alias("name"), F.coalesce(F.try_element_at(units, v["type"]), unit_of(v["comment"])).alias("unit"), F.try_element_at(kinds, v["type"]).alias("quantity"), *shown(v))))
     return F.filter(told, lambda q: q["unit"].isNotNull() | q["quantity"].isNotNull())
 
 
+def names_only(tokens: Column) -> Column:
+    """The tokens that are names, with or without dots, and no reserved words."""
+    return F.filter(tokens, lambda t: ~t.isin(RESERVED) & t.rlike(r"(?U)^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*$"))
+
+
 def dependencies(code: Column) -> Column:
     """Sorted distinct packages: imports, and what stands before the last name of a qualified reference that is no built-in."""
     imports = F.regexp_extract_all(code, F.lit(r"import\s+([A-Za-z_][\w.]*)"), 1)

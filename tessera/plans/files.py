@@ -111,14 +111,13 @@ def caption_sink(t):
     return back.where(good).groupBy("type").agg(F.round(F.avg(F.col("confidence").cast("double")), 2).alias("mean"), F.count("*").alias("n"))
 
 
-@query("SELECT n_name, n_regionkey::BIGINT AS region, '# ' || n_name AS markdown FROM nation")
+@query("SELECT doc_id, source, sha256('# ' || source || chr(10) || chr(10) || text) AS sha FROM documents")
 def document_sink(t):
-    """Processed documents as JSON and Markdown, read again and joined."""
+    """Processed documents as JSON lines and Markdown, read again and joined."""
     path = scratch(t.spark, "documents")
-    O.write_documents(t.nation.select(F.col("n_nationkey").alias("document_id"), "n_name", "n_regionkey", F.concat(F.lit("# "), "n_name").alias("markdown")), path)
-    a = t.spark.read.json(f"{path}/json")
-    b = t.spark.read.text(f"{path}/markdown").select(F.col("document_id").alias("d"), F.col("value").alias("markdown"))
-    return a.join(b, a["document_id"] == b["d"]).select("n_name", F.col("n_regionkey").alias("region"), "markdown")
+    O.write_documents(t.documents.select(F.col("doc_id").alias("document_id"), "source", F.concat(F.lit("# "), "source", F.lit("\n\n"), "text").alias("markdown")), path)
+    a, b = t.spark.read.schema("document_id long, source string").json(f"{path}/json"), O.read_markdown(t.spark, path)
+    return a.join(b, a["document_id"].cast("string") == b["id"]).select(F.col("document_id").alias("doc_id"), "source", F.sha2("markdown", 256).alias("sha"))
 
 
 @query("SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")

@@ -159,3 +159,22 @@ def ingest_skip_existing(t):
     h = F.sha2("text", 256)
     stored = t.documents.where("doc_id < 500").select(h.alias("h")).distinct()
     return t.documents.where("doc_id >= 500").select("doc_id", h.alias("h")).join(stored, "h", "left_anti").select("doc_id")
+
+
+@query("SELECT doc_id, list_filter(string_split(text, ' '), lambda x: regexp_matches(x, '^[A-Za-z_][\\p{L}\\p{M}\\p{Nd}_]*(\\.[A-Za-z_][\\p{L}\\p{M}\\p{Nd}_]*)*$') AND NOT list_contains(['if', 'then', 'else', 'elseif', 'end', 'for', 'while', 'loop', 'algorithm', 'in', 'and', 'or'], x)) AS names FROM documents")
+def filter_names(t):
+    """Tokens that are plain or qualified names and no reserved words."""
+    from tessera.functions.extract import names_only
+
+    return t.documents.select("doc_id", names_only(F.split("text", " ")).alias("names"))
+
+
+@query("""WITH m AS (SELECT page_id, unnest([{'k': 'page.id', 'v': page_id::VARCHAR}, {'k': 'page.at.url', 'v': url}, {'k': 'page.at.short', 'v': substr(html, 1, 100)}, {'k': 'html', 'v': html}, {'k': '_original_structure', 'v': 'page,html,tags'}], recursive := true) FROM pages)
+SELECT page_id, k AS key, v AS value FROM m WHERE v IS NULL OR length(v) <= 100""")
+def metadata_map(t):
+    """The scalars of nested metadata by dotted keys: long texts and lists are left out, the top keys are listed."""
+    from tessera.sources.files import flattened
+
+    at = F.struct("url", F.substring("html", 1, 100).alias("short"))
+    rows = t.pages.select("page_id", F.struct(F.struct(F.col("page_id").alias("id"), at.alias("at")).alias("page"), "html", F.array(F.lit("x")).alias("tags")).alias("m"))
+    return rows.select("page_id", F.explode(flattened(rows.schema["m"].dataType, "m")).alias("key", "value"))

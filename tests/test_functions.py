@@ -130,3 +130,11 @@ def test_queries_and_tex(spark):
     assert one(spark, E.restored(F.lit(s.text), F.array(*[F.lit(x) for x in s.spans]))) == t
     assert [one(spark, E.has_formula(F.lit(x))) for x in ("cost $5", r"\$5 \$6", "$5 or $6", "a ∑ b", "xαy", r"\[a\]")] == [False, False, True, True, False, True]
     assert [one(spark, E.document_type(F.lit(x))) for x in ("User_Guide.pdf", "apipaper", "Modelica", "x")] == ["manual", "technical_paper", "modelica_document", "general"]
+
+
+def test_quantities_and_names(spark):
+    code = 'model A\n Real x(unit="m", displayUnit="km", nominal=10, start=1);\n SI.Voltage v;\n Real w "[s]";\n Real n;\nend A;'
+    got = {r.name: (r.unit, r.quantity, r.display_unit, r.nominal) for r in one(spark, E.quantities(F.lit(code)))}
+    assert got == {"x": ("m", None, "km", "10"), "v": ("V", "ElectricPotential", None, None), "w": ("s", None, None, None)}
+    tokens = ["a", "a.b", "_x1.é", "1a", "a.", ".a", "a..b", "if", "ends", "", "a b", "über"]
+    assert one(spark, E.names_only(F.array(*[F.lit(t) for t in tokens]))) == ["a", "a.b", "ends"]

@@ -120,6 +120,15 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "split" / "stats.json")).first().duplicate_ids == 1
 
 
+def test_documents_round_trip(spark, tmp_path):
+    said = {1: "# a\n\nline\r\n", 2: "", 3: "<!-- document 9 -->\nx", 4: "one\x1etwo"}
+    docs = spark.createDataFrame([(k, f"f{k}", v) for k, v in said.items()] + [(None, "none", None)], "document_id long, name string, markdown string")
+    O.write_documents(docs, str(tmp_path / "out"), per_file=2)
+    assert {r.id: r.markdown for r in O.read_markdown(spark, str(tmp_path / "out")).collect()} == {str(k): v.replace("\x1e", "") for k, v in said.items()} | {"": ""}
+    assert {r.name for r in spark.read.json(str(tmp_path / "out" / "json")).collect()} == {"f1", "f2", "f3", "f4", "none"}
+    assert not [p for p in (tmp_path / "out" / "markdown").iterdir() if p.is_dir()]
+
+
 def test_quoted_series(spark, tmp_path):
     for k in (1, 2):  # two folders with a file of one name
         (tmp_path / f"n={k}").mkdir()

@@ -146,11 +146,12 @@ def shipped(spark: SparkSession, data: bytes) -> str:
 
 
 class Index:
-    """Names of the files of both kinds of keys, with the number of leading digest bits that choose a file."""
+    """Names of the files of both kinds of keys, with the number of leading digest bits that choose a file, and the bytes of
+    the longest host."""
 
-    def __init__(self, hosts: list[str], keys: list[str], host_bits: int, key_bits: int, bits: int):
+    def __init__(self, hosts: list[str], keys: list[str], host_bits: int, key_bits: int, bits: int, longest: int):
         self.files = {"hosts": (hosts, host_bits), "keys": (keys, key_bits)}
-        self.bits = bits
+        self.bits, self.longest = bits, longest
 
     def find(self, kind: str, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(file, row) of each string; file is -1 where no key is equal."""
@@ -197,13 +198,14 @@ def build_index(rules: DataFrame, bits: int = 64, part: int = PART) -> Index:
             columns = {"lengths": [r["lengths"] for r in found]} if kind == "hosts" else {c: [r[c] for r in found] for c in ("host_size", "rule", "listed")}
             names.append(shipped(spark, packed(digest_arrays([r["key"].encode() for r in found], columns, bits))))
         made[kind] = names, lead
+    longest = keys.agg(F.max(F.octet_length("host"))).first()[0]
     common.dropped(keys)
-    return Index(made["hosts"][0], made["keys"][0], made["hosts"][1], made["keys"][1], bits)
+    return Index(made["hosts"][0], made["keys"][0], made["hosts"][1], made["keys"][1], bits, -1 if longest is None else longest)
 
 
-def suffixes(host: bytes) -> list[bytes]:
-    """The host, and what follows each of its dots."""
-    out, at = [host], host.find(b".")
+def suffixes(host: bytes, longest: int) -> list[bytes]:
+    """Of the host and what follows each of its dots, what has up to longest bytes; no longer one can be a rule's."""
+    out, at = [host] if len(host) <= longest else [], host.find(b".", max(0, len(host) - longest - 1))
     while at >= 0:
         out.append(host[at + 1 :])
         at = host.find(b".", at + 1)
@@ -217,7 +219,7 @@ def judged(index: Index, hosts: list[bytes], paths: list[bytes]) -> tuple[list[s
     host_of = np.array([number.setdefault(h, len(number)) for h in hosts], np.int64)
     of, names = [], []  # distinct hosts and their suffixes
     for h, k in number.items():
-        for s in suffixes(h):
+        for s in suffixes(h, index.longest):
             of.append(k)
             names.append(s)
     file, row = index.find("hosts", names)

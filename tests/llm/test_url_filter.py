@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm.url_filter import LISTED, RULES, DigestArray, build_index, digest, digest_arrays, mapped, packed, rule_table, url_verdicts
+from tessera.llm.url_filter import LISTED, RULES, DigestArray, build_index, digest, digest_arrays, mapped, packed, rule_table, suffixes, url_verdicts
 
 
 def brute(url, rules=RULES, listed=LISTED):
@@ -55,6 +55,14 @@ def test_many_rules_in_many_files(spark, bits):
     assert [tuple(x)[1:] for x in sorted(got)] == [brute(u, rules, listed) for u in urls]
 
 
+def test_long_addresses(spark):
+    """Hosts and paths of a megabyte, with half a million dots."""
+    urls = ["http://" + "a." * 500_000 + "org/es/", "http://" + "b" * 1_000_000 + ".org/", "http://x.org/" + "es/" * 300_000, "http://" + "." * 500_000 + "spam-farm.example.net/", "x" * 1_000_000 + "://org/"]
+    got = url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), build_index(rule_table(spark, RULES, LISTED)))
+    assert [tuple(r)[1:] for r in sorted(got.collect())] == [brute(u) for u in urls]
+    assert suffixes(b"a.bb.c", 1) == [b"c"] and suffixes(b"a.bb.c", 4) == [b"bb.c", b"c"] and suffixes(b"a.bb.c", 6) == [b"a.bb.c", b"bb.c", b"c"] and suffixes(b"", 0) == [b""] and suffixes(b"a.", -1) == suffixes(b"", -1) == []
+
+
 def test_repeated_rules(spark):
     rules = [("Org", "/", "allow"), ("org", "/", "block"), (None, "/", "block"), ("org", None, "allow"), ("a.or", "g/", "block"), ("a.org/", "", "block")]
     got = url_verdicts(spark.createDataFrame([(1, "http://a.org/"), (2, "http://a.org"), (3, "http:///")], "page_id long, url string"), build_index(rule_table(spark, rules, ["org", "org", "ORG"])))

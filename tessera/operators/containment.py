@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import stored
+from tessera.session import discarded, stored
 
 #: (K, WIDTH) of parts with K + WIDTH - 1 characters at least; the first that fits is taken.
 CLASSES = [(12, 16), (6, 4)]
@@ -73,7 +73,7 @@ def contained(rows: DataFrame, text: str, parts: DataFrame, part: str) -> DataFr
     texts = rows.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.col(text).alias("t")).where("t <> ''")
     wanted = stored(parts.where(F.coalesce(F.length(part), F.lit(0)) > 0).select(F.xxhash64(part).alias("p"), F.col(part).alias("t"), F.length(part).alias("n")).dropDuplicates(["p", "t"]), "wanted")
     sizes = [r["n"] for r in wanted.where(F.col("n") < SHORT).select("n").distinct().collect()]  # under SHORT of them
-    found, over = [], 1 << 30
+    found, over, done = [], 1 << 30, [wanted]
     for k, width in CLASSES:
         own = wanted.where((F.col("n") >= k + width - 1) & (F.col("n") < over))
         over = k + width - 1
@@ -84,6 +84,7 @@ def contained(rows: DataFrame, text: str, parts: DataFrame, part: str) -> DataFr
         counts = held.groupBy("print").agg(F.count("*").alias("n"))
         rare = asked.join(counts, "print", "left").groupBy("p").agg(F.min_by("print", F.struct(F.coalesce("n", F.lit(0)), "print")).alias("print"))
         found.append(held.join(rare, "print").select("h", "p"))
+        done += [asked, held]
     for size in sorted(sizes):
         own = wanted.where(F.col("n") == size).select("t", "p")
         runs = texts.select("h", F.explode(_runs(F.col("t"), size)).alias("t"))
@@ -93,6 +94,7 @@ def contained(rows: DataFrame, text: str, parts: DataFrame, part: str) -> DataFr
     for some in found:
         pairs = pairs.unionByName(some)
     pairs = stored(pairs.distinct(), "pairs")
+    discarded(*done)
     r = rows.select(*[F.col(c).alias(f"r{i}") for i, c in enumerate(rows.columns)], F.col(text).alias("_text"), F.xxhash64(text).alias("h"))
     p = parts.select(*[F.col(c).alias(f"p{i}") for i, c in enumerate(parts.columns)], F.col(part).alias("_part"), F.xxhash64(part).alias("p"))
     both = pairs.join(p, "p").join(r, "h").where(F.contains("_text", F.col("_part")) & (F.length("_part") > 0))

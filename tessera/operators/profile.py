@@ -64,3 +64,10 @@ def gaps(keys: DataFrame, about: dict, unique: list[str], main: list[str]) -> Da
     twice = keys.where(F.col("key").isin(unique) & (F.col("repeated") > 0)).select(F.lit("duplicates").alias("gap"), "key", F.col("repeated").cast("string").alias("detail"))
     lost = keys.where(F.col("key").isin(main) & (F.col("missing") > 0.3)).select(F.lit("missing").alias("gap"), "key", F.concat(F.round(100 * F.col("missing")).cast("long").cast("string"), F.lit("%")).alias("detail"))
     return out.unionByName(twice).unionByName(lost)
+
+
+def report(found: DataFrame, name: str) -> DataFrame:
+    """(markdown): one row, the gaps of a collection as a list under its name; there are a few for each key at most."""
+    line = F.concat_ws(" ", F.lit("-"), F.concat(F.col("gap"), F.lit(":")), F.concat(F.lit("`"), "key", F.lit("`")), "detail")
+    lines = F.sort_array(F.collect_list(F.struct("gap", F.coalesce("key", F.lit("")).alias("k"), line.alias("line"))))
+    return found.agg(F.array_join(F.concat(F.array(F.lit(f"## {name}")), F.transform(lines, lambda x: x["line"])), "\n").alias("markdown"))

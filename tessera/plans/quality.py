@@ -161,3 +161,12 @@ def payload_gaps(t):
 
     raw = F.expr(PAYLOAD.replace("|| user_id ||", "|| cast(user_id as string) ||"))
     return gaps(profile(t.events.select(raw.alias("raw")), "raw"), {"vectors": ["dense"]}, ["fqn", "chunk_id"], ["fqn", "note"])
+
+
+@query("""WITH d AS (SELECT count(*) AS n FROM (SELECT CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type END AS f FROM events GROUP BY 1 HAVING count(*) > 1))
+SELECT '## events' || chr(10) || '- duplicates: `fqn` ' || n || chr(10) || '- missing: `note` 100%' || chr(10) || '- no sparse vector:' AS markdown FROM d""")
+def payload_report(t):
+    """The gaps of a collection as Markdown."""
+    from tessera.operators.profile import report
+
+    return report(payload_gaps(t), "events")

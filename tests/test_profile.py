@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import sql
 from tessera.operators.align import pass_at_k
-from tessera.operators.profile import gaps, leaves, profile
+from tessera.operators.profile import gaps, leaves, profile, report
 
 
 def flat(value, prefix=""):
@@ -51,6 +51,7 @@ def test_profile_against_brute_force(spark):
         assert (x.distinct_values, x.repeated) == (len(said), sum(c > 1 for c in said.values())) and len(x.examples) == min(3, len(said))
     found = {(g.gap, g.key) for g in gaps(profile(rows, "raw"), {"vectors": ["dense"]}, ["fqn"], ["fqn", "content", "tags"]).collect()}
     assert found == {("no sparse vector", None), ("long text", "content"), ("duplicates", "fqn"), ("missing", "fqn"), ("missing", "content"), ("missing", "tags")}
+    assert report(gaps(profile(rows, "raw"), {"vectors": ["sparse"]}, [], ["tags"]), "c").first().markdown.startswith("## c\n- long text: `content` 3") and report(gaps(profile(rows, "raw"), {"vectors": ["sparse"]}, [], []).limit(0), "c").first().markdown == "## c"
     assert profile(rows.limit(0), "raw").count() == 0 and leaves(rows, "raw", 1).where("key = 'at'").first().kind == "OBJECT"
     assert [g.gap for g in gaps(profile(rows.limit(0), "raw"), {"vectors": ["sparse"]}, [], []).collect()] == ["no main text"]
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import extract as E
 from tessera.functions.lexer import definitions
+from tessera.operators.text import whole_json
 
 STATEMENT = "str string, first_line int, last_line int"
 SECTION = f"section string, initial boolean, first_line int, last_line int, statements array<struct<{STATEMENT}>>"
@@ -203,6 +204,21 @@ def splits(recs: DataFrame, limit: int = 10_000) -> DataFrame:
     return out.join(_counted(rows, F.col("id")).withColumnRenamed("n", "dupe_ids"))
 
 
+def file_report(lines: DataFrame, raw: str, most: int = 10) -> DataFrame:
+    """One row on the JSON lines of a file of records: lines (blank ones aside), errors (lines that are no JSON), longest and
+    mean code (rounded down), kinds (a map of counts), packages (the most frequent, by count and name) and dupe_ids."""
+    v = whole_json(F.col(raw))
+    get = lambda k, kind="string": F.try_variant_get("_v", f"$.collections.ast_record.{k}", kind)
+    held = lines.where(F.trim(raw) != "").withColumn("_v", v)
+    rows = held.select(F.col("_v").isNull().alias("bad"), get("id").alias("id"), F.coalesce(get("kind"), F.lit("unknown")).alias("kind"), F.array_join(get("package_path", "array<string>"), ".").alias("package"), F.coalesce(F.length(get("code_text")), F.lit(0)).alias("n"))
+    fine = rows.where(~F.col("bad"))
+    out = rows.agg(F.count("*").alias("lines"), F.count_if("bad").alias("errors"), F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("longest"), F.coalesce(F.floor(F.sum(F.when(~F.col("bad"), F.col("n"))) / F.nullif(F.count_if(~F.col("bad")), F.lit(0))), F.lit(0)).cast("long").alias("mean"))
+    kinds = fine.groupBy("kind").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n")))).alias("kinds"))  # a row a kind
+    top = fine.where("package <> ''").groupBy("package").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "package").limit(most)
+    top = top.agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "package", "n"))), lambda x: F.struct(x["package"].alias("package"), x["n"].alias("n"))).alias("packages"))
+    return out.join(kinds).join(top).join(_counted(fine.where("id is not null"), F.col("id")).withColumnRenamed("n", "dupe_ids"))  # one row each
+
+
 def packages(recs: DataFrame) -> DataFrame:
     """(package, kinds, children, first): of each package the counts of its records by kind and of the records in packages
     below by name, the most first, and its first ten records. Counts are made before anything is put into a row."""

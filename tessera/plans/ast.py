@@ -138,3 +138,16 @@ def record_schema(t):
 
     lines = R.entries(recs(t).withColumn("of", F.col("id")), ["of"])
     return schema_errors(lines, "json", SCHEMA, ["of"]).select(F.col("of").alias("id"), F.concat_ws(":", "path", "code").alias("broken"))
+
+
+@query(TWICE + """, l AS (SELECT *, kind = 'model' AND p_partkey % 11 = 0 AS bad, CASE kind WHEN 'model' THEN 'Lib.' || brand ELSE 'Lib.' || brand || '.M' || p_partkey END AS package, greatest(length(trim(clean, ' ' || chr(10))), 50) AS len FROM r),
+k AS (SELECT kind, count(*) AS n FROM l WHERE NOT bad GROUP BY 1), p AS (SELECT package, count(*) AS n FROM l WHERE NOT bad GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)
+SELECT k.kind AS kind, k.n AS n, (SELECT count(*) FROM l) AS lines, (SELECT count(*) FROM l WHERE bad) AS errors, (SELECT max(len) FROM l WHERE NOT bad) AS longest, (SELECT floor(sum(len) / count(*))::BIGINT FROM l WHERE NOT bad) AS mean,
+  (SELECT list(package || ' ' || n ORDER BY n DESC, package) FROM p) AS packages, (SELECT count(*) FROM (SELECT id FROM l WHERE NOT bad GROUP BY 1 HAVING count(*) > 1)) AS dupe_ids FROM k""")
+def record_file_report(t):
+    """A report on the JSON lines of records, of which some are cut off."""
+    lines = R.entries(twice(t).withColumn("at", F.regexp_extract("metadata.file_path", r"(\d+)", 1).cast("long")).withColumn("what", F.col("kind")), ["at", "what"])
+    cut = (F.col("what") == "model") & (F.col("at") % 11 == 0)
+    said = lines.select(F.when(cut, F.expr("substring(json, 1, length(json) - 1)")).otherwise(F.col("json")).alias("line"))
+    r = R.file_report(said.unionByName(t.region.select(F.lit(" ").alias("line"))), "line")
+    return r.select(F.explode("kinds").alias("kind", "n"), "lines", "errors", "longest", "mean", F.transform("packages", lambda p: F.concat(p["package"], F.lit(" "), p["n"].cast("string"))).alias("packages"), "dupe_ids")

@@ -136,6 +136,11 @@ def test_checks_of_a_set(spark):
     assert (z.records, z.smallest, z.over, z.dupe_ids) == (6, 50, 2, 2)
     got = {r.package: r for r in R.packages(recs).collect()}
     assert got["Lib"].first == ["Lib.HeatModel"] * 2 and [tuple(c) for c in got["Lib"].children] == [("HeatModel", 2)] and set(got) == {"Lib", "Lib.HeatModel", "P"}
+    lines = R.entries(recs).select("json").unionByName(spark.createDataFrame([("{",), ("",), ("{}",), ('{"collections": {"ast_record": {"kind": 3}}} x',)], "json string"))
+    f = R.file_report(lines, "json").first()
+    assert (f.lines, f.errors, f.dupe_ids) == (9, 2, 2) and f.kinds == {"function": 2, "model": 3, "unknown": 2} and [tuple(p) for p in f.packages] == [("Lib", 2), ("Lib.HeatModel", 2), ("P", 1)]
+    none = R.file_report(lines.limit(0), "json").first()
+    assert (none.lines, none.errors, none.longest, none.mean, none.kinds, none.packages) == (0, 0, 0, 0, {}, [])
     line = json.loads(R.entries(recs).first().json)
     assert line["validation_rules"] == R.VALIDATION_RULES and line["collections"]["ast_record"]["neighbors"]["used_by"] == []
 

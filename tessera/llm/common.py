@@ -38,11 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
+def written(df: DataFrame, name: str, group: int | None = None) -> DataFrame:
+    """The rows of df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors. group: bytes of a
+    row group, for long rows: a writer holds a whole group, and a reader up to 4096 rows of one."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    how = {} if group is None else {"parquet.block.size": group, "parquet.page.size": group // 8, "parquet.page.size.row.check.min": 4, "parquet.page.size.row.check.max": 16}
+    df.write.options(**how).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -38,6 +38,8 @@ DOCS, TEXT = 128, 1 << 20
 FIRST, BATCH = 4, 16
 #: Items of a group, and bytes of their texts.
 ITEMS, ITEM_BYTES = 1000, 4 << 20
+#: Rows of texts in an Arrow batch, and bytes of a row group of blocks: what a task holds, however large its input.
+TEXTS, GROUP = 8 * DOCS, 8 << 20
 #: Stands for a null id, behind all others.
 LAST = np.int64(2**63 - 1)
 BLOCK = "block long, low long, ids array<long>, m array<long>, terms array<binary>, dfs array<int>, tops array<long>, starts array<int>, term array<int>, tf array<int>"
@@ -101,6 +103,11 @@ def _totals(rows: DataFrame) -> tuple[int, int]:
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """The index of a table as a written table of blocks. Rows without a term are in no block and count nowhere."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    with small_batches(docs.sparkSession, TEXTS):
+        return _built(rows)
+
+
+def _built(rows: DataFrame) -> Index:
     n_docs, n_terms = _totals(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +124,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     number += 1
 
     blocks = rows.mapInArrow(run, BLOCK)
-    spark = docs.sparkSession
-    return Index(common.written(blocks if n_docs else spark.createDataFrame([], BLOCK), "blocks"), n_docs, n_terms)
+    spark = rows.sparkSession
+    return Index(common.written(blocks if n_docs else spark.createDataFrame([], BLOCK), "blocks", GROUP), n_docs, n_terms)
 
 
 class Items:

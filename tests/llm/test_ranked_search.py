@@ -90,3 +90,16 @@ def test_very_long_text(spark):
     docs = [(1, "alpha beta " * 400_000), (2, "alpha " + " ".join(f"t{k}" for k in range(300_000))), (3, "beta gamma"), (4, "delta")]
     items = [(1, "alpha gamma"), (2, " ".join(f"t{k}" for k in range(0, 300_000, 3)) + " delta")]
     assert found(spark, docs, items) == brute(docs, items)
+
+
+def test_row_groups_of_an_index_are_bounded(spark, monkeypatch):
+    """A reader of the blocks holds a row group's rows at once, and a file has as many blocks as its task made."""
+    import pyarrow.parquet as pq
+
+    from tessera.llm import ranked_search as R
+
+    monkeypatch.setattr(R, "GROUP", 1 << 14, raising=False)
+    docs = spark.range(6000).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 40), x -> concat('w', x * id))) as text").coalesce(1)
+    files = [pq.ParquetFile(f.removeprefix("file:").replace("///", "/")).metadata for f in R.build_index(docs).blocks.inputFiles()]
+    rows = [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+    assert sum(rows) > 40 and max(rows) <= 20

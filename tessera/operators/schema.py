@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.extract import bound, rows_of
 from tessera.operators.text import whole_json
 
 ERROR = "array<struct<path:string, code:string>>"
@@ -54,11 +55,15 @@ def _is_type(v: Column, kind: Column, name: str) -> Column:
 def violations(v: Column, schema: dict, path: str = "") -> Column:
     """An array of (path, code) of what a variant breaks: REQUIRED, TYPE, ENUM, CONST, PATTERN, MIN_LENGTH, MAX_LENGTH, MINIMUM,
     MAXIMUM, MIN_ITEMS, MAX_ITEMS, ADDITIONAL. Items of an array have the path ``key[]``. Rules for a type hold where a
-    value is of that type; a keyword that isn't known is an error when the schema is compiled."""
+    value is of that type; a keyword that isn't known is an error when the schema is compiled. A value, its kind and its keys
+    are bound, so each is computed once however deep it stands."""
     unknown = set(schema) - KNOWN
     if unknown:
         raise ValueError(f"keywords at {path or '$'} that aren't supported: {sorted(unknown)}")
-    kind = _kind(v)
+    return bound(F.struct(v.alias("v"), _kind(v).alias("kind")), lambda x: _broken(x["v"], x["kind"], schema, path))
+
+
+def _broken(v: Column, kind: Column, schema: dict, path: str) -> Column:
     out = []
     wanted = schema.get("type")
     if wanted:
@@ -78,7 +83,18 @@ def violations(v: Column, schema: dict, path: str = "") -> Column:
     for key, code, wrong in rules:
         if key in schema:
             out.append(_said(path, code, wrong(schema[key])))
-    keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+    if {"required", "additionalProperties", "properties"} & set(schema):
+        held = F.when(is_object, F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")))
+        out.append(bound(held, lambda keys: _members(v, is_object, keys, schema, path)))
+    if schema.get("items"):
+        each = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: violations(x, schema["items"], f"{path}[]"))
+        out.append(F.when(is_list, F.array_distinct(F.flatten(each))).otherwise(F.array().cast(ERROR)))
+    return F.concat(*out) if out else F.array().cast(ERROR)
+
+
+def _members(v: Column, is_object: Column, keys: Column, schema: dict, path: str) -> Column:
+    """What the keys of an object and their values break."""
+    out = []
     for name in schema.get("required", []):
         out.append(_said(f"{path}.{name}".lstrip("."), "REQUIRED", is_object & ~F.array_contains(keys, name)))
     if schema.get("additionalProperties") is False:
@@ -87,9 +103,6 @@ def violations(v: Column, schema: dict, path: str = "") -> Column:
         if inner:
             there = F.try_variant_get(v, f"$['{name}']", "variant")
             out.append(F.when(is_object & F.array_contains(keys, name), violations(there, inner, f"{path}.{name}".lstrip("."))).otherwise(F.array().cast(ERROR)))
-    if schema.get("items"):
-        each = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: violations(x, schema["items"], f"{path}[]"))
-        out.append(F.when(is_list, F.array_distinct(F.flatten(each))).otherwise(F.array().cast(ERROR)))
     return F.concat(*out) if out else F.array().cast(ERROR)
 
 
@@ -97,7 +110,7 @@ def schema_errors(rows: DataFrame, raw: str, schema: dict, keep: list[str]) -> D
     """(keep, path, code) of every rule that a row's JSON text breaks; text that is no JSON is JSON_PARSE."""
     v = F.col("_v")
     found = F.when(v.isNull(), F.array(F.struct(F.lit("$").alias("path"), F.lit("JSON_PARSE").alias("code")))).otherwise(violations(v, schema))
-    return rows.withColumn("_v", whole_json(F.col(raw))).select(*keep, F.inline(found))
+    return rows_of(rows.withColumn("_v", whole_json(F.col(raw))), keep, found, "path")
 
 
 def workflow_errors(configs: DataFrame, by: str, raw: str, types: list[str] | None = None) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tessera.functions import extract as E
 from tessera.operators import records as R
 from tessera.operators import schema as S
-from tessera.plans import ast, code
+from tessera.operators import vector as V
+from tessera.operators.nearest import similar
+from tessera.plans import ast, code, models, texts, vectors
 from tessera.plans.registry import Tables
 
 
@@ -54,3 +56,28 @@ def test_schema_values_are_bound(spark):
     assert sorted(map(tuple, out.collect())) == [("$", "JSON_PARSE"), ("a.b", "REQUIRED")]
     kinds = plan(out).lower().replace("_", "").count("schemaofvariant")
     assert kinds <= 4  # of each value, however many rules it has
+
+
+@pytest.mark.parametrize("rows", [vectors.union_collections, vectors.dedup_first_by_key, vectors.minmax_normalize, models.hashed_search, texts.jaccard_score])
+def test_pairs_are_scored_in_batches(spark, sf, rows):
+    """No expression goes over the arrays of each pair, and no pair is the row of a join of all with all."""
+    said = plan(rows(Tables(spark, sf)))
+    assert "zip_with" not in said and "array_intersect" not in said and "Join Cross" not in said
+
+
+@pytest.mark.parametrize("per_block", [1, 100])
+def test_similar(spark, per_block):
+    points = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, None, [1.0, 1.0]), (3, "b", [-1.0, 0.0]), (4, "b", [0.0, 0.0]), (5, "b", None), (None, "c", [0.0, 2.0]), (6, "d", [1.0, None])], "vec_id long, label string, embedding array<double>")
+    queries = spark.createDataFrame([(7, [2.0, 0.0]), (8, [0.0, 1.0]), (9, [0.0, 0.0])], "query_id long, query_vec array<double>")
+    got = sorted(map(str, map(tuple, similar(points, queries, ["vec_id", "label"], per_block=per_block).collect())))
+    assert got == sorted(map(str, [(7, 1, "a", 1.0), (7, 2, None, 0.707107), (7, None, "c", 0.0), (8, 1, "a", 0.0), (8, 2, None, 0.707107), (8, 3, "b", 0.0), (8, None, "c", 1.0)]))
+
+
+@pytest.mark.parametrize("small", [1, 100])
+def test_jaccard_pairs(spark, small, monkeypatch):
+    monkeypatch.setattr(V, "SMALL", small)
+    words = [["a", "b"], ["b"], [], None, ["z", "a", "b"]]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, words array<string>")
+    got = {(r.query_id, r.doc_id): r.jaccard for r in V.jaccard_pairs(docs, docs.withColumnRenamed("doc_id", "query_id")).collect()}
+    want = {(i, j): 0.0 if [] in (q, d) else None if q is None or d is None else len(set(q) & set(d)) / len(set(q) | set(d)) for i, q in enumerate(words) for j, d in enumerate(words)}
+    assert got == want

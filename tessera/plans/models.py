@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import hooks as H
-from tessera.operators import vector as V
+from tessera.operators.nearest import nearest
 from tessera.plans.registry import query
 
 
@@ -35,7 +35,7 @@ def hashed_search(t):
     """The five nearest documents of each benchmark item by the encoder without a model."""
     point = lambda df, k: H.encoded(df.select(F.col(k).alias("vec_id"), "text"), "text").select("vec_id", "embedding")
     q = point(t.benchmark, "item_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    return V.top_k(V.scored(point(t.documents, "doc_id"), q), 5, ["query_id"], [F.desc("score"), F.asc("vec_id")]).select("query_id", "vec_id", "score", "rank")
+    return nearest(point(t.documents, "doc_id"), q, 5).select("query_id", "vec_id", "score", "rank")
 
 
 @query("""WITH s AS (SELECT p_partkey, list_distinct(string_split(p_name, '')) AS a, list_distinct(string_split(p_type, '')) AS b FROM part) SELECT p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE, 6) AS rerank_score, true AS reranked FROM s""")

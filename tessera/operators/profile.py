@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import stored
+
 #: Characters of an example, and examples of a key.
 SHOWN, EXAMPLES = 100, 3
 
@@ -29,11 +31,12 @@ def profile(rows: DataFrame, raw: str, expected: list[str] | None = None, depth:
     """A row for each key: rows (that have it), texts, mean_chars and max_chars of texts, missing (the share of all rows in
     which it isn't there, null or empty), distinct_values, repeated (values that stand twice or more) and up to three
     examples. Expected keys that never occur have a row as well. Values go to a hash before the shuffle, an example's
-    first characters beside it, and are counted with partial sums, so a common value or key is no large group."""
+    first characters beside it, and are counted with partial sums, so a common value or key is no large group. The counts
+    are a written table: all that reads the profile reads the texts once."""
     total = rows.agg(F.count("*").alias("_all"))
     n = F.length("value")
     one = leaves(rows, raw, depth).select("key", "kind", F.sha2("value", 256).alias("h"), F.substring("value", 1, SHOWN).alias("s"), n.alias("n"), F.coalesce(n == 0, F.lit(True)).alias("gone"))
-    values = one.groupBy("key", "kind", "h", "s", "n", "gone").agg(F.count("*").alias("c"))
+    values = stored(one.groupBy("key", "kind", "h", "s", "n", "gone").agg(F.count("*").alias("c")), "values")
     text = F.col("kind") == "STRING"
     stats = values.groupBy("key").agg(
         F.sum("c").alias("rows"), F.coalesce(F.sum(F.when(text, F.col("c"))), F.lit(0)).alias("texts"), (F.sum(F.when(text, F.col("n") * F.col("c"))) / F.sum(F.when(text, F.col("c")))).alias("mean_chars"),

@@ -92,8 +92,7 @@ SELECT doc_id, first_line::BIGINT AS first_line, last_line::BIGINT AS last_line,
 @query(LINES)
 def chunk_lines(t):
     """Every part of every document: whole lines up to the soft limit, with line numbers."""
-    parts = C.line_parts(F.col("text"), F.lit(1), SOFT, HARD)
-    rows = t.documents.select("doc_id", F.inline(parts))
+    rows = C.line_rows(t.documents, ["doc_id"], "text", SOFT, HARD)
     return rows.select("doc_id", "first_line", "last_line", F.length("text").cast("long").alias("chars"), F.sha1("text").alias("digest"))
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import discarded, scratch, stored
+from tessera.session import discarded, released, scratch, stored
 
 
 def kept_apart(rows: DataFrame, by: list[str], order: list[str], grams: str) -> DataFrame:
@@ -53,5 +53,6 @@ def kept_apart(rows: DataFrame, by: list[str], order: list[str], grams: str) ->
         left = stored(open_.join(free.select("_id"), "_id", "left_anti").join(gone, "_id", "left_anti"), "open")
         discarded(open_, free)
         open_ = left
+        released(rows.sparkSession)
     discarded(open_, shaped)
     return numbered.join(rows.sparkSession.read.schema("_id long").parquet(stay), "_id", "left_semi").drop("_id")

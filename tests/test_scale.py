@@ -10,7 +10,7 @@ from tessera.operators import records as R
 from tessera.operators import schema as S
 from tessera.operators import vector as V
 from tessera.operators.nearest import similar
-from tessera.plans import ast, code, models, texts, vectors
+from tessera.plans import ast, chunks, code, models, quality, texts, vectors
 from tessera.plans.registry import Tables
 
 
@@ -81,3 +81,37 @@ def test_jaccard_pairs(spark, small, monkeypatch):
     got = {(r.query_id, r.doc_id): r.jaccard for r in V.jaccard_pairs(docs, docs.withColumnRenamed("doc_id", "query_id")).collect()}
     want = {(i, j): 0.0 if [] in (q, d) else None if q is None or d is None else len(set(q) & set(d)) / len(set(q) | set(d)) for i, q in enumerate(words) for j, d in enumerate(words)}
     assert got == want
+
+
+@pytest.mark.parametrize("rows", [quality.payload_gaps, quality.payload_profile, quality.payload_report])
+def test_payloads_are_read_once(spark, sf, rows):
+    assert "variant_explode" not in plan(rows(Tables(spark, sf))).lower().replace("variantexplode", "variant_explode")
+
+
+def test_parts_are_held_for_a_few_texts(spark, sf):
+    """The parts of a whole Arrow batch aren't put into one array."""
+    said = plan(chunks.chunk_lines(Tables(spark, sf)))
+    assert "MapInArrow" in said and "ArrowEvalPython" not in said
+
+
+def test_shuffles_of_rounds_are_released(spark, monkeypatch):
+    from tessera.operators import apart
+
+    rounds = []
+    monkeypatch.setattr(apart, "released", rounds.append, raising=False)
+    rows = spark.createDataFrame([(k, ["a b", "b c"]) for k in range(3)], "k int, g array<string>")
+    assert [r.k for r in apart.kept_apart(rows, [], ["k"], "g").collect()] == [0] and rounds
+
+
+def test_split_outputs_are_made_once(spark, tmp_path):
+    from tessera.sources.sinks import write_split_outputs
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        made.add(1)
+        return x
+
+    rows = spark.range(5).select(F.udf(counted, "long")("id").cast("string").alias("id"), F.lit("none").alias("split_strategy"))
+    stats = write_split_outputs({"packages": rows}, str(tmp_path))
+    assert stats["packages"] == {"rows": 5, "unique_ids": 5, "duplicate_ids": 0, "split": 0} and made.value == 5

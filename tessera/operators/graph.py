@@ -121,19 +121,55 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").coalesce(1).mapInPandas(run, f"id {kind}, cycle {kind}")
 
 
+def _single(pairs: DataFrame, by: str) -> bool:
+    """Whether no two of the distinct edges share an end."""
+    return pairs.groupBy(by).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
+def _orbits(pairs: DataFrame) -> DataFrame:
+    """(id, cycle) of the nodes on cycles where each node has one way out at most, in as many rounds as the logarithm of the
+    longest path.
+
+    jump is the node that 2 ** round steps lead to, mark the largest node among those passed. Nodes that no jump of the others
+    reaches are on no cycle and go, as do those whose path ends; where all stay, the jumps permute the nodes, so all are on
+    cycles, and marks that don't grow any more have gone all the way round. Once SMALL nodes are left, they are one task's work.
+    """
+    now = stored(pairs.select(F.col("src").alias("id"), F.col("dst").alias("step"), F.col("dst").alias("jump"), F.col("src").alias("mark"), F.lit(True).alias("grown")), "jumps")
+    n = now.count()
+    while n > SMALL:
+        to = now.select(F.col("id").alias("jump"), F.col("jump").alias("far"), F.col("mark").alias("more"))
+        both = stored(now.join(to, "jump").select("id", "step", F.col("far").alias("jump"), F.greatest("mark", "more").alias("mark"), (F.col("more") > F.col("mark")).alias("grown")), "jumps")
+        after = stored(both.join(both.select(F.col("jump").alias("id")).distinct(), "id", "left_semi"), "jumps")
+        discarded(now, both)
+        before, now = n, after
+        n, grown = now.agg(F.count("*"), F.count_if("grown")).first()
+        if n == before and not grown:
+            return now.select("id", F.col("mark").alias("cycle"))
+    return _in_one_task(now.select(F.col("id").alias("src"), F.col("step").alias("dst")))
+
+
 def on_cycles(edges: DataFrame) -> DataFrame:
     """(id, cycle) of the nodes that reach themselves, whatever the length; cycle is the largest id of the strongly
-    connected component. A graph of up to SMALL edges, which are counted, is one task's work.
+    connected component. A graph of up to SMALL edges, which are counted, is one task's work, and so is what rounds leave.
 
-    In a larger one, ends are trimmed away; then colours go forward (each node's largest ancestor) and, within a colour, backward from the
+    A larger one whose nodes have one way out at most, or one way in, goes by jumps that double. In any other, ends are
+    trimmed away; then colours go forward (each node's largest ancestor) and, within a colour, backward from the
     node that gave it: what is reached is one component. The rest goes another round. Every round is a written table.
     """
     found = None
     pairs = edges.select("src", F.col("dst").cast(edges.schema["src"].dataType).alias("dst")).where("src is not null and dst is not null").distinct()
-    if pairs.limit(SMALL + 1).count() <= SMALL:
+    pairs = stored(pairs, "pairs")  # the edges are made once
+    if pairs.count() <= SMALL:
         return _in_one_task(pairs)
+    if _single(pairs, "src"):
+        return _orbits(pairs)
+    if _single(pairs, "dst"):
+        return _orbits(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     left = trimmed(pairs)
     while not left.isEmpty():
+        if left.count() <= SMALL:
+            last = _in_one_task(left)
+            return last if found is None else found.unionByName(last)
         nodes = left.select(F.col("src").alias("id")).union(left.select("dst")).distinct()
         color = _spread(left, nodes.select("id", F.col("id").alias("mark"))).select("id", F.col("mark").alias("color"))
         back = left.select(F.col("dst").alias("src"), F.col("src").alias("dst"))

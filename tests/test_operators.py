@@ -1,4 +1,5 @@
 import math
+import random
 import time
 
 import pytest
@@ -74,6 +75,27 @@ def test_intervals(spark):
     assert sorted(map(key, align.overlapping(nulls, b, "s", "e", "cs", "ce", 10, "left_semi").collect())) == [-1, -1]
 
 
+@pytest.mark.parametrize("small, back", [(0, False), (0, True), (300, False)])
+def test_single_ways_go_by_doubling(spark, monkeypatch, small, back):
+    """A path of 5,000 nodes into a ring, random single ways and loops: rounds are as the logarithm of the longest path."""
+    monkeypatch.setattr(graph, "SMALL", small)
+    rounds, kept = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: (rounds.append(name), kept(df, name))[1])
+    r = random.Random(5)
+    to = {k: k + 1 for k in range(5000)} | {5000 + k: 5000 + (k + 1) % 40 for k in range(40)} | {10_000 + k: 10_000 + r.randrange(2050) for k in range(2000)} | {20_000: 20_000}
+    want = {}
+    for k in to:
+        seen, at = [], k
+        while at in to and at not in seen[:1] and len(seen) <= 2100:
+            seen.append(at)
+            at = to[at]
+        if at == k:
+            want[k] = max(seen)
+    edges = spark.createDataFrame([(b, a) if back else (a, b) for a, b in to.items()], "src long, dst long")
+    got = {x.id: x.cycle for x in graph.on_cycles(edges).collect()}
+    assert got == want and len(rounds) <= 2 + 2 * 15
+
+
 def test_positions_and_captions(spark):
     rows = spark.createDataFrame([(k * 7919 % 1000,) for k in range(1000)], "x long").repartition(5)
     assert {r.x: r.pos for r in align.positions(rows, ["x"], "pos").collect()} == {k: k + 1 for k in range(1000)}

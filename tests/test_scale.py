@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,29 @@ def test_jaccard_pairs(spark, small, monkeypatch):
     assert got == want
 
 
+def test_sparse_scores_are_no_rows(spark, sf):
+    """Postings aren't joined with queries: a pair of both would be a row for each term that they share."""
+    said = plan(vectors.sparse_topk(Tables(spark, sf)))
+    assert "MapInArrow" in said and "Join" not in said and "Generate" not in said
+
+
+@pytest.mark.parametrize("dense, sums", [(2.0, 50), (0.0, 50)])
+def test_sparse_either_way(spark, monkeypatch, dense, sums):
+    """Products and sums posting by posting give the same; rows of one id are one point, and queries go in two blocks."""
+    from tessera.operators import sparse as P
+
+    monkeypatch.setattr(P, "WIDTH", 3)
+    monkeypatch.setattr(P, "SUMS", sums)
+    monkeypatch.setattr(P, "DENSE", dense)
+    at, weights = np.array([0, 2, 1, 0], np.int32), np.array([1.0, 2.0, 3.0, 0.5])
+    got = P._scores(at, weights, np.array([0, 2, 3]), np.array([2, 1, 1]), np.array([1, 0, 1, 0]), np.array([4.0, 5.0, 6.0, -1.0]), np.array([0, 1, 3]), np.array([1, 2, 1]), (3, 2))
+    assert got.tolist() == [[-0.5, 4.0], [15.0, 18.0], [0.0, 8.0]]
+    points = spark.createDataFrame([(1, {"a": 1.0}), (1, {"a": 1.0, "b": 1.0}), (2, {"a": 1.5})], "doc_id long, sparse map<string,double>")
+    queries = spark.createDataFrame([(k, {"a": 1.0 + k}) for k in range(4)], "query_id long, sparse map<string,double>")
+    found = sorted((r.query_id, r.id, r.score, r["rank"]) for r in P.search(P.postings(points), queries, 1, per_block=2).collect())
+    assert found == [(k, 1, 2.0 * (1 + k), 1) for k in range(4)]
+
+
 @pytest.mark.parametrize("rows", [quality.payload_gaps, quality.payload_profile, quality.payload_report])
 def test_payloads_are_read_once(spark, sf, rows):
     assert "variant_explode" not in plan(rows(Tables(spark, sf))).lower().replace("variantexplode", "variant_explode")

@@ -139,3 +139,20 @@ def test_split_outputs_are_made_once(spark, tmp_path):
     rows = spark.range(5).select(F.udf(counted, "long")("id").cast("string").alias("id"), F.lit("none").alias("split_strategy"))
     stats = write_split_outputs({"packages": rows}, str(tmp_path))
     assert stats["packages"] == {"rows": 5, "unique_ids": 5, "duplicate_ids": 0, "split": 0} and made.value == 5
+
+
+def test_root_records_are_dealt(spark):
+    """Records without a package share one path; counts of functions don't bring them into one task."""
+    from tessera.operators import splitting as R
+
+    rows = spark.range(3000).selectExpr("concat('P', id) as fqn", "case when id < 2 then 'function' else 'package' end as kind", "cast(array() as array<string>) as package_path", "concat('package P', id, repeat(' ', 60)) as code_text", "'1' as version", "1L as first_line", "3L as last_line")
+    rows = rows.select("*", *[F.array().cast(c).alias(n) for n, c in (("components", "array<struct<name:string, type:string, prefixes:array<string>>>"), ("extends", "array<string>"), ("equations", f"array<struct<{R.BLOCK}>>"))])
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = R.package_records(rows).select("contained_functions", F.spark_partition_id().alias("p")).groupBy("p", "contained_functions").count().collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert {r.contained_functions for r in got} == {2} and sum(r["count"] for r in got) == 2998 and max(r["count"] for r in got) < 1500

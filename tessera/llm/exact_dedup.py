@@ -154,8 +154,8 @@ def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def build_index(digests: DataFrame) -> DataFrame:
     """Index rows (digest, keep_id, group_size) of (doc_id, digest) rows, a shard a partition."""
-    local = digests.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")).mapInArrow(_folded, ENTRY)
-    return local.repartition("digest").mapInArrow(_folded, ENTRY)
+    local = digests.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")).mapInArrow(common.trimmed(_folded), ENTRY)
+    return local.repartition("digest").mapInArrow(common.trimmed(_folded), ENTRY)
 
 
 def content_of(digests: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def content_of(digests: DataFrame) -> DataFrame:
 
 def insert_rows(index: DataFrame, content: DataFrame, digests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(index, content) after inserting (doc_id, digest) rows into stored ones."""
-    more = index.unionByName(build_index(digests)).repartition("digest").mapInArrow(_folded, ENTRY)
+    more = index.unionByName(build_index(digests)).repartition("digest").mapInArrow(common.trimmed(_folded), ENTRY)
     return more, content.unionByName(content_of(digests)).groupBy("digest", "doc_id").agg(F.sum("n").alias("n"))
 
 
@@ -177,7 +177,7 @@ def delete_rows(index: DataFrame, content: DataFrame, digests: DataFrame) -> tup
     told = F.raise_error(F.concat(F.lit("not live: digest "), F.hex("digest"), F.lit(" of row "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     left = left.where(F.when(F.col("n") < 0, told.cast("boolean")).otherwise(F.col("n") > 0))
     taken = gone.groupBy("digest").agg(F.lit(None).cast("long").alias("keep_id"), (-F.sum("n")).alias("group_size"))
-    less = index.unionByName(taken).repartition("digest").mapInArrow(_folded, ENTRY)
+    less = index.unionByName(taken).repartition("digest").mapInArrow(common.trimmed(_folded), ENTRY)
     touched = left.join(taken.select("digest").hint("merge"), "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("first"), F.lit(True).alias("touched"))
     less = less.join(touched.hint("merge"), "digest", "left")
     return less.select("digest", F.when(F.col("touched"), F.col("first")).otherwise(F.col("keep_id")).alias("keep_id"), "group_size"), left

@@ -256,7 +256,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (u, v) those that are links on their full sets."""
     near = pairs.join(sets.select(F.col("id").alias("u"), F.col("members").alias("mu")).hint("merge"), "u")
     near = near.join(sets.select(F.col("id").alias("v"), F.col("members").alias("mv")).hint("merge"), "v")
-    return near.select("u", "v", "mu", "mv").mapInArrow(_confirmed(percent), "u long, v long")
+    return near.select("u", "v", "mu", "mv").mapInArrow(common.trimmed(_confirmed(percent)), "u long, v long")
 
 
 def _apart(placed: DataFrame, signs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -276,11 +276,11 @@ def _apart(placed: DataFrame, signs: DataFrame, sets: DataFrame, percent: int) -
     rows = rows.select("key", "id", "part", "n_all", (F.col("n_all") > CROWD).alias("crowded"), mine.cast("long").alias("mine"), others.alias("others")).select("key", "id", "part", "crowded", F.inline(units))
     rows = common.written(rows, "units")
     in_crowd = common.written(rows.where("crowded").select("id").distinct(), "crowds")
-    low = sets.join(in_crowd.hint("merge"), "id", "left_semi").mapInArrow(_least, "id long, low binary")
+    low = sets.join(in_crowd.hint("merge"), "id", "left_semi").mapInArrow(common.trimmed(_least), "id long, low binary")
     signs = common.written(signs.join(low.hint("merge"), "id", "left"), "signs")
     rows = rows.join(signs.hint("merge"), "id").select("key", "unit", "left", "id", "part", "n", "sketch", F.when(F.col("crowded"), F.col("low")).otherwise(F.lit(b"")).alias("low"))
     rows = rows.repartition("key", "unit").sortWithinPartitions("key", "unit")
-    return rows.mapInArrow(_in_blocks(percent), "u long, v long").distinct()
+    return rows.mapInArrow(common.trimmed(_in_blocks(percent)), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -294,15 +294,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     before = common.held()
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = common.written(rows.mapInArrow(_signed(words), "doc_id long, n_shingles long, digest binary, bands binary, sketch binary"), "signatures")
+    signed = common.written(rows.mapInArrow(common.trimmed(_signed(words)), "doc_id long, n_shingles long, digest binary, bands binary, sketch binary"), "signatures")
     live = signed.where("doc_id is not null and digest is not null")
     classes = common.written(live.groupBy("digest").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     signs = classes.select("id", "n", "sketch")
-    banded = classes.select("id", "bands").mapInArrow(_banded, "key long, id long")
+    banded = classes.select("id", "bands").mapInArrow(common.trimmed(_banded), "key long, id long")
     shared = banded.groupBy("key").agg(F.count("*").alias("in_key")).where("in_key > 1").select("key")
     buckets = common.written(banded.join(shared.hint("merge"), "key", "left_semi"), "buckets")
     wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
-    sets = rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, members binary")
+    sets = rows.join(wanted, "doc_id", "left_semi").mapInArrow(common.trimmed(_sets(words)), "id long, members binary")
     sets = common.written(sets, "sets")
     common.released(sets.sparkSession)
     # first round: one comparison for each class, with the head that it shares most buckets with; the head of a bucket
@@ -315,7 +315,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     first = heads.groupBy("id").agg(F.max_by("head", F.struct("n", "top")).alias("v")).select(F.col("id").alias("u"), "v")
     u, v = (signs.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "uv")
     first = first.join(u.hint("merge"), "u").join(v.hint("merge"), "v").where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
-    first = common.written(first.select("u", "v", "su", "sv").mapInArrow(_agreeing, "u long, v long"), "pairs")
+    first = common.written(first.select("u", "v", "su", "sv").mapInArrow(common.trimmed(_agreeing), "u long, v long"), "pairs")
     links = common.written(_linked(first, sets, percent), "links")
     # second round: what the first leaves in different components of a bucket
     parts = components(links).withColumnRenamed("node", "id")

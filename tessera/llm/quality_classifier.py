@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, max_per_label: int = 700, learnabl
     some = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_label) for k in (0, 1)]
     ids = some[0].unionByName(some[1])  # at most twice max_per_label ids
     texts = common.drawn(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id"), "label", max_per_label, F.xxhash64("doc_id"))
-    found = texts.select("doc_id", "label", "text").mapInArrow(_bags, "doc_id long, label int, buckets binary, counts binary").toPandas().sort_values("doc_id", ignore_index=True)
+    found = texts.select("doc_id", "label", "text").mapInArrow(common.trimmed(_bags), "doc_id long, label int, buckets binary, counts binary").toPandas().sort_values("doc_id", ignore_index=True)
     bags = [(np.frombuffer(b, "<i4"), np.frombuffer(c, "<i4")) for b, c in zip(found["buckets"], found["counts"], strict=True)]
     model = Classifier().fit(bags, found["label"].tolist())
     drawn = float(np.log((found["label"].eq(1).sum() + 0.5) / (found["label"].eq(0).sum() + 0.5)))
@@ -175,7 +175,7 @@ def score_documents(docs: DataFrame, weights: np.ndarray, offset: float) -> Data
             s = scores([t or "" for t in batch.column(1).to_pylist()], held.value, offset)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(common.trimmed(run), "doc_id long, score double, predicted int")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, held_mod: int = 3, held_rest: int = 1) -> DataFrame:
@@ -200,4 +200,4 @@ def good_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5, held_
             s = scores([t or "" for t in batch.column(at).to_pylist()], held.value, offset)
             yield batch.filter(pa.array(s >= least, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.trimmed(run), docs.schema)

@@ -425,4 +425,4 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(common.trimmed(run), schema)

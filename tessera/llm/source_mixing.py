@@ -71,7 +71,7 @@ def train(docs: DataFrame, labelled: DataFrame, max_docs: int = 2000, epochs: in
     limits = docs.sparkSession.createDataFrame(limits, "domain string, below double")
     ids = known.join(F.broadcast(limits), "domain").where(place < F.col("below")).select("doc_id", "domain")
     rows = common.drawn(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id"), "domain", 2 * max(max_docs, LEAST), F.xxhash64("doc_id"))
-    found = rows.select("doc_id", "domain", "text").mapInArrow(_bags, "doc_id long, domain string, buckets binary, counts binary").toPandas()
+    found = rows.select("doc_id", "domain", "text").mapInArrow(common.trimmed(_bags), "doc_id long, domain string, buckets binary, counts binary").toPandas()
     found = found.sort_values(["doc_id", "domain"], ignore_index=True)
     index = {d: k for k, d in enumerate(domains)}
     y = [index[d] for d in found["domain"]]
@@ -115,7 +115,7 @@ def posteriors(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), flat], ["doc_id", "n_tokens", "p"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, p array<double>")
+    return rows.mapInArrow(common.trimmed(run), "doc_id long, n_tokens long, p array<double>")
 
 
 def _rates(p: np.ndarray, pulls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +157,7 @@ def _sums(pulls: np.ndarray, second: bool):
 def _summed(table: DataFrame, pulls: np.ndarray, second: bool, size: int) -> np.ndarray:
     """The sums over all rows; size: the number of domains."""
     out = np.zeros(2 * size + (size * size if second else 0))
-    for r in table.select("n_tokens", "p").mapInArrow(_sums(pulls, second), "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():
+    for r in table.select("n_tokens", "p").mapInArrow(common.trimmed(_sums(pulls, second)), "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():
         out[r["k"]] = r["x"]
     return out
 
@@ -248,7 +248,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
         missed += [f"{domains[k]}: {reached[k]:.0f} of {goals[k]:.0f} tokens" for k in np.flatnonzero(off)]
     if missed:
         warnings.warn("mixing targets missed: " + "; ".join(missed), stacklevel=2)
-    rated = common.written(table.mapInArrow(_applied(pulls, domains), "doc_id long, n_tokens long, domain string, posterior double, rate double"), "rates")
+    rated = common.written(table.mapInArrow(common.trimmed(_applied(pulls, domains)), "doc_id long, n_tokens long, domain string, posterior double, rate double"), "rates")
     common.dropped(table)
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     rated = rated.withColumn("chance", chance).withColumn("part", F.col("rate") - F.floor("rate"))

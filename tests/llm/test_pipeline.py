@@ -155,3 +155,14 @@ def test_every_label_is_a_domain(spark):
         out = mixed(docs, labelled, targets=targets | {"absent": 1.0}).collect()
     tokens = {s: sum(r.rate * r.n_tokens for r in out if r.domain == s) for s in sizes}
     assert tokens["tiny"] / np.mean([tokens[f"s{k:02d}"] for k in range(79)]) > 1.5
+
+
+def test_workers_return_memory(monkeypatch):
+    """The batches are those of the step itself; memory is released after the last one."""
+    import pyarrow as pa
+
+    told = []
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: told.append("released")})())
+    batch = pa.RecordBatch.from_arrays([pa.array([1])], ["k"])
+    out = common.trimmed(lambda batches: (told.append("batch") or b for b in batches))(iter([batch, batch]))
+    assert list(out) == [batch, batch] and told == ["batch", "batch", "released"]

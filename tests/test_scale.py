@@ -141,6 +141,38 @@ def test_split_outputs_are_made_once(spark, tmp_path):
     assert stats["packages"] == {"rows": 5, "unique_ids": 5, "duplicate_ids": 0, "split": 0} and made.value == 5
 
 
+def test_split_outputs_go_in_slices(spark, tmp_path, monkeypatch):
+    """Records of slices by name are those of one step; outputs are written as gzip files, slice by slice."""
+    from tessera.operators import splitting as R
+    from tessera.sources.sinks import write_split_outputs
+
+    empty = lambda kind: f"cast(array() as array<{kind}>)"
+    item = f"array(struct('x = y;' as str, array('x') as vars, {empty('string')} as ops, 2L as first_line, 2L as last_line))"
+    rows = spark.range(40).selectExpr(
+        "concat('P', id % 30, if(id < 20, '.A', '')) as fqn", "if(id % 7 = 0, 'function', 'model') as kind", f"if(id < 20, array(concat('P', id + 20)), {empty('string')}) as package_path", "concat('model P', id, '\\n  x = y;', repeat(' ', 60), '\\nend;') as code_text", "1L as first_line", "3L as last_line",
+        "'1' as version", f"{empty('struct<name:string, type:string, prefixes:array<string>>')} as components", f"{empty('string')} as extends", f"array(struct('equation' as section_type, 2L as first_line, 2L as last_line, {item} as items)) as equations",
+    )
+    got = {}
+    for size in (1000, 7):
+        monkeypatch.setattr(R, "SLICE", size)
+        outputs = R.split_outputs(rows)
+        assert len(outputs["equations"]) == -(-40 // size)
+        stats = write_split_outputs(outputs, str(tmp_path / str(size)))
+        files = [p.name for p in (tmp_path / str(size)).glob("ast_*/part-*")]
+        assert files and all(f.endswith(".json.gz") for f in files)
+        got[size] = (stats, {name: sorted(r.value for r in spark.read.text(str(tmp_path / str(size) / f"ast_{name}.jsonl")).collect()) for name in stats})
+    assert got[1000] == got[7] and got[7][0]["equations"]["rows"] > 20
+
+
+def test_ids_are_counted_by_hash(spark):
+    """Unique ids aren't shuffled as they are; those that are there twice, and null ones, are counted as before."""
+    from tessera.sources.sinks import id_statistics
+
+    rows = spark.createDataFrame([("a",), ("b",), ("a",), (None,), (None,), ("c",)], "id string")
+    assert id_statistics(rows) == {"rows": 6, "unique_ids": 3, "duplicate_ids": 3, "split": 0}
+    assert id_statistics(rows.limit(0)) == {"rows": 0, "unique_ids": 0, "duplicate_ids": 0, "split": 0}
+
+
 def test_root_records_are_dealt(spark):
     """Records without a package share one path; counts of functions don't bring them into one task."""
     from tessera.operators import splitting as R

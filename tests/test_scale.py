@@ -84,6 +84,26 @@ def test_jaccard_pairs(spark, small, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("small", [7, 1000])
+def test_jaccard_pairs_of_a_size_stand_together(spark, small, monkeypatch):
+    """The result is the square of the documents: tasks hold documents of a range of sizes, so that columns are small."""
+    monkeypatch.setattr(V, "SMALL", small)
+    rng = np.random.default_rng(5)
+    words = {k: [f"w{x}" for x in rng.permutation(60)[: rng.integers(0, 50)]] for k in range(150)}
+    docs = spark.createDataFrame(list(words.items()), "doc_id long, words array<string>")
+    rows = V.jaccard_pairs(docs, docs.where("doc_id < 37").withColumnRenamed("doc_id", "query_id")).withColumn("task", F.spark_partition_id()).collect()
+    assert len(rows) == 37 * 150 and {(r.query_id, r.doc_id): r.jaccard for r in rows} == {(q, d): len(set(words[q]) & set(words[d])) / len(set(words[q]) | set(words[d])) if words[q] and words[d] else 0.0 for q in range(37) for d in words}
+    spans = {}
+    for r in rows:
+        spans.setdefault(r.task, set()).add(len(words[r.doc_id]))
+    blocks = len(V._size_blocks([(len(words[q]), 1) for q in range(37)], small))
+    assert len(spans) >= 4 and sum(max(x) - min(x) for x in spans.values()) <= 50 * blocks
+
+
+def test_size_blocks():
+    assert V._size_blocks([(3, 2), (1, 4), (2, 1), (9, 12), (10, 1)], 5) == [(1, 2, 0, 1), (3, 3, 0, 1), (9, 9, 0, 3), (9, 9, 1, 3), (9, 9, 2, 3), (10, 10, 0, 1)]
+
+
 def test_sparse_scores_are_no_rows(spark, sf):
     """Postings aren't joined with queries: a pair of both would be a row for each term that they share."""
     said = plan(vectors.sparse_topk(Tables(spark, sf)))

@@ -76,6 +76,32 @@ def test_kept_apart(spark, seed, common):
     assert alone == set(fold([(i, set(g or [])) for _, i, g in sorted((t, i, g or []) for i, _, t, g, _ in rows)]))
 
 
+@pytest.mark.parametrize("held", [0, 60, 10_000])
+def test_kept_apart_long_lists(spark, held, monkeypatch):
+    """Lists that a task may hold and those that go in rounds give the same; null grams count for nothing."""
+    from tessera.operators import apart
+
+    monkeypatch.setattr(apart, "ROWS", held)
+    r = random.Random(held)
+    rows = [(k, min(int(r.paretovariate(0.7)), 9), r.randrange(30), sorted({f"g{r.randrange(12)}" for _ in range(r.choice([0, 1, 2, 4, 7]))}) + [None] * (k % 3 == 0)) for k in range(300)]
+    df = spark.createDataFrame(rows, "id int, list int, turn int, grams array<string>").repartition(4)
+    got = kept_apart(df, ["list"], ["turn", "id"], "grams").collect()
+    want = set()
+    for part in {x[1] for x in rows}:
+        want |= set(fold([(i, set(g) - {None}) for _, i, g in sorted((t, i, g) for i, p, t, g in rows if p == part)]))
+    assert {x.id for x in got} == want and len(got) == len(want)
+    assert all(tuple(x) == rows[x.id] for x in got)
+
+
+def test_short_lists_are_shuffled_once(spark):
+    """Grams of lists that a task can hold are no rows of joins."""
+    df = spark.createDataFrame([(k, k // 3, [f"p{k}", f"p{k + 1}"]) for k in range(12)], "turn int, list int, grams array<string>")
+    kept = kept_apart(df, ["list"], ["turn"], "grams")
+    said = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in said and said.count("Repartition") == 1
+    assert sorted(x.turn for x in kept.collect()) == [0, 2, 3, 5, 6, 8, 9, 11]
+
+
 def test_kept_apart_edges(spark):
     df = spark.createDataFrame([(1, ["a b"]), (1, ["a b"]), (2, ["a b", "c d", "e f", "g h"]), (3, []), (3, None), (None, ["c d", "x y"])], "turn int, grams array<string>")
     got = sorted(((x.turn or 0), x.grams) for x in kept_apart(df, [], ["turn"], "grams").collect() if x.grams)

@@ -127,6 +127,52 @@ def test_sparse_either_way(spark, monkeypatch, dense, sums):
     assert found == [(k, 1, 2.0 * (1 + k), 1) for k in range(4)]
 
 
+@pytest.mark.parametrize("first, per_block", [(0.3, 7), (0.3, 100), (0, 100)])
+def test_sparse_blocks_go_by_length(spark, monkeypatch, first, per_block):
+    """The longest vectors come first and tell what the others have to reach; results are those of brute force, with ties."""
+    from tessera.operators import sparse as P
+
+    for name, value in (("SIZE", 16), ("PART", 4), ("FIRST", first)):
+        monkeypatch.setattr(P, name, value)
+    rng = np.random.default_rng(3)
+    points = {k: {f"t{x}": float(rng.integers(1, 2 + k % 11)) for x in rng.permutation(30)[: 1 + k % 17]} for k in range(300)}
+    df = spark.createDataFrame(list(points.items()), "doc_id long, sparse map<string,double>")
+    held = P.postings(df)
+    blocks = [r for r in held.orderBy("block").collect()]
+    assert len(blocks) >= 10 and all(r.lengths == sorted(r.lengths, reverse=True) and len(r.ids) == len(r.lengths) for r in blocks)
+    assert blocks[0].lengths[0] > 2 * blocks[-1].lengths[0] and sorted(i for r in blocks for i in r.ids) == list(points)
+    got = P.search(held, df.where("doc_id % 9 = 0").withColumnRenamed("doc_id", "query_id"), 5, per_block=per_block).collect()
+    want = []
+    for q in range(0, 300, 9):
+        scores = sorted((-sum(w * points[q].get(t, 0.0) for t, w in p.items()), k) for k, p in points.items() if points[q].keys() & p.keys())
+        want += [(q, k, -x, n + 1) for n, (x, k) in enumerate(scores[:5])]
+    assert sorted((r.query_id, r.id, r.score, r["rank"]) for r in got) == sorted(want)
+
+
+def test_sparse_scores_few_pairs(spark, monkeypatch):
+    """Points whose bounds don't reach the best scores so far aren't scored."""
+    from tessera.operators import sparse as P
+
+    rng = np.random.default_rng(4)
+    points = [(k, {f"t{x}": float(1 + (k < 20) * 9) for x in rng.permutation(200)[: 150 if k < 20 else 8]}) for k in range(2000)]
+    held = P.postings(spark.createDataFrame(points, "doc_id long, sparse map<string,double>"), size=100)
+    batches = held.orderBy("block").select("ids", "terms", "high", "low", "counts", "at", "weights", "lengths").toArrow().to_batches()
+    names = [f"t{x}" for x in range(0, 200, 10)]
+    first, scored, score = np.arange(len(names) + 1), [], P._scores
+    monkeypatch.setattr(P, "_scores", lambda *a: scored.append(a[-1]) or score(*a))
+    asked = type("Held", (), {"value": (np.array([7]), P.pa.array(names), first, np.zeros(len(names), np.int32), np.ones(len(names)), np.full(1, -np.inf))})
+    (found,) = P._found(asked, 5)(iter(batches))
+    want = sorted((-sum(w for t, w in p.items() if t in names), k) for k, p in points)[:5]
+    assert [(-s, i) for s, i in zip(found["score"].to_pylist(), found["id"].to_pylist(), strict=True)] == want
+    assert sum(n * m for n, m in scored) < 300  # of 2000 pairs
+
+
+def test_sparse_blocks_hold_whole_steps():
+    from tessera.operators import sparse as P
+
+    assert P._dealt([(2, 250, 10), (-3, 5, 10), (0, 20, 40), (1, 80, 10), (5, 1, P.POSTINGS * 2 + 1), (6, 1, 1)], 100) == [(-3, 0, 1), (0, 0, 1), (1, 1, 1), (2, 2, 3), (5, 5, 3), (6, 8, 1)]
+
+
 @pytest.mark.parametrize("rows", [quality.payload_gaps, quality.payload_profile, quality.payload_report])
 def test_payloads_are_read_once(spark, sf, rows):
     assert "variant_explode" not in plan(rows(Tables(spark, sf))).lower().replace("variantexplode", "variant_explode")

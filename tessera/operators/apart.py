@@ -26,16 +26,18 @@ from tessera.session import dealt, discarded, released, scratch, stored
 ROWS, GRAMS = 500, 200_000
 
 
-def kept_apart(rows: DataFrame, by: list[str], order: list[str], grams: str) -> DataFrame:
+def kept_apart(rows: DataFrame, by: list[str], order: list[str], grams: str | Column) -> DataFrame:
     """The rows that stay, with all their columns. by: the columns of a list, which may be none; order: columns that put
-    its items into a total order, nulls first; grams: an array of distinct strings.
+    its items into a total order, nulls first; grams: an array of distinct strings, a column of the rows or what makes it from
+    them, which is then not shuffled.
 
     An item goes if it shares max(1, n // 2) of its n grams with one that stays before it; one without grams stays. Rows
     that are equal in by and order go by a hash of their grams.
     """
     spark, cols = rows.sparkSession, rows.columns
+    own = F.col(grams) if isinstance(grams, str) else grams
     group = F.to_json(F.struct(F.lit(0), *[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)]))
-    lists = rows.select(group.alias("_g"), F.greatest(F.coalesce(F.size(grams), F.lit(0)), F.lit(0)).alias("n"))
+    lists = rows.select(group.alias("_g"), F.greatest(F.coalesce(F.size(own), F.lit(0)), F.lit(0)).alias("n"))
     lists = stored(lists.groupBy("_g").agg(F.count("*").alias("rows"), F.sum("n").alias("grams")), "lists")
     released(spark)
     is_long = (F.col("rows") > ROWS) | (F.col("grams") > GRAMS)
@@ -47,19 +49,25 @@ def kept_apart(rows: DataFrame, by: list[str], order: list[str], grams: str) ->
     long_ = stored(lists.where(is_long).select("_g"), "long")
     discarded(lists)
     short = _in_tasks(every.join(long_, "_g", "left_anti"), n, order, grams)
-    return short.select(*cols).unionByName(_in_rounds(every.join(long_, "_g", "left_semi"), order, grams).select(*cols))
-
-
-def _place(order: list[str], grams: str) -> list[Column]:
-    return [*[F.col(c) for c in order], F.xxhash64(F.to_json(F.struct(grams))), F.col("_id")]
+    rounds = _in_rounds(every.join(long_, "_g", "left_semi").withColumn("_all", own), order)
+    return short.select(*cols).unionByName(rounds.select(*cols))
+
+
+def _in_tasks(rows: DataFrame, n: int, order: list[str], grams: str | Column) -> DataFrame:
+    """What stays of lists that a task can hold. A column of grams is shuffled as a text, which is half of an array; others are
+    made after the shuffle."""
+    if isinstance(grams, str):
+        lists = dealt(rows.withColumn("_grams", F.to_json(grams)).drop(grams), n, "_g", each=20_000)
+    else:
+        lists = dealt(rows, n, "_g", each=20_000).withColumn("_grams", F.to_json(grams))
+    lists = lists.sortWithinPartitions("_g", *_place(order)).drop("_id")
+    at = [lists.columns.index(c) for c in ("_g", "_grams")]
+    stay = lists.mapInArrow(_stays(*at), lists.schema)
+    return stay.withColumn(grams, F.from_json("_grams", "array<string>")) if isinstance(grams, str) else stay
 
 
-def _in_tasks(rows: DataFrame, n: int, order: list[str], grams: str) -> DataFrame:
-    """What stays of lists that a task can hold. The grams are shuffled as a text, which is half of an array."""
-    said = rows.withColumn("_grams", F.to_json(grams))
-    lists = dealt(said, n, "_g", each=20_000).sortWithinPartitions("_g", *_place(order, grams)).drop("_id", grams)
-    at = [lists.columns.index(c) for c in ("_g", "_grams")]
-    return lists.mapInArrow(_stays(*at), lists.schema).withColumn(grams, F.from_json("_grams", "array<string>"))
+def _place(order: list[str]) -> list[Column]:
+    return [*[F.col(c) for c in order], F.xxhash64("_grams"), F.col("_id")]
 
 
 def _stays(of: int, said: int):
@@ -92,10 +100,10 @@ def _near(grams: list[str], having: dict[str, list[int]]) -> bool:
     return False
 
 
-def _in_rounds(rows: DataFrame, order: list[str], grams: str) -> DataFrame:
-    """What stays of lists of any length."""
-    numbered = stored(rows.orderBy("_g", *_place(order, grams)).withColumn("_id", F.monotonically_increasing_id()), "items")
-    every = numbered.select("_id", F.col("_g").alias("g"), F.explode(grams).alias("gram")).where("gram IS NOT NULL")
+def _in_rounds(rows: DataFrame, order: list[str]) -> DataFrame:
+    """What stays of lists of any length; _all are the grams."""
+    numbered = stored(rows.withColumn("_grams", F.to_json("_all")).orderBy("_g", *_place(order)).drop("_grams").withColumn("_id", F.monotonically_increasing_id()), "items")
+    every = numbered.select("_id", F.col("_g").alias("g"), F.explode("_all").alias("gram")).where("gram IS NOT NULL")
     common = every.groupBy("gram").agg(F.count("*").alias("often"))
     ranked = every.join(common, "gram").groupBy("_id", "g").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("x"))  # an item's own grams
     n = F.size("x")
@@ -103,7 +111,7 @@ def _in_rounds(rows: DataFrame, order: list[str], grams: str) -> DataFrame:
     shaped = stored(ranked.select("_id", "g", F.transform("x", lambda x: x["gram"]).alias("grams"), least.alias("t"), (n - least + 1).alias("first")), "shaped")
     whole = lambda df: df.select("_id", "g", F.explode("grams").alias("gram"))
     stay = scratch(rows.sparkSession, "stay")
-    numbered.where(F.coalesce(F.size(F.array_compact(grams)), F.lit(0)) <= 0).select("_id").write.parquet(stay)
+    numbered.where(F.coalesce(F.size(F.array_compact("_all")), F.lit(0)) <= 0).select("_id").write.parquet(stay)
     open_ = stored(shaped.select("_id"), "open")
     released(rows.sparkSession)
     while not open_.isEmpty():

@@ -144,8 +144,8 @@ def near_duplicates_kept(t):
     from tessera.operators.apart import kept_apart
     from tessera.operators.text import bigrams, words
 
-    rows = t.conversations.select("conv_id", "turn", "role", "text", bigrams(words(F.lower("text"))).alias("g"))
-    return kept_apart(rows, ["conv_id"], ["turn", "role", "text"], "g").drop("g")
+    rows = t.conversations.select("conv_id", "turn", "role", "text")
+    return kept_apart(rows, ["conv_id"], ["turn", "role", "text"], bigrams(words(F.lower("text"))))
 
 
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators.apart import kept_apart
 from tessera.operators.containment import CLASSES, SHORT, contained, fingerprints, hashes
@@ -100,6 +101,12 @@ def test_short_lists_are_shuffled_once(spark):
     said = kept._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in said and said.count("Repartition") == 1
     assert sorted(x.turn for x in kept.collect()) == [0, 2, 3, 5, 6, 8, 9, 11]
+    texts = df.selectExpr("turn", "list", "concat_ws(' ', grams) as text")
+    made = kept_apart(texts, ["list"], ["turn"], F.split("text", " "))
+    said = made._jdf.queryExecution().optimizedPlan().toString()
+    assert said.index("split(") < said.index("Repartition")  # grams are made above the shuffle
+    assert sorted(map(tuple, made.collect())) == sorted((x.turn, x.list, " ".join(x.grams)) for x in kept.collect())
+    assert sorted(x.turn for x in kept_apart(texts, [], ["turn"], F.split("text", " ")).collect()) == [0, 2, 4, 6, 8, 10]
 
 
 def test_kept_apart_edges(spark):
